@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lz_fingerprint, media, packing, pii, toxicity, url_filter
+from . import bpe, langid, lz_fingerprint, media, neardup, packing, pii, toxicity, url_filter
 from .common import documents, fold
 
 #: The rules of op1.
@@ -37,6 +37,10 @@ def op2_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(documents(spark, sf_dir))
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), neardup.Rule(words=3, share=85))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.media_columns(documents(spark, sf_dir))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height", "depth")
@@ -66,5 +70,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs)).select("doc_id", (F.coalesce(fold(), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii_semi_crf, op4_media_columns, op5_toxicity, op6_lz_fingerprint, op7_packing, op8_byte_bpe, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii_semi_crf, op3_minhash_neardup, op4_media_columns, op5_toxicity, op6_lz_fingerprint, op7_packing, op8_byte_bpe, op9_language_id)}
 ORACLES = {"op1_url_filter": OP1_SQL}
