@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lz_fingerprint, media, neardup, packing, pii, toxicity, url_filter
+from . import bpe, langid, lz_fingerprint, media, neardup, packing, pii, suffix_dedup, toxicity, url_filter
 from .common import documents, fold
 
 #: The rules of op1.
@@ -70,5 +70,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs)).select("doc_id", (F.coalesce(fold(), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii_semi_crf, op3_minhash_neardup, op4_media_columns, op5_toxicity, op6_lz_fingerprint, op7_packing, op8_byte_bpe, op9_language_id)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.summary(suffix_dedup.deduplicated(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii_semi_crf, op3_minhash_neardup, op4_media_columns, op5_toxicity, op6_lz_fingerprint, op7_packing, op8_byte_bpe, op9_language_id, op10_suffix_array_dedup)}
 ORACLES = {"op1_url_filter": OP1_SQL}
