@@ -90,8 +90,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     return fit(np.unpackbits(np.stack([np.frombuffer(r.bits, np.uint8) for r in rows]), axis=1), [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Each input row with lang_pred and score added to doc_id and text.
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each input row with lang_pred and score added to doc_id, text and the columns in keep.
 
     A null text, or one without a letter, is `und` with score 0, as is every text where nothing was learned.
     Ties go to the first language in order. Repeated rows get equal answers; texts are read whole.
@@ -114,6 +114,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best = value.argmax(1)
                 for i, k, v in zip(part, best.tolist(), value.max(1).tolist(), strict=True):
                     langs[i], scores[i] = own.classes[k], min(1.0, max(0.0, (v + 1) / 2))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "text", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, text string, lang_pred string, score double")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    return own.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", lang_pred string, score double")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame
 from .common import session, texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-WINDOW, SENTENCE_COST, INSIDE_COST, STEP, BLOCK_TOKENS = 4096, 6, 48, 128, 1_000_000
+WINDOW, SENTENCE_COST, INSIDE_COST, STEP, BLOCK_TOKENS = 4096, 2, 16, 32, 1_000_000
+#: Words that end a sentence.
+STOPS = (".", "!", "?", "...", "!!", "。")
 #: Distinct words in a generation of those a worker remembers, and the longest word that passes to the next.
 CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: A word of Latin letters and the ASCII punctuation after it (no apostrophe).
@@ -29,24 +32,44 @@ PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:
 _TOKENIZERS: dict = {}
 
 
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Words:
     """Ids of texts, word by word. The tokenizer drops white space and never joins words across it, so
     blanks and line feeds cut a text without changing its ids; nor does it join a word of Latin letters
-    to the ASCII punctuation after it. A worker remembers the ids of words in two generations."""
+    to the ASCII punctuation after it. Such words go straight to the tokenizer's BPE model. A worker
+    remembers the ids of words in two generations."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.stops = np.array(sorted(i for x in (".", "!", "?", "...", "!!", "。") if (i := self.tokenizer.token_to_id(x + "</w>")) is not None), np.uint32)
+        self.stops = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.stops[[i for x in STOPS if (i := self.tokenizer.token_to_id(x + "</w>")) is not None]] = True
 
     def learn(self, texts: list[str]) -> None:
-        """Ids of texts not known yet."""
+        """Ids of texts of any kind."""
         for text, got in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.young[text] = np.array(got.ids, "<u4").tobytes()
+            self.young[text] = array("I", got.ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a lower-cased word of Latin letters."""
+        got = self.young.get(word) or self.old.get(word)
+        if got is None:
+            form = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        self.young[word] = got
+        return got
 
     def missing(self, names: set[str]) -> list[str]:
         """Those without ids; what only the old generation has is taken over."""
@@ -64,11 +87,11 @@ class Words:
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= CACHE_CHARS}, {}
         new = self.missing(set().union(*cut)) if cut else []
-        parts = [(x, m[1].lower(), m[2]) for x in new if (m := PLAIN(x))]
-        self.learn(self.missing({y for _, *ys in parts for y in ys}))
-        for x, word, mark in parts:
-            self.young[x] = self.young[word] + self.young[mark]
-        self.learn([x for x in new if x not in self.young])
+        plain = {x: m for x in new if (m := PLAIN(x))}
+        self.learn(self.missing({m[2] for m in plain.values()}))
+        for x, m in plain.items():
+            self.young[x] = self.word(m[1].lower()) + self.young[m[2]]
+        self.learn([x for x in new if x not in plain])
         ids = self.young.__getitem__
         return [np.frombuffer(b"".join(map(ids, words)), "<u4") for words in cut]
 
@@ -80,18 +103,18 @@ def words(path: str) -> Words:
     return _TOKENIZERS[path]
 
 
-def candidates(lengths: list[int], ends: list[np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a window may end, ascending and from 0, and the penalty of each."""
+def candidates(lengths: list[int], inner: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a window may end, ascending and from 0, and the penalty of each. inner: ends of sentences."""
     at = np.concatenate([[0], np.cumsum(lengths)])
-    inner = np.concatenate([e + s for e, s in zip(ends, at[:-1], strict=True)]) if ends else np.zeros(0, np.int64)
-    places = np.union1d(at, inner).astype(np.int64)
-    gaps = np.diff(places)
-    wide = np.flatnonzero(gaps > step)
-    if len(wide):
-        places = np.union1d(places, np.concatenate([np.arange(places[i] + step, places[i + 1], step) for i in wide]))
-    cost = np.full(len(places), INSIDE_COST, np.int64)
-    cost[np.isin(places, inner)] = SENTENCE_COST
-    cost[np.isin(places, at)] = 0
+    cost = np.full(at[-1] + 1, INSIDE_COST, np.int64)
+    cost[inner] = SENTENCE_COST
+    cost[at] = 0
+    places = np.flatnonzero(cost < INSIDE_COST)
+    for i in np.flatnonzero(np.diff(places) > step):
+        cost[places[i] + step : places[i + 1] : step] = -1
+    places = np.flatnonzero(cost < INSIDE_COST)
+    cost = cost[places]
+    cost[cost < 0] = INSIDE_COST
     return places, cost
 
 
@@ -145,7 +168,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
             nonlocal block, held, made
             if not block:
                 return None
-            ends = [np.flatnonzero(np.isin(ids, own.stops)) + 1 for _, ids, _, _ in block]
+            ends = np.flatnonzero(own.stops[np.concatenate([x[1] for x in block])]) + 1
             places, cost = candidates([len(x[1]) for x in block], ends, STEP)
             cuts = best_cuts(places, cost, window, last)
             rows: list[tuple] = []

@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import raw, session, stored
@@ -374,8 +375,8 @@ def alone(docs: DataFrame) -> DataFrame | None:
     return stored(docs.join(twice, "doc_id").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least")), "repeated-ids")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, body (UTF-8 bytes) and spans (null: none) of every row: the byte ranges to remove.
+def deduplicated(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, body (UTF-8 bytes), spans (null: none) and the columns in keep of every row; spans are the byte ranges to remove.
 
     Places are bytes of the input, whatever is removed elsewhere. A null text is an empty one. Rows that
     repeat an id with the same text are one document and get the same spans; of different texts
@@ -383,17 +384,17 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     and are not looked at. Other columns are ignored; an empty table gives no rows; whole texts are read.
     """
     session(docs.sparkSession)
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     ids, rest = own.where("doc_id is not null"), own.where("doc_id is null")
     repeats = alone(own)
-    one = ids
+    one = ids.select("doc_id", "text")
     if repeats is not None:
-        marked = ids.join(repeats, "doc_id", "left").withColumn("chosen", F.coalesce(F.xxhash64("text") == F.col("least"), F.lit(True)))
-        ids, rest = marked.where("chosen").select("doc_id", "text"), rest.union(marked.where("not chosen").select("doc_id", "text"))
-        one = ids.dropDuplicates(["doc_id"])
+        marked = ids.join(repeats, "doc_id", "left").withColumn("_chosen", F.coalesce(F.xxhash64("text") == F.col("least"), F.lit(True))).drop("least")
+        ids, rest = marked.where("_chosen").drop("_chosen"), rest.union(marked.where("not _chosen").drop("_chosen"))
+        one = ids.select("doc_id", "text").dropDuplicates(["doc_id"])
     spans = repeated_spans(one, length)
-    whole = F.col("text").cast("binary").alias("body")
-    return ids.join(spans, "doc_id", "left").select("doc_id", whole, "spans").union(rest.select("doc_id", whole, F.lit(None).cast("array<struct<start:long,end:long>>")))
+    columns = ["doc_id", F.col("text").cast("binary").alias("body"), "spans", *keep]
+    return ids.join(spans, "doc_id", "left").select(*columns).union(rest.withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>")).select(*columns))
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -415,11 +416,10 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_text(body: bytes, spans: list) -> str:
+def kept_text(body: bytes, spans) -> str:
     """What is left as text: a removed range gives back the bytes of characters that it only cuts into."""
     out, at = [], 0
-    for r in spans or []:
-        a, b = r["start"], r["end"]
+    for a, b in spans:
         while a < b and body[a] & 0xC0 == 0x80:
             a += 1
         while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
@@ -428,3 +428,13 @@ def kept_text(body: bytes, spans: list) -> str:
             out.append(body[at:a])
             at = b
     return b"".join([*out, body[at:]]).decode("utf-8", "replace")
+
+
+def remaining(body: Column, spans: Column) -> Column:
+    """The text that is left of the bytes without the spans."""
+
+    @F.pandas_udf("string")
+    def run(bodies: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([kept_text(b, [] if s is None else list(zip(s, e, strict=True))) for b, s, e in zip(bodies, starts, ends, strict=True)], dtype=object)
+
+    return run(body, spans.getField("start"), spans.getField("end"))
