@@ -1,10 +1,64 @@
-"""From raw documents to packed token windows."""
+"""From raw documents to packed token windows, in five stages over whole tables.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Every stage's result is written to the shared folder and read again before the next one.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import langid, neardup, packing, pii, suffix_dedup
+from tallyspark.llm.common import documents, stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language, which replaces what `lang` says; texts without a letter go."""
+    rows = langid.predict(docs.drop("lang_pred", "score"), langid.train(docs), ("source", "n_chars"))
+    return rows.where(F.col("lang_pred") != langid.UND).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the document with the least id stays."""
+    gone = neardup.near_duplicates(docs, neardup.Rule(words=5, share=80)).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 100 bytes or more that stand earlier in the corpus; whole characters stay."""
+    rows = suffix_dedup.deduplicated(docs, keep=("lang", "source"))
+    text = F.when(F.col("spans").isNull(), F.col("body").cast("string")).otherwise(suffix_dedup.remaining(F.col("body"), F.col("spans")))
+    return rows.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with each span of personal data replaced by its kind."""
+    return docs.select("doc_id", pii.masked(F.col("text")).alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_neardup", minhash_neardup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("pii_masking", pii_masking),
+    ("packing", pack),
+]
+
+#: SQL expresses none of the learned and searching stages; tests/llm compares them with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
