@@ -212,6 +212,25 @@ def test_near_duplicates_equal_brute_force(spark, words, share):
     assert got == brute_links(texts, words, share)
 
 
+@pytest.mark.parametrize("blocks", [(128, 512), (3, 5)])
+def test_near_duplicates_in_a_dense_group(spark, blocks, monkeypatch):
+    """One large group whose members lie just above and just below the threshold."""
+    monkeypatch.setattr(neardup, "QUERIES", blocks[0])
+    monkeypatch.setattr(neardup, "MEMBERS", blocks[1])
+    rnd = random.Random(12)
+    base = ["".join(rnd.choices("abcdefghij", k=4)) for _ in range(150)]
+    texts = []
+    for i in range(250):
+        words = list(base)
+        for _ in range(rnd.randint(1, 9)):
+            words[rnd.randrange(len(words))] = rnd.choice(["x", "y", "z"]) + str(rnd.randrange(20))
+        texts.append((i, " ".join(words)))
+    want = brute_links(texts, 3, 85)
+    assert 2 < len({c for _, c in want.values()}) < 200
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), neardup.Rule(3, 85)).collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
