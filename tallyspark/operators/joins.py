@@ -35,7 +35,7 @@ def two_sided(quotes: DataFrame, market: list[str], side: str, price: str, sides
     """Markets with exactly one distinct price on each of two sides, and the probabilities without the margin."""
     one = [F.collect_set(F.when(F.col(side) == s, F.col(price))) for s in sides]
     rows = quotes.groupBy(*market).agg(one[0].alias("_a"), one[1].alias("_b"), F.countDistinct(side).alias("_n"))
-    rows = rows.where("size(_a) = 1 and size(_b) = 1 and _n = 2").withColumn("price_a", F.col("_a")[0]).withColumn("price_b", F.col("_b")[0])
+    rows = rows.where("size(_a) = 1 and size(_b) = 1 and _n = 2").withColumn("price_a", F.get("_a", F.lit(0))).withColumn("price_b", F.get("_b", F.lit(0)))
     inverse = 1 / F.col("price_a"), 1 / F.col("price_b")
     return rows.drop("_a", "_b", "_n").withColumn("p_a", inverse[0] / (inverse[0] + inverse[1])).withColumn("overround", inverse[0] + inverse[1] - 1)
 
