@@ -2,9 +2,11 @@
 
 Of every permutation both the least and the greatest hash of a document's shingle set are kept, so half as
 many hashes give a signature; bands of the signature make candidates. Documents with equal sets are one class
-from the start. Within a bucket no pairs are listed at large: each document first meets the bucket's least
-document, then a few of every component other than its own, and at last all of those that its signature does not
-rule out, so the links that join components are all found. Every link is confirmed on full shingle sets.
+from the start. No pairs are listed within a bucket. Each document first meets the hub (the least document) of one
+of its buckets that its signature puts nearest; that joins most of a group. Then buckets that share documents make
+a family, and the documents outside a family's largest component are the queries that are compared with the whole
+family in blocks of bounded size, on full shingle sets; only the links found are rows. So no link that joins two components
+is lost, and every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .common import raw, session, stored
 PERMUTATIONS = 80
 #: A pair is not confirmed if its estimated similarity is this far below the threshold (seven standard errors).
 SLACK = 0.2
-#: Members of a component in a bucket that others meet in a round; None: all.
-ROUNDS = (4, 64, None)
+#: Queries and members in a block.
+QUERIES, MEMBERS = 128, 512
 
 _RNG = np.random.Generator(np.random.PCG64(11))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,6 +170,82 @@ def confirmed(pairs: DataFrame, words: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def overlaps(queries: list[np.ndarray], members: list[np.ndarray], most: int = 4_000_000) -> np.ndarray:
+    """Sizes of the intersections, members x queries: an index of the queries' shingles, probed by the members in turn."""
+    keys = np.concatenate(queries) if queries else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(queries)), [len(x) for x in queries])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    out = np.zeros((len(members), len(queries)), np.int64)
+    at = 0
+    while at < len(members):
+        stop, held = at, 0
+        while stop < len(members) and (stop == at or held + len(members[stop]) * len(queries) <= most):
+            held += len(members[stop]) * len(queries)
+            stop += 1
+        part = np.concatenate(members[at:stop])
+        row = np.repeat(np.arange(stop - at), [len(x) for x in members[at:stop]])
+        low = np.searchsorted(keys, part)
+        n = np.searchsorted(keys, part, "right") - low
+        hit = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        out[at:stop] = np.bincount(np.repeat(row, n) * len(queries) + owner[hit], minlength=(stop - at) * len(queries)).reshape(stop - at, -1)
+        at = stop
+    return out
+
+
+def across(members: DataFrame, roots: DataFrame, words: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between different components of a family: for each query one with each component it is linked with
+    in a block."""
+    stars = members.where("doc_id <> hub").selectExpr("doc_id a", "hub b").distinct()
+    family = components(stars).selectExpr("id doc_id", "root family")
+    heads = family.select(F.col("family").alias("doc_id"), "family").distinct()
+    every = family.where("doc_id <> family").union(heads).join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "family", F.coalesce("root", "doc_id").alias("root"))
+    parts = every.groupBy("family", "root").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("inside")).where("size > inside")
+    open_ = open_.select("family", "main", F.ceil((F.col("size") - F.col("inside")) / QUERIES).alias("qs"), F.ceil(F.col("size") / MEMBERS).alias("ms"))
+    every = stored(every.join(open_, "family"), "families")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = every.where("root <> main").select("family", block("qs").alias("q"), spread("ms").alias("m"), F.lit(0).alias("side"), "doc_id", "root")
+    held = every.select("family", spread("qs").alias("q"), block("ms").alias("m"), F.lit(1).alias("side"), "doc_id", "root")
+    rows = asked.union(held).join(words, "doc_id").repartition("family", "q", "m").sortWithinPartitions("family", "q", "m", "side")
+
+    def solve(rows):
+        sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+        if not all(sides):
+            return
+        count = overlaps([r[3] for r in sides[0]], [r[3] for r in sides[1]])
+        sizes = [np.array([len(r[3]) for r in side]) for side in sides]
+        linked = (count > 0) & (rule.parts * count >= rule.share * (sizes[1][:, None] + sizes[0][None] - count))
+        linked &= np.array([r[2] for r in sides[1]])[:, None] != np.array([r[2] for r in sides[0]])[None]
+        for q in np.flatnonzero(linked.any(0)).tolist():
+            met = {}
+            for m in np.flatnonzero(linked[:, q]).tolist():
+                met.setdefault(sides[1][m][2], sides[1][m][1])
+            for b in met.values():
+                yield sides[0][q][1], b
+
+    def run(batches):
+        now, held = None, []
+
+        def out(found):
+            found = list(found)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            names = zip(*(batch.column(c).to_pylist() for c in ("family", "q", "m")), strict=True)
+            for key, side, doc, root, keys in zip(names, *(batch.column(c).to_pylist() for c in ("side", "doc_id", "root")), shingle_sets(*raw(batch), rule.words), strict=True):
+                if key != now:
+                    if held:
+                        yield out(solve(held))
+                    now, held = key, []
+                held.append((side, doc, root, keys))
+        if held:
+            yield out(solve(held))
+
+    return rows.select("family", "q", "m", "side", "doc_id", "root", "text").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -190,29 +268,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa:
     pairs = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b")), "pairs")
     alike = members.select("doc_id").distinct()
     words = stored(own.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null").join(alike, "doc_id", "left_semi"), "texts")
-    tested = pairs
     twice = full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     same = full.join(twice, "doc_id").join(classes, ["k1", "k2"]).selectExpr("doc_id a", "rep b")
     links = stored(confirmed(pairs, words, rule).union(same), "confirmed")
     roots = components(links)
-    for meet in ROUNDS:
-        at = members.select("key", "doc_id").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        parts = at.groupBy("key", "root").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-        at = at.join(mixed, "key").join(parts, ["key", "root"])
-        few = at.where("root <> main").selectExpr("key", "doc_id a", "root ra")
-        met = at.selectExpr("key", "doc_id b", "root rb", "main", "n")
-        met = met.where(F.pmod(F.xxhash64("key", "b"), F.col("n")) < meet) if meet else met
-        pairs = few.join(met, "key").where("ra <> rb and (rb = main or a < b)" if meet is None else "ra <> rb")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = stored(likely(pairs.join(tested, ["a", "b"], "left_anti"), sizes, rule), "pairs").drop("near")
-        if pairs.isEmpty():
-            continue
-        new = stored(confirmed(pairs, words, rule), "confirmed")
-        tested = tested.union(pairs)
-        if not new.isEmpty():
-            links = links.union(new)
-            roots = components(links)
+    more = stored(across(members, roots, words, rule), "confirmed")
+    if not more.isEmpty():
+        roots = components(links.union(more))
     found = every.join(classes, ["k1", "k2"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     root = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
