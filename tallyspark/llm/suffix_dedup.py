@@ -25,7 +25,7 @@ from .common import raw, session, stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed in one go; different segments of a key that fill a shard; bytes of a suffix array.
-CHUNK, SHARD_SEGMENTS, BLOCK_BYTES = 1 << 20, 4096, 1 << 22
+CHUNK, SHARD_SEGMENTS, BLOCK_BYTES = 1 << 20, 512, 1 << 22
 
 _RNG = np.random.Generator(np.random.PCG64(13))
 _BYTE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -130,7 +130,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(7):  # seven bytes and the number of bytes there are, so that an end sorts before a zero byte
         word = (word << np.uint64(8)) | padded[k : n + k]
     word = (word << np.uint64(8)) | np.minimum(np.arange(n, 0, -1), 7).astype(np.uint64)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     sorted_word = word[order]
     new = np.ones(n, bool)
     new[1:] = sorted_word[1:] != sorted_word[:-1]
@@ -150,7 +150,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         who = order[open_]
         group = rank[who]
         nxt = rank[np.minimum(who + h, n)]
-        sub = np.lexsort((nxt, group))
+        sub = np.argsort(group * (n + 1) + nxt + 1)
         who, group, nxt = who[sub], group[sub], nxt[sub]
         order[open_] = who
         head = np.ones(len(open_), bool)
