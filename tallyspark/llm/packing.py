@@ -26,7 +26,7 @@ WINDOW, SENTENCE_COST, INSIDE_COST, STEP, BLOCK_TOKENS = 4096, 2, 16, 32, 1_000_
 #: Words that end a sentence.
 STOPS = (".", "!", "?", "...", "!!", "。")
 #: Distinct words in a generation of those a worker remembers, and the longest word that passes to the next.
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 #: A word of Latin letters and the ASCII punctuation after it (no apostrophe).
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _TOKENIZERS: dict = {}
@@ -39,11 +39,11 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
-class Words:
-    """Ids of texts, word by word. The tokenizer drops white space and never joins words across it, so
-    blanks and line feeds cut a text without changing its ids; nor does it join a word of Latin letters
-    to the ASCII punctuation after it. Such words go straight to the tokenizer's BPE model. A worker
-    remembers the ids of words in two generations."""
+class Words(dict):
+    """Ids of texts, word by word: a dictionary from words to their ids that fills itself. The tokenizer drops white
+    space and never joins words across it, so blanks and line feeds cut a text without changing its ids; nor does it
+    join a word of Latin letters to the ASCII punctuation after it. Such words go straight to the tokenizer's BPE
+    model. Two generations of words are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,48 +52,29 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.stops = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.stops[[i for x in STOPS if (i := self.tokenizer.token_to_id(x + "</w>")) is not None]] = True
 
-    def learn(self, texts: list[str]) -> None:
-        """Ids of texts of any kind."""
-        for text, got in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.young[text] = array("I", got.ids).tobytes()
-
-    def word(self, word: str) -> bytes:
-        """Ids of a lower-cased word of Latin letters."""
-        got = self.young.get(word) or self.old.get(word)
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
         if got is None:
-            form = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            got = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
-        self.young[word] = got
+            if (plain := PLAIN(word)) is None:
+                got = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            elif plain[2] or not word.islower():
+                got = self[plain[1].lower()] + (self[plain[2]] if plain[2] else b"")
+            else:
+                form = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                got = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        self[word] = got
         return got
 
-    def missing(self, names: set[str]) -> list[str]:
-        """Those without ids; what only the old generation has is taken over."""
-        out, young, old = [], self.young, self.old
-        for name in names:
-            if name not in young:
-                if (got := old.get(name)) is None:
-                    out.append(name)
-                else:
-                    young[name] = got
-        return out
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= CACHE_CHARS}, {}
-        new = self.missing(set().union(*cut)) if cut else []
-        plain = {x: m for x in new if (m := PLAIN(x))}
-        self.learn(self.missing({m[2] for m in plain.values()}))
-        for x, m in plain.items():
-            self.young[x] = self.word(m[1].lower()) + self.young[m[2]]
-        self.learn([x for x in new if x not in plain])
-        ids = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(ids, words)), "<u4") for words in cut]
+        if len(self) > CACHE_WORDS:
+            self.old = {k: v for k, v in self.items() if len(k) <= CACHE_CHARS}
+            self.clear()
+        ids = self.__getitem__
+        return [np.frombuffer(b"".join(map(ids, text.replace("\n", " ").split(" "))), "<u4") for text in texts]
 
 
 def words(path: str) -> Words:
