@@ -32,12 +32,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_STORED: set[str] = set()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    _STORED.add(path)
+    return out
+
+
+def stored_tables() -> set[str]:
+    return set(_STORED)
+
+
+def delete(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths & _STORED:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _STORED.discard(path)
+
+
+def forget(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    delete(spark, {f.stored_at for f in frames})
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

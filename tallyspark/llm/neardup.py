@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, session, stored
+from .common import forget, raw, session, stored
 
 #: Permutations; a signature has twice as many values.
 PERMUTATIONS = 80
@@ -131,10 +131,13 @@ def components(links: DataFrame) -> DataFrame:
         large = two.join(least, "u").where("v > u").selectExpr("v u", "m v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").selectExpr("v u", "m v").union(least.selectExpr("u", "m v"))
-        edges = stored(small.distinct(), "links")
+        last, edges = edges, stored(small.distinct(), "links")
+        forget(edges.sparkSession, last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
-            return edges.selectExpr("u id", "v root")
+            out = edges.selectExpr("u id", "v root")
+            out.stored_at = edges.stored_at
+            return out
         state = now
 
 
@@ -197,7 +200,8 @@ def across(members: DataFrame, roots: DataFrame, words: DataFrame, rule: Rule) -
     """Links (a, b) between different components of a family: for each query one with each component it is linked with
     in a block."""
     stars = members.where("doc_id <> hub").selectExpr("doc_id a", "hub b").distinct()
-    family = components(stars).selectExpr("id doc_id", "root family")
+    at = components(stars)
+    family = at.selectExpr("id doc_id", "root family")
     heads = family.select(F.col("family").alias("doc_id"), "family").distinct()
     every = family.where("doc_id <> family").union(heads).join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "family", F.coalesce("root", "doc_id").alias("root"))
     parts = every.groupBy("family", "root").agg(F.count("*").alias("n"))
@@ -243,7 +247,9 @@ def across(members: DataFrame, roots: DataFrame, words: DataFrame, rule: Rule) -
         if held:
             yield out(solve(held))
 
-    return rows.select("family", "q", "m", "side", "doc_id", "root", "text").mapInArrow(run, "a long, b long")
+    found = stored(rows.select("family", "q", "m", "side", "doc_id", "root", "text").mapInArrow(run, "a long, b long"), "confirmed")
+    forget(found.sparkSession, every, at)
+    return found
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -272,9 +278,11 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa:
     same = full.join(twice, "doc_id").join(classes, ["k1", "k2"]).selectExpr("doc_id a", "rep b")
     links = stored(confirmed(pairs, words, rule).union(same), "confirmed")
     roots = components(links)
-    more = stored(across(members, roots, words, rule), "confirmed")
+    more = across(members, roots, words, rule)
     if not more.isEmpty():
-        roots = components(links.union(more))
+        first, roots = roots, components(links.union(more))
+        forget(own.sparkSession, first)
+    forget(own.sparkSession, reps, members, pairs, words, links, more)
     found = every.join(classes, ["k1", "k2"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     root = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

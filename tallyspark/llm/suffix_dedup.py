@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw, session, stored
+from .common import forget, raw, session, stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed in one go; different segments of a key that fill a shard; bytes of a suffix array.
@@ -364,7 +364,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
 
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("list")).mapInArrow(union, "doc_id long, spans array<struct<start:long,end:long>>")
+    found = every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("list")).mapInArrow(union, "doc_id long, spans array<struct<start:long,end:long>>")
+    found = stored(found, "spans")
+    forget(docs.sparkSession, kept, solved)
+    return found
 
 
 def alone(docs: DataFrame) -> DataFrame | None:
