@@ -6,28 +6,50 @@ documents. Every stage's result is written to the shared folder and read again b
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import langid, neardup, packing, pii, suffix_dedup
-from tallyspark.llm.common import documents, stored
+from tallyspark.llm.common import delete, documents, stored, stored_tables
 
+#: Tables that the stage before stored on its way; its result is written when the next stage begins.
+_LEFT: set[str] = set()
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def stage(work):
+    """A stage that first deletes what the one before left in the shared folder."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, _LEFT - {getattr(docs, "stored_at", None)})
+        _LEFT.clear()
+        before = stored_tables()
+        out = work(spark, docs, sf_dir)
+        _LEFT.update(stored_tables() - before)
+        return out
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, which replaces what `lang` says; texts without a letter go."""
     rows = langid.predict(docs.drop("lang_pred", "score"), langid.train(docs), ("source", "n_chars"))
     return rows.where(F.col("lang_pred") != langid.UND).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+@stage
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the least id stays."""
     gone = neardup.near_duplicates(docs, neardup.Rule(words=5, share=80)).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+@stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes or more that stand earlier in the corpus; whole characters stay."""
     rows = suffix_dedup.deduplicated(docs, keep=("lang", "source"))
@@ -35,11 +57,13 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return rows.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each span of personal data replaced by its kind."""
     return docs.select("doc_id", pii.masked(F.col("text")).alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of at most 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -59,6 +83,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for name, work in STAGES[:-1]:
+        docs = stored(work(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
