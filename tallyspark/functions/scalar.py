@@ -109,3 +109,32 @@ def favourite(p: Column) -> Column:
 
 def age_hinge(a: Column, b: Column, from_: float = 32.0) -> Column:
     return (F.greatest(a - from_, F.lit(0.0)) - F.greatest(b - from_, F.lit(0.0))) / 5
+
+
+#: Groups of result methods and what their text says, first match first.
+METHODS = (
+    ("doctor_stoppage", "doctor|medical"),
+    ("disqualification", "^dq|disqualif"),
+    ("could_not_continue", "could not continue"),
+    ("overturned", "overturned"),
+    ("decision_unanimous", "^decision.*unanimous"),
+    ("decision_split", "^decision.*split"),
+    ("decision_majority", "^decision.*majority"),
+    ("decision", "^decision"),
+    ("submission", "^submission|^sub$"),
+    ("ko_tko", r"^t?ko(\b|/)"),
+)
+
+
+def method_group(method: Column, outcome: Column) -> Column:
+    """The group of a result's method; no_contest goes by the outcome, an empty method is unknown, any other is other."""
+    text = F.trim(F.regexp_replace(F.lower(method), r"\s+", " "))
+    out = F.lit("other")
+    for name, pattern in reversed(METHODS):
+        out = F.when(text.rlike(pattern), name).otherwise(out)
+    return F.when(outcome.eqNullSafe("no_contest"), "no_contest").when(text.isNull() | (text == ""), "unknown").otherwise(out)
+
+
+def result_of(outcome: Column, winner: Column, me: Column, other: Column) -> Column:
+    """A result from one side's point of view."""
+    return F.when(outcome.isin("draw", "no_contest"), outcome).when((outcome == "win") & (winner == me), "win").when((outcome == "win") & (winner == other), "loss").otherwise("unknown")
