@@ -24,6 +24,8 @@ from .common import forget, raw, session, stored
 PERMUTATIONS = 80
 #: A pair is not confirmed if its estimated similarity is this far below the threshold (seven standard errors).
 SLACK = 0.2
+#: Bytes of text hashed in one go.
+PART_BYTES = 1 << 19
 #: Queries and members in a block.
 QUERIES, MEMBERS = 128, 512
 
@@ -75,7 +77,18 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a text with fewer words is one shingle, one without words has none."""
+    """The sorted distinct shingle hashes of each text; a text with fewer words is one shingle, one without words has none.
+    Texts are taken in stretches of about PART_BYTES, so that the arrays stay small whatever a batch holds."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(offsets) - 1:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_BYTES, "right")) - 1)
+        out += part_sets(offsets[at : stop + 1] - offsets[at], data[offsets[at] : offsets[stop]], words)
+        at = stop
+    return out
+
+
+def part_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> list[np.ndarray]:
     hashes, first = word_hashes(offsets, data)
     joined = hashes * _ORDER[0]
     for k in range(1, words):

@@ -25,7 +25,7 @@ from .common import forget, raw, session, stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed in one go; different segments of a key that fill a shard; bytes of a suffix array.
-CHUNK, SHARD_SEGMENTS, BLOCK_BYTES = 1 << 20, 512, 1 << 22
+CHUNK, SHARD_SEGMENTS, BLOCK_BYTES = 1 << 18, 512, 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(13))
 _BYTE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -96,11 +96,13 @@ def scan(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             offsets, data = raw(batch)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.repeat(offsets[1:], np.diff(offsets))
             parts = []
             for at in range(0, max(1, len(data) - length + 1), CHUNK):
                 stop = min(len(data), at + CHUNK + length - 1)
-                start, count, key, digest = segments(data[at:stop], ends[at:stop] - at, length)
+                cuts = offsets[(offsets > at) & (offsets < stop)]
+                inside = np.concatenate([[at], cuts, [stop]])
+                text_end = np.append(cuts, offsets[np.searchsorted(offsets, stop)])  # of the text of each stretch
+                start, count, key, digest = segments(data[at:stop], np.repeat(text_end - at, np.diff(inside)), length)
                 parts.append((start + at, count, key, digest))
             start, count, key, digest = (np.concatenate(x) for x in zip(*parts, strict=True))
             row = np.searchsorted(offsets, start, "right") - 1
