@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
+import urllib.parse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,3 +43,24 @@ def of(rule):
 
 
 name_key, letters_key, accent_key = of(plain_key), of(letters), of(unaccented)
+
+
+def section(x: str) -> str:
+    """A heading as it may stand in an address: decoded, NFKC, white space collapsed, case folded."""
+    return plain_key(html.unescape(urllib.parse.unquote(x).replace("_", " ")))
+
+
+def title(x: str) -> str:
+    return unicodedata.normalize("NFC", x.replace("_", " ")).strip()
+
+
+def base36(digest: str) -> str:
+    """A SHA-1 in hexadecimal as 31 characters to the base of 36."""
+    number, out = int(digest, 16), ""
+    for _ in range(31):
+        number, rest = divmod(number, 36)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[rest] + out
+    return out
+
+
+section_key, title_key, base36_key = of(section), of(title), of(base36)

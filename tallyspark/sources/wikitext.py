@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import names, scalar
+from ..operators import asof
 
 PARTS = "page_id long, position int, template string, parts array<string>"
 BRACES = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
@@ -82,3 +83,32 @@ def event_fields(pages: DataFrame, infobox: str = "Infobox MMA event") -> DataFr
     box = scan(pages, infobox).where("position = 1")
     field = lambda key: F.get(F.filter(F.transform("parts", lambda p: F.regexp_extract(p, rf"(?is)^{key}\s*=\s*(.*)$", 1)), lambda v: v != ""), F.lit(0))
     return box.select("page_id", field("name").alias("name"), scalar.date(F.trim(field("date"))).alias("event_date"))
+
+
+HEADINGS = "page_id long, position int, level int, name string, start int, end int"
+HEADING = re.compile(r"^[^\S\n]*(={2,6})([^=\n](?:[^\n]*[^=\n])?)(={2,6})[^\S\n]*$", re.M)
+
+
+def headings(pages: DataFrame) -> DataFrame:
+    """Level, name and place of every heading whose two sides are equally long; `end` is where its section ends: at the next
+    heading of its level or a higher one."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for page, source in zip(frame["page_id"], frame["source"], strict=True):
+                found = [(len(m[1]), m[2].strip(), m.start()) for m in HEADING.finditer(source or "") if len(m[1]) == len(m[3]) and m[2].strip()]
+                for k, (level, name, start) in enumerate(found):
+                    end = next((s for depth, _, s in found[k + 1 :] if depth <= level), len(source))
+                    rows.append((page, k + 1, level, name, start, end))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADINGS.split(", ")])
+
+    return pages.select("page_id", "source").mapInPandas(run, HEADINGS)
+
+
+def latest_revisions(revisions: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """revisions (page_id, revision_id, stamped, content, sha1) and cutoffs (page_id, cutoff) -> each page's latest revision at or before its
+    cutoff, and whether the content has the stated SHA-1 (hexadecimal or to the base of 36)."""
+    found = asof.asof_join(cutoffs.select("page_id", "cutoff"), revisions, ["page_id"], "cutoff", "stamped", ["revision_id", "content", "sha1"])
+    digest = F.sha1("content")
+    return found.withColumn("verified", F.coalesce(F.lower("sha1").isin(digest) | (F.lower("sha1") == names.base36_key(digest)), F.lit(False)))

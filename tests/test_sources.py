@@ -1,10 +1,13 @@
 """Sources with nested or marked-up input: summaries, rankings, wiki text, bindings."""
 
+import hashlib
 import json
+import struct
+import zlib
 
 from pyspark.sql import functions as F
-from tallyspark.functions import scalar
-from tallyspark.sources import bindings, rankings, summaries, wikitext
+from tallyspark.functions import names, scalar
+from tallyspark.sources import bindings, images, rankings, summaries, wikitext
 
 
 def summary(i, status="closed", winner="home_team", season="s1", day="2024-01-02", sides=("a", "b"), **kw):
@@ -70,3 +73,35 @@ def test_methods(spark):
     frame = spark.createDataFrame([(i, t, "win") for i, t in enumerate(texts)] + [(99, "KO", "no_contest")], "i int, m string, o string")
     got = [r[0] for r in frame.orderBy("i").select(scalar.method_group(F.col("m"), F.col("o"))).collect()]
     assert got == ["ko_tko", "doctor_stoppage", "disqualification", "decision_unanimous", "decision_split", "decision", "submission", "submission", "overturned", "could_not_continue", "unknown", "unknown", "other", "other", "no_contest"]
+
+
+def test_headings_and_revisions(spark):
+    text = "intro\n== One ==\na\n=== Sub ===\nb\n==Two==\n== uneven ===\nc"
+    frame = spark.createDataFrame([(1, text), (2, None)], "page_id long, source string")
+    got = [(r.level, r.name, text[r.start : r.end].strip()) for r in wikitext.headings(frame).orderBy("position").collect()]
+    assert [g[:2] for g in got] == [(2, "One"), (3, "Sub"), (2, "Two")]
+    assert got[0][2].endswith("b") and got[1][2].endswith("b") and got[2][2].endswith("c")
+    sha = hashlib.sha1(b"new").hexdigest()
+    revisions = spark.createDataFrame([(1, 10, 5, "old", "x"), (1, 11, 7, "new", names.base36(sha)), (1, 12, 9, "later", "x"), (2, 20, 9, "late", "x")], "page_id long, revision_id int, stamped int, content string, sha1 string")
+    cutoffs = spark.createDataFrame([(1, 8), (2, 8)], "page_id long, cutoff int")
+    out = {r.page_id: (r.revision_id, r.verified) for r in wikitext.latest_revisions(revisions, cutoffs).collect()}
+    assert out == {1: (11, True), 2: (None, False)}
+
+
+def test_keys():
+    assert names.section("Fight_Night%20%26amp;  1") == "fight night & 1" and names.title("A_B") == "A B"
+    assert int(names.base36("ff" * 20), 36) == int("ff" * 20, 16) and len(names.base36("00")) == 31
+
+
+def test_images(spark):
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", 20, 30, 8, 0, 0, 0, 0)
+    png = images.PNG + chunk(b"IHDR", head) + chunk(b"IDAT", b"x") + chunk(b"IEND", b"")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 40, 50) + b"\x01\x01\x11\x00\xff\xd9"
+    small = images.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 0, 0, 0, 0)) + chunk(b"IDAT", b"x") + chunk(b"IEND", b"")
+    rows = [("png", png), ("jpeg", jpeg), ("cut", png[:-1]), ("bent", png[:30] + bytes([png[30] ^ 1]) + png[31:]), ("end", png + b"x"), ("small", small), ("text", b"hello"), ("null", None), ("nodata", images.PNG + chunk(b"IHDR", head) + chunk(b"IEND", b""))]
+    got = {r.name: (r.mime, r.width, r.height, r.problem) for r in images.inspected(spark.createDataFrame(rows, "name string, content binary")).collect()}
+    assert got["png"] == ("image/png", 20, 30, None) and got["jpeg"] == ("image/jpeg", 50, 40, None)
+    assert [got[k][3] for k in ("cut", "bent", "end", "small", "text", "null", "nodata")] == ["truncated", "checksum", "truncated", "dimensions", "not_an_image", "not_an_image", "incomplete"]
