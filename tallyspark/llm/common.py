@@ -35,11 +35,24 @@ def scratch(spark: SparkSession, name: str) -> str:
 _STORED: set[str] = set()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Shuffled bytes in a file of a table that is stored without Python work.
+PIECE = "32m"
+
+
+def stored(df: DataFrame, name: str, piece: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors. piece: what a file
+    gets of a shuffle, where the session's advice would make too many small files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    if piece:
+        spark.conf.set(key, piece)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if piece:
+            spark.conf.set(key, old)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     _STORED.add(path)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, raw, session, stored
+from .common import PIECE, forget, raw, session, stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed in one go; different segments of a key that fill a shard; bytes of a suffix array.
@@ -90,7 +90,8 @@ def segments(data: np.ndarray, owner_end: np.ndarray, length: int):
 
 def scan(docs: DataFrame, length: int) -> DataFrame:
     """The segments of all texts: key, digest, doc_id, start, n. Of equal segments in a batch only the first by (doc_id,
-    start) is a row; the others, settled already, travel with it as flat triples (doc_id, start, n)."""
+    start) is a row; what the others cover is settled already and becomes one more row of the batch, under a key of its
+    own, with the merged ranges as flat triples (doc_id, start, end) in `settled`."""
 
     def run(batches):
         for batch in batches:
@@ -112,12 +113,19 @@ def scan(docs: DataFrame, length: int) -> DataFrame:
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
             rest = ~first
-            size = np.diff(np.append(np.flatnonzero(first), len(key))) - 1
-            triples = np.stack([doc[rest], start[rest], count[rest]], 1).ravel()
-            others = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(3 * size)]).astype(np.int32), pa.array(triples))
-            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(digest[first].view(np.int64)), pa.array(doc[first]), pa.array(start[first].astype(np.int64)), pa.array(count[first].astype(np.int64)), others], ["key", "digest", "doc_id", "start", "n", "others"])
+            known = intervals(doc[rest], start[rest], start[rest] + count[rest] + length - 1)
+            triples = np.stack([c.to_numpy() for c in known.columns], 1).ravel()
+            more = int(len(triples) > 0)
+            n = int(first.sum())
+            own = mix(np.array([ids[0] if len(ids) else 0, 0x5EED], np.int64).view(np.uint64))[:more]
+            column = lambda x, fill: pa.array(np.append(x, np.full(more, fill, np.int64)))
+            offsets_ = np.append(np.zeros(n + 1, np.int32), np.full(more, len(triples), np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(key[first], own).view(np.int64)), column(digest[first].view(np.int64), 0), column(doc[first], 0), column(start[first].astype(np.int64), 0), column(count[first].astype(np.int64), 0), pa.ListArray.from_arrays(offsets_, pa.array(triples))],
+                ["key", "digest", "doc_id", "start", "n", "settled"],
+            )
 
-    return docs.mapInArrow(run, "key long, digest long, doc_id long, start long, n long, others array<long>")
+    return docs.mapInArrow(run, "key long, digest long, doc_id long, start long, n long, settled array<long>")
 
 
 # --- suffix arrays
@@ -253,11 +261,10 @@ def settled(kept: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             later = ~batch.column("first").to_numpy(zero_copy_only=False)
             doc, start, n = (batch.column(c).to_numpy(zero_copy_only=False)[later] for c in ("doc_id", "start", "n"))
-            more = batch.column("others").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
-            doc, start, n = np.append(doc, more[:, 0]), np.append(start, more[:, 1]), np.append(n, more[:, 2])
-            yield intervals(doc, start, start + n + length - 1)
+            more = batch.column("settled").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+            yield intervals(np.append(doc, more[:, 0]), np.append(start, more[:, 1]), np.append(start + n + length - 1, more[:, 2]))
 
-    return kept.select("first", "doc_id", "start", "n", "others").mapInArrow(run, SPANS)
+    return kept.select("first", "doc_id", "start", "n", "settled").mapInArrow(run, SPANS)
 
 
 def shard_results(pieces: DataFrame, length: int) -> DataFrame:
@@ -343,10 +350,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     merged and ascending; documents without any have no row. Ids are distinct and not null, texts not null."""
     kept = scan(docs, length)
     by_key = Window.partitionBy("key")
-    kept = kept.withColumn("rows", F.count("*").over(by_key)).where((F.col("rows") > 1) | (F.size("others") > 0))
+    kept = kept.withColumn("rows", F.count("*").over(by_key)).where((F.col("rows") > 1) | (F.size("settled") > 0))
     kept = kept.withColumn("first", F.row_number().over(Window.partitionBy("key", "digest").orderBy("doc_id", "start")) == 1)
     kept = kept.withColumn("kinds", F.sum(F.col("first").cast("long")).over(by_key))
-    kept = stored(kept.select("key", "digest", "doc_id", "start", "n", "others", "first", "kinds"), "segments")
+    kept = stored(kept.select("key", "digest", "doc_id", "start", "n", "settled", "first", "kinds"), "segments", PIECE)
     shards = F.ceil(F.col("kinds") / SHARD_SEGMENTS)
     salt = F.when(F.col("kinds") > SHARD_SEGMENTS, F.pmod(F.xxhash64("digest"), shards)).otherwise(F.lit(-1))
     wanted = kept.where("first and kinds > 1").select("key", salt.cast("long").alias("salt"), "doc_id", "start", "n")
@@ -399,7 +406,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] =
         one = ids.select("doc_id", "text").dropDuplicates(["doc_id"])
     spans = repeated_spans(one, length)
     columns = ["doc_id", F.col("text").cast("binary").alias("body"), "spans", *keep]
-    return ids.join(spans, "doc_id", "left").select(*columns).union(rest.withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>")).select(*columns))
+    judged = ids.join(spans, "doc_id", "left").select(*columns)
+    return judged if rest.isEmpty() else judged.union(rest.withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>")).select(*columns))
 
 
 def summary(rows: DataFrame) -> DataFrame:
