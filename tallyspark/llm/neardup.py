@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, raw, session, stored
+from .common import PIECE, forget, raw, session, stored
 
 #: Permutations; a signature has twice as many values.
 PERMUTATIONS = 80
@@ -26,8 +26,8 @@ PERMUTATIONS = 80
 SLACK = 0.2
 #: Bytes of text hashed in one go.
 PART_BYTES = 1 << 19
-#: Queries and members in a block.
-QUERIES, MEMBERS = 128, 512
+#: Queries and members in a block; parts into which a family is dealt when it is joined.
+QUERIES, MEMBERS, SALTS = 128, 512, 16
 
 _RNG = np.random.Generator(np.random.PCG64(11))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -220,7 +220,9 @@ def across(members: DataFrame, roots: DataFrame, words: DataFrame, rule: Rule) -
     parts = every.groupBy("family", "root").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("inside")).where("size > inside")
     open_ = open_.select("family", "main", F.ceil((F.col("size") - F.col("inside")) / QUERIES).alias("qs"), F.ceil(F.col("size") / MEMBERS).alias("ms"))
-    every = stored(every.join(open_, "family"), "families")
+    dealt = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    every = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(dealt, ["family", "salt"]).drop("salt")
+    every = stored(every, "families", PIECE)
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = every.where("root <> main").select("family", block("qs").alias("q"), spread("ms").alias("m"), F.lit(0).alias("side"), "doc_id", "root")
@@ -276,17 +278,17 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa:
     own = docs.select("doc_id", "text")
     every = stored(sketches(own, rule), "sketches")
     full = every.where("doc_id is not null and n_shingles > 0")
-    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes", PIECE)
     reps = full.join(classes.selectExpr("k1", "k2", "rep doc_id"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
-    reps = stored(reps.select("doc_id", "n_shingles", "sign", "bands"), "representatives")
+    reps = stored(reps.select("doc_id", "n_shingles", "sign", "bands"), "representatives", PIECE)
     sizes = reps.select("doc_id", "n_shingles", "sign")
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = stored(banded.join(hubs.drop("n"), "key"), "members")
+    members = stored(banded.join(hubs.drop("n"), "key"), "members", PIECE)
     pairs = likely(members.where("doc_id <> hub").selectExpr("doc_id a", "hub b").distinct(), sizes, rule)
     pairs = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b")), "pairs")
     alike = members.select("doc_id").distinct()
-    words = stored(own.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null").join(alike, "doc_id", "left_semi"), "texts")
+    words = stored(own.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null").join(alike, "doc_id", "left_semi"), "texts", PIECE)
     twice = full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     same = full.join(twice, "doc_id").join(classes, ["k1", "k2"]).selectExpr("doc_id a", "rep b")
     links = stored(confirmed(pairs, words, rule).union(same), "confirmed")
