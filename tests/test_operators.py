@@ -296,3 +296,35 @@ def test_registry_has_sql_for_what_sql_can_say():
     entry = importlib.import_module("__spark_entry__")
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(sql) >= 60 and "past_only_rate" in queries
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tallyspark.__main__ import main
+
+    assert main(["--list"]) == 0 and "past_only_rate" in capsys.readouterr().out
+    assert main(["annual_rollup", "/root/testdata/sf0.001", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+    with pytest.raises(SystemExit):
+        main(["annual_rollup"])
+
+
+def test_history_reads_only_what_it_needs(spark):
+    """Filters and columns reach the scan; history features shuffle by entity, without a range join."""
+    from tallyspark.plans import registry
+
+    plan = registry.QUERIES["semi_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,400000.0)" in plan and "o_orderpriority" not in plan
+    for name in ("last5_with_ties_shrunk", "strict_prior_running", "recent_form", "opponent_adjusted", "asof_latest_quote"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_future_rows_change_nothing(spark):
+    """Adding later, same-day and next-day rows leaves the features of earlier ones as they were."""
+    rnd = random.Random(11)
+    rows = [(rnd.choice("ab"), rnd.randint(0, 30), i, 1.0 * rnd.randint(0, 9)) for i in range(80)]
+    more = [("a", 40, 900, 5.0), ("b", 33, 901, 5.0), ("a", 31, 902, 5.0)]
+    schema = "k string, day int, id int, x double"
+    run = lambda data: {r.id: (r.n_last, r.last_x) for r in asof.last_with_ties(spark.createDataFrame(data, schema), "k", "day", "id", ["x"], 5, 3).collect()}
+    small, large = run(rows), run(rows + more)
+    assert all(large[i] == small[i] for i in small)
