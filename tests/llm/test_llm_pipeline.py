@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers as P
 import pytest
 from tallyspark.llm import pii, queries
-from test_operators import brute_links, brute_spans
+from test_llm_operators import brute_links, brute_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
