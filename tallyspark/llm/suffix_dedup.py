@@ -175,13 +175,14 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, heads: np.ndarray, most: int) -> np.ndarray:
     """Bytes (up to `most`) that each suffix shares with the one before it in order. Kasai: at the next place of the text the
-    value falls by one, as long as the neighbour moves on by one too; elsewhere, and at `heads`, bytes are compared.
+    value falls by one, as long as the neighbour moves on by one too and the bytes just passed are equal (after unequal ones
+    the value was 0 and says nothing); elsewhere, and at `heads`, bytes are compared.
     Exact at up to `most` minus the distance to the last head."""
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     compare = np.ones(n, bool)
-    compare[1:] = before[1:] != before[:-1] + 1
+    compare[1:] = (before[1:] != before[:-1] + 1) | (data[:-1] != data[before[1:] - 1])
     compare |= before <= 0
     compare[heads] = True
     live = np.flatnonzero(compare & (before >= 0))

@@ -308,6 +308,32 @@ def test_suffix_array_orders_every_suffix():
             assert shared[k] == n
 
 
+def test_common_prefixes_after_differing_bytes(spark):
+    import numpy as np
+
+    rnd = random.Random(9)
+    body = bytes(rnd.choices(b"klmnop", k=40))
+    cases = [b"axyzbxyzc", *(bytes([a]) + body + bytes([b]) + body + bytes([c]) for a, b, c in ((97, 98, 99), (51, 52, 0), (65, 66, 255)))]
+    for _ in range(300):  # copies of one passage, each with one byte changed
+        parts = []
+        for _ in range(rnd.randint(2, 4)):
+            part = bytearray(body)
+            part[rnd.randrange(len(part))] = rnd.randrange(256)
+            parts.append(bytes(part))
+        cases.append(b"".join(parts))
+    for case in cases:
+        data = np.frombuffer(case, np.uint8)
+        order, _ = suffix_dedup.suffix_array(data, len(case) + 1)
+        shared = suffix_dedup.common_prefixes(data, order, np.array([0]), 2 * len(case))
+        for k in range(1, len(case)):
+            a, b = case[order[k] :], case[order[k - 1] :]
+            assert shared[k] == next((n for n in range(min(len(a), len(b))) if a[n] != b[n]), min(len(a), len(b)))
+    passage = "".join(rnd.choices("klmnop", k=140))
+    texts = [(1, f"3{passage}0"), (2, f"4{passage}1"), (3, f"A{passage}B"), (4, f"é{passage}ü")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r[0]: tuple(r[1:]) for r in suffix_dedup.summary(suffix_dedup.deduplicated(frame)).collect()} == brute_repeats(texts)
+
+
 def test_kept_text_gives_back_cut_characters():
     body = "aébc".encode()
     assert suffix_dedup.kept_text(body, [(2, 4)]) == "aéc"
