@@ -371,6 +371,32 @@ def test_field_finds_more(spark, odd, none):
     assert pii.spans(odd).count() == len(ODD) and pii.spans(none).count() == 0
 
 
+def test_field_reads_words_of_any_length():
+    import time
+
+    import numpy as np
+
+    weights = np.array(pii.learned())
+    secret, iban, ssn = "f95017526fc608ad71587f8ea5418b66ff2e6d38", "DE89370400440532013000", "219-09-9999"
+    words = {
+        f"{'这是一个很长的句子没有空格' * 12}身份证号是{ssn}请保密{'谢谢' * 40}": (ssn, "ssn"),
+        f"{'これはとても長い文です。' * 12}口座は{iban}です{'はい' * 40}": (iban, "iban"),
+        '{"rows":[' + "1," * 80 + f'],"token":"{secret}","more":[' + "2," * 80 + "3]}": (secret, "secret"),
+        "a,b,c," * 30 + f"{ssn}," + "d,e,f," * 30 + "g": (ssn, "ssn"),
+    }
+    for text, (entity, kind) in words.items():
+        assert len(text.split()) == 1 and len(text) > pii.MOST_CHARS
+        at = text.index(entity)
+        assert [x for x in pii.find(text, weights)[1] if x[2] == kind] == [(at, at + len(entity), kind)], text
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        pii.find("x1," * n, weights)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]  # 4 in linear time, 16 in quadratic
+    assert pii.find("7" * 300_000, weights)[1] == []
+
+
 def test_field_decodes_the_best_division():
     import numpy as np
 
