@@ -2,7 +2,7 @@
 
 import duckdb
 
-from tallyspark.plans import registry
+from tallyspark.plans import evaluation, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +24,14 @@ def test_paired_rounds_of_every_participant(spark):
     got = same(spark, "paired_rounds_all")
     assert len({r[1] for r in got}) > 1
     assert sorted(map(tuple, registry.QUERIES["paired_rounds"](spark, SF).collect()), key=repr) == sorted(((b, *rest) for b, who, *rest in got if who == 7), key=repr)
+
+
+def test_calibration_counts_every_forecast(spark):
+    got = same(spark, "calibration_bins_all")
+    assert sum(r[1] for r in got) == spark.read.parquet(f"{SF}/labels.parquet").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").count()
+    assert {r[0]: r[1] for r in got}[4] > 0
+
+
+def test_calibration_shows_an_empty_bin(spark):
+    rows = spark.createDataFrame([(0.1, 0), (0.75, 1), (0.95, 1)], "p double, y int")
+    assert [(r.bin, r.n, r.mean_p) for r in evaluation.calibrated(rows).orderBy("bin").collect()] == [(0, 1, 0.1), (1, 0, None), (2, 0, None), (3, 1, 0.75), (4, 1, 0.95)]
