@@ -278,12 +278,30 @@ def tiered_identity(spark, sf_dir):
 @query(f"""WITH {CONTESTS}, x AS (SELECT who, bout_id, day, division FROM (SELECT a AS who, * FROM contests UNION ALL SELECT b, * FROM contests))
     SELECT l.who, l.bout_id, r.bout_id AS other FROM x l JOIN x r ON l.who = r.who AND r.day - l.day BETWEEN 0 AND 20 AND l.division <> r.division AND l.bout_id <> r.bout_id""")
 def near_other_division(spark, sf_dir):
-    """The same participant in another division within 20 days."""
+    """Pairs of contests of a participant in different divisions within 20 days, as its SQL says; W13 is next_other_division."""
     x = contests(spark, sf_dir).select("bout_id", "day", "division", F.explode(F.array("a", "b")).alias("who"))
     y = x.select("who", F.col("bout_id").alias("other"), F.col("day").alias("other_day"), F.col("division").alias("other_division"))
     return joins.band_join(x, y, ["who"], "day", "other_day", 20).where("other_day >= day and division <> other_division and bout_id <> other").select("who", "bout_id", "other")
 
 
+@query(f"""WITH {CONTESTS}, x AS (SELECT who, bout_id, day, division FROM (SELECT a AS who, * FROM contests UNION ALL SELECT b, * FROM contests)),
+    p AS (SELECT l.who, l.bout_id, r.bout_id AS other, row_number() OVER (PARTITION BY l.who, l.bout_id ORDER BY r.day, r.bout_id) AS k FROM x l JOIN x r ON l.who = r.who AND r.day - l.day BETWEEN 0 AND 366 AND (r.day > l.day OR r.bout_id > l.bout_id) AND l.division <> r.division WHERE l.division <> '' AND r.division <> '')
+    SELECT who, bout_id, other FROM p WHERE k = 1""")
+def next_other_division(spark, sf_dir):
+    """The first later contest of a participant in another division, within 366 days."""
+    return other_divisions(contests(spark, sf_dir).select("bout_id", "day", "division", F.explode(F.array("a", "b")).alias("who")))
+
+
+def other_divisions(x: DataFrame, days: int = 366) -> DataFrame:
+    """For each (who, day, bout_id) the first contest after it with another division: it is the head of the next run of one
+    division, which a window that goes backward carries along. Contests without a division don't count."""
+    back = Window.partitionBy("who").orderBy(F.desc("day"), F.desc("bout_id"))
+    head = F.when(F.lead("division").over(back) != F.col("division"), F.struct("day", "bout_id"))
+    runs = x.where("division <> ''").withColumn("head", head)
+    runs = runs.withColumn("next", F.last("head", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    return runs.where(F.col("next.day") - F.col("day") <= days).select("who", "bout_id", F.col("next.bout_id").alias("other"))
+
+
 @query("""SELECT o_custkey, list_sort(list(o_orderkey)) AS bouts, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
 def nested_groups(spark, sf_dir):
     """Contests nested in their event."""

@@ -2,7 +2,7 @@
 
 import duckdb
 
-from tallyspark.plans import evaluation, registry
+from tallyspark.plans import evaluation, registry, relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +35,10 @@ def test_calibration_counts_every_forecast(spark):
 def test_calibration_shows_an_empty_bin(spark):
     rows = spark.createDataFrame([(0.1, 0), (0.75, 1), (0.95, 1)], "p double, y int")
     assert [(r.bin, r.n, r.mean_p) for r in evaluation.calibrated(rows).orderBy("bin").collect()] == [(0, 1, 0.1), (1, 0, None), (2, 0, None), (3, 1, 0.75), (4, 1, 0.95)]
+
+
+def test_next_other_division_looks_a_year_ahead(spark):
+    assert same(spark, "next_other_division")
+    rows = [(1, 1, 0, "x"), (1, 2, 0, "x"), (1, 3, 100, ""), (1, 4, 366, "y"), (1, 5, 367, "x"), (1, 6, 800, "y"), (2, 7, 0, "x"), (2, 8, 0, "y"), (2, 9, 5, "x"), (3, 10, 0, "x"), (3, 11, 367, "y")]
+    got = relational.other_divisions(spark.createDataFrame(rows, "who int, bout_id int, day int, division string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 4), (1, 2, 4), (1, 4, 5), (2, 7, 8), (2, 8, 9)]
