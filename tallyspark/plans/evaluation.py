@@ -101,7 +101,7 @@ def temperature_fit(spark, sf_dir):
 @query(f"""WITH {FORECASTS}, l AS (SELECT k AS candidate, y, least(greatest(p * (1 - k) + 0.8 * k, 1e-12), 1 - 1e-12) AS p FROM forecasts, (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) v(k)), s AS (SELECT candidate, avg({LOSS}) AS loss FROM l GROUP BY 1)
     SELECT candidate, round(loss, 6) AS log_loss, row_number() OVER (ORDER BY loss, candidate) AS place FROM s""")
 def candidate_selection(spark, sf_dir):
-    """Losses of a declared list of candidates in one pass, and their order."""
+    """Losses of a declared list of candidates in one pass, and their order."""
     ks = [0.0, 0.5, 0.9]
     losses = [F.avg(evaluate.loss(F.col("p") * (1 - k) + 0.8 * k, F.col("y"))).alias(f"k{i}") for i, k in enumerate(ks)]
     one = forecasts(spark, sf_dir).agg(*losses)

@@ -177,7 +177,7 @@ def elo_by_date(spark, sf_dir):
     SELECT c.bout_id, CAST(x.exp_bouts - y.exp_bouts AS BIGINT) AS bouts_diff, round(ln(1 + x.exp_attempts) - ln(1 + y.exp_attempts), 6) + 0.0 AS attempts_diff, x.exp_bouts > 0 AND y.exp_bouts > 0 AS covered FROM contests c
     JOIN s x ON x.bout_id = c.bout_id AND x.fighter_id = c.a JOIN s y ON y.bout_id = c.bout_id AND y.fighter_id = c.b""")
 def difference_features(spark, sf_dir):
-    """Antisymmetric differences of both sides' state before the date, with their coverage."""
+    """C25, F3, and of M1 a part (two differences, one coverage flag): antisymmetric differences of both sides' state before the date, with their coverage."""
     w = asof.earlier(["fighter_id"], "day")
     f = facts(spark, sf_dir).withColumn("attempts", F.coalesce(F.sum("attempted").over(w), F.lit(0.0))).withColumn("n", F.count("*").over(w))
     f = f.withColumn("sign", F.when(F.col("fighter_id") < F.col("opponent_id"), 1).otherwise(-1))
