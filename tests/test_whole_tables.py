@@ -42,3 +42,7 @@ def test_next_other_division_looks_a_year_ahead(spark):
     rows = [(1, 1, 0, "x"), (1, 2, 0, "x"), (1, 3, 100, ""), (1, 4, 366, "y"), (1, 5, 367, "x"), (1, 6, 800, "y"), (2, 7, 0, "x"), (2, 8, 0, "y"), (2, 9, 5, "x"), (3, 10, 0, "x"), (3, 11, 367, "y")]
     got = relational.other_divisions(spark.createDataFrame(rows, "who int, bout_id int, day int, division string"))
     assert sorted(map(tuple, got.collect())) == [(1, 1, 4), (1, 2, 4), (1, 4, 5), (2, 7, 8), (2, 8, 9)]
+
+
+def test_nested_groups_hold_every_contest(spark):
+    assert sum(r[2] for r in same(spark, "nested_groups_all")) == spark.read.parquet(f"{SF}/orders.parquet").count()
