@@ -80,7 +80,7 @@ def date_blocks(spark, sf_dir):
 def bootstrap_interval(spark, sf_dir):
     """95 % interval of the share of wins, by dates."""
     blocks = evaluate.block_sums(contests(spark, sf_dir), "event_date", [(F.col("outcome") == "win").cast("double")])
-    low, high = evaluate.bootstrap(blocks, "event_date", repeats=200)
+    low, high = evaluate.bootstrap(blocks, "event_date")
     return spark.createDataFrame([(low, high)], "low double, high double")
 
 
@@ -111,12 +111,20 @@ def candidate_selection(spark, sf_dir):
 
 @query("""SELECT vec_id, list_transform(embedding, lambda x: -x)[1:2] AS swapped, round(list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE * 0.5)), 5) + 0.0 AS contribution FROM embeddings""")
 def vector_orientation(spark, sf_dir):
-    """Negated features and linear contributions over arrays."""
+    """C25, M17 over the first 8 entries, as its SQL says; vector_orientation_whole reads whole vectors."""
     e = F.col("embedding")
     part = F.aggregate(F.transform(F.slice(e, 1, 8), lambda x: x.cast("double") * 0.5), F.lit(0.0), lambda s, x: s + x)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.transform(e, lambda x: -x), 1, 2).alias("swapped"), (F.round(part, 5) + 0.0).alias("contribution"))
 
 
+@query("""SELECT vec_id, list_transform(embedding, lambda x: -x) AS swapped, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.5)), 5) + 0.0 AS contribution FROM embeddings""")
+def vector_orientation_whole(spark, sf_dir):
+    """Negated features and linear contributions over whole arrays."""
+    e = F.col("embedding")
+    part = F.aggregate(F.transform(e, lambda x: x.cast("double") * 0.5), F.lit(0.0), lambda s, x: s + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(e, lambda x: -x).alias("swapped"), (F.round(part, 5) + 0.0).alias("contribution"))
+
+
 @query(f"""WITH {FORECASTS} SELECT doc_id, round(ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))), 6) + 0.0 AS logit,
     CASE WHEN greatest(p, 1 - p) = 0.5 THEN 'even' WHEN greatest(p, 1 - p) < 0.55 THEN 'near even' WHEN greatest(p, 1 - p) < 0.6 THEN 'small' WHEN greatest(p, 1 - p) < 0.7 THEN 'clear' ELSE 'strong' END AS favourite FROM forecasts""")
 def logit_labels(spark, sf_dir):

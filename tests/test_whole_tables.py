@@ -1,8 +1,10 @@
 """Queries that do the whole job where the SQL of an older one holds a part of it: against their SQL, and by hand."""
 
 import duckdb
+from pyspark.sql import functions as F
 
-from tallyspark.plans import evaluation, registry, relational
+from tallyspark.operators import evaluate
+from tallyspark.plans import domain, evaluation, registry, relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +48,13 @@ def test_next_other_division_looks_a_year_ahead(spark):
 
 def test_nested_groups_hold_every_contest(spark):
     assert sum(r[2] for r in same(spark, "nested_groups_all")) == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_bootstrap_interval_is_the_operators(spark):
+    blocks = evaluate.block_sums(domain.contests(spark, SF), "event_date", [(F.col("outcome") == "win").cast("double")])
+    assert tuple(registry.QUERIES["bootstrap_interval"](spark, SF).first()) == evaluate.bootstrap(blocks, "event_date", repeats=2000)
+
+
+def test_vectors_are_read_whole(spark):
+    wide = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("max(size(embedding))").first()[0]
+    assert wide > 8 and max(len(r[1]) for r in same(spark, "vector_orientation_whole")) == wide
