@@ -7,7 +7,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; batches of whole documents stay at a few MB.
@@ -59,6 +59,14 @@ def stored(df: DataFrame, name: str, piece: str | None = None) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str, piece: str | None = PIECE) -> DataFrame:
+    """A stored table whose rows were counted as it was written, as `stored_rows`."""
+    rows = Observation()
+    out = stored(df.observe(rows, F.count(F.lit(1)).alias("n")), name, piece)
+    out.stored_rows = rows.get["n"]
+    return out
+
+
 def stored_tables() -> set[str]:
     return set(_STORED)
 

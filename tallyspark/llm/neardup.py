@@ -2,11 +2,10 @@
 
 Of every permutation both the least and the greatest hash of a document's shingle set are kept, so half as
 many hashes give a signature; bands of the signature make candidates. Documents with equal sets are one class
-from the start. No pairs are listed within a bucket. Each document first meets the hub (the least document) of one
-of its buckets that its signature puts nearest; that joins most of a group. Then buckets that share documents make
-a family, and the documents outside a family's largest component are the queries that are compared with the whole
-family in blocks of bounded size, on full shingle sets; only the links found are rows. So no link that joins two components
-is lost, and every link is confirmed on full sets.
+from the start, and only its least document goes on. No pairs are listed within a bucket. Each document is first compared with the
+hub (the least document) of the buckets that it shares most of; that makes a forest, whose roots join most of a group. Then only buckets
+that hold several roots are looked at again, in blocks of bounded size: first on sketches, then on full sets where a link is
+possible. So no link that joins two components is lost, and every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -15,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import PIECE, forget, raw, session, stored
+from .common import PIECE, counted, forget, raw, session, stored
 
 #: Permutations; a signature has twice as many values.
 PERMUTATIONS = 80
@@ -26,8 +25,8 @@ PERMUTATIONS = 80
 SLACK = 0.2
 #: Bytes of text hashed in one go.
 PART_BYTES = 1 << 19
-#: Queries and members in a block; parts into which a family is dealt when it is joined.
-QUERIES, MEMBERS, SALTS = 128, 512, 16
+#: Queries and members in a block of texts; a block of sketches holds FINE times as many of each.
+QUERIES, MEMBERS, FINE = 128, 512, 2
 
 _RNG = np.random.Generator(np.random.PCG64(11))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,57 +132,69 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sign binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root) of every id in links (a, b): alternating large and small stars until nothing changes.
-    Each round is written to the shared folder. Every root is the least id it reaches."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
+def forest(parents: DataFrame) -> DataFrame:
+    """(id, root) for every id of a stored forest (id, parent): pointers are doubled until no parent has one of its own.
+    Each round is a table in the shared folder; whether it moved anything is counted as it is written."""
+    at = parents
     while True:
-        two = edges.union(edges.select("v", "u"))
-        least = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = two.join(least, "u").where("v > u").selectExpr("v u", "m v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").selectExpr("v u", "m v").union(least.selectExpr("u", "m v"))
-        last, edges = edges, stored(small.distinct(), "links")
-        forget(edges.sparkSession, last)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            out = edges.selectExpr("u id", "v root")
-            out.stored_at = edges.stored_at
+        moves = Observation()
+        longer = at.join(at.selectExpr("id parent", "parent next"), "parent", "left").observe(moves, F.count("next").alias("n"))
+        last, at = at, stored(longer.select("id", F.coalesce("next", "parent").alias("parent")), "forest", PIECE)
+        if last is not parents:
+            forget(at.sparkSession, last)
+        if not moves.get["n"]:
+            out = at.selectExpr("id", "parent root")
+            out.stored_at = at.stored_at
             return out
-        state = now
-
-
-def likely(pairs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) that sizes and signatures allow to be links, with the estimated similarity."""
-    least = rule.share / rule.parts - SLACK
 
-    def run(batches):
-        for batch in batches:
-            n = len(batch)
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in ("sa", "sb"))
-            near = ((sa == sb).mean(1) - 1 / 256) / (1 - 1 / 256) if n else np.zeros(0)
-            keep = near >= least
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array(near[keep], pa.float64())], ["a", "b", "near"])
 
-    one, two = sizes.selectExpr("doc_id a", "n_shingles na", "sign sa"), sizes.selectExpr("doc_id b", "n_shingles nb", "sign sb")
-    both = pairs.join(one, "a").join(two, "b").where(rule.parts * F.least("na", "nb") >= rule.share * F.greatest("na", "nb"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, near double")
+def components(links: DataFrame) -> DataFrame:
+    """(id, root) of the ids in links (a, b) that are not the least of their component.
+
+    Every id hooks to the least smaller id that it is linked with; the roots of that forest take the ids' places in the links,
+    and so on until no link between two roots is left. Least ids are found by partial aggregation and joins read stored tables on both
+    sides, so that an id with very many links is split at run time."""
+    spark = links.sparkSession
+    edges = counted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    known = None
+    while True:
+        parents = counted(edges.groupBy("u").agg(F.min("v").alias("parent")).withColumnRenamed("u", "id"), "parents")
+        tree = forest(parents)
+        if known is None:
+            known = tree
+        else:
+            deeper = known.join(tree.selectExpr("id root", "root deeper"), "root", "left").select("id", F.coalesce("deeper", "root").alias("root"))
+            last, known = known, stored(deeper.union(tree), "components", PIECE)
+            forget(spark, last, tree)
+        whole = edges.stored_rows == parents.stored_rows  # one link of each id, and all of them followed
+        last = edges
+        if not whole:
+            moved = edges.join(known.selectExpr("id u", "root ru"), "u", "left").join(known.selectExpr("id v", "root rv"), "v", "left")
+            moved = moved.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).where("u <> v")
+            edges = counted(moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        forget(spark, parents, last)
+        if whole or not edges.stored_rows:
+            if not whole:
+                forget(spark, edges)
+            out = known.select("id", "root")
+            out.stored_at = known.stored_at
+            return out
 
 
 def confirmed(pairs: DataFrame, words: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (id, parent) whose full shingle sets are similar enough."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(shingle_sets(*raw(batch, "ta"), rule.words), shingle_sets(*raw(batch, "tb"), rule.words), strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared > 0 and rule.parts * shared >= rule.share * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), rule) for x, y in zip(shingle_sets(*raw(batch, "ta"), rule.words), shingle_sets(*raw(batch, "tb"), rule.words), strict=True)]
+            yield batch.select(["id", "parent"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(words.selectExpr("doc_id id", "text ta"), "id").join(words.selectExpr("doc_id parent", "text tb"), "parent")
+    return both.select("id", "parent", "ta", "tb").mapInArrow(run, "id long, parent long").distinct()
+
 
-    both = pairs.select("a", "b").join(words.selectExpr("doc_id a", "text ta"), "a").join(words.selectExpr("doc_id b", "text tb"), "b")
-    return both.mapInArrow(run, "a long, b long")
+def similar(shared, one, two, rule: Rule):
+    return (shared > 0) & (rule.parts * shared >= rule.share * (one + two - shared))
 
 
 def overlaps(queries: list[np.ndarray], members: list[np.ndarray], most: int = 4_000_000) -> np.ndarray:
@@ -209,61 +220,118 @@ def overlaps(queries: list[np.ndarray], members: list[np.ndarray], most: int = 4
     return out
 
 
-def across(members: DataFrame, roots: DataFrame, words: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between different components of a family: for each query one with each component it is linked with
-    in a block."""
-    stars = members.where("doc_id <> hub").selectExpr("doc_id a", "hub b").distinct()
-    at = components(stars)
-    family = at.selectExpr("id doc_id", "root family")
-    heads = family.select(F.col("family").alias("doc_id"), "family").distinct()
-    every = family.where("doc_id <> family").union(heads).join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "family", F.coalesce("root", "doc_id").alias("root"))
-    parts = every.groupBy("family", "root").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("inside")).where("size > inside")
-    open_ = open_.select("family", "main", F.ceil((F.col("size") - F.col("inside")) / QUERIES).alias("qs"), F.ceil(F.col("size") / MEMBERS).alias("ms"))
-    dealt = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    every = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(dealt, ["family", "salt"]).drop("salt")
-    every = stored(every, "families", PIECE)
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = every.where("root <> main").select("family", block("qs").alias("q"), spread("ms").alias("m"), F.lit(0).alias("side"), "doc_id", "root")
-    held = every.select("family", spread("qs").alias("q"), block("ms").alias("m"), F.lit(1).alias("side"), "doc_id", "root")
-    rows = asked.union(held).join(words, "doc_id").repartition("family", "q", "m").sortWithinPartitions("family", "q", "m", "side")
+def blocks(batches, columns: tuple[str, ...], parse):
+    """The rows of each block of sorted batches as (key, rows): a key is (family, q, m); a row is what parse makes of a batch
+    for it, after its side."""
+    now, held = None, []
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("family", "q", "m")), strict=True)
+        for key, *row in zip(keys, *(batch.column(c).to_pylist() for c in columns), parse(batch), strict=True):
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(row)
+    if held:
+        yield now, held
+
 
-    def solve(rows):
-        sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+def batch_of(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    names = [x.split()[0] for x in columns.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
+
+
+FINER = "family long, q long, m long, side long, doc_id long, root long"
+
+
+def possible(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Blocks of sketches (family, q, m, side, part, doc_id, root, n_shingles, sign), sorted: the members of their finer blocks
+    that have a partner there of another root whom sizes and signatures allow to be a link."""
+    least = rule.share / rule.parts - SLACK
+
+    def solve(key, held):
+        family, q, m = key
+        sides = [[r for r in held if r[0] == side] for side in (0, 1)]
         if not all(sides):
             return
-        count = overlaps([r[3] for r in sides[0]], [r[3] for r in sides[1]])
-        sizes = [np.array([len(r[3]) for r in side]) for side in sides]
-        linked = (count > 0) & (rule.parts * count >= rule.share * (sizes[1][:, None] + sizes[0][None] - count))
-        linked &= np.array([r[2] for r in sides[1]])[:, None] != np.array([r[2] for r in sides[0]])[None]
-        for q in np.flatnonzero(linked.any(0)).tolist():
-            met = {}
-            for m in np.flatnonzero(linked[:, q]).tolist():
-                met.setdefault(sides[1][m][2], sides[1][m][1])
-            for b in met.values():
-                yield sides[0][q][1], b
+        part, doc, root, size = ([np.array([r[k] for r in side]) for side in sides] for k in (1, 2, 3, 4))
+        sign = [np.frombuffer(b"".join(r[5] for r in side), np.uint8).reshape(len(side), -1) for side in sides]
+        able = np.zeros((len(sides[0]), len(sides[1])), bool)
+        for at in range(0, len(sides[0]), 16):
+            same = (sign[0][at : at + 16, None] == sign[1][None]).mean(2, dtype=np.float32)
+            able[at : at + 16] = (same - 1 / 256) / (1 - 1 / 256) >= least
+        able &= root[0][:, None] != root[1]
+        able &= rule.parts * np.minimum(size[0][:, None], size[1]) >= rule.share * np.maximum(size[0][:, None], size[1])
+        for x in np.unique(part[0]):
+            for y in np.unique(part[1]):
+                i, j = np.flatnonzero(part[0] == x), np.flatnonzero(part[1] == y)
+                block = able[np.ix_(i, j)]
+                for side, who in ((0, i[block.any(1)]), (1, j[block.any(0)])):
+                    for k in who.tolist():
+                        yield family, q * FINE + int(x), m * FINE + int(y), side, int(doc[side][k]), int(root[side][k])
 
     def run(batches):
-        now, held = None, []
+        for key, held in blocks(batches, ("side", "part", "doc_id", "root", "n_shingles"), lambda b: b.column("sign").to_pylist()):
+            yield batch_of(list(solve(key, held)), FINER)
 
-        def out(found):
-            found = list(found)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return rows.mapInArrow(run, FINER)
 
-        for batch in batches:
-            names = zip(*(batch.column(c).to_pylist() for c in ("family", "q", "m")), strict=True)
-            for key, side, doc, root, keys in zip(names, *(batch.column(c).to_pylist() for c in ("side", "doc_id", "root")), shingle_sets(*raw(batch), rule.words), strict=True):
-                if key != now:
-                    if held:
-                        yield out(solve(held))
-                    now, held = key, []
-                held.append((side, doc, root, keys))
-        if held:
-            yield out(solve(held))
-
-    found = stored(rows.select("family", "q", "m", "side", "doc_id", "root", "text").mapInArrow(run, "a long, b long"), "confirmed")
-    forget(found.sparkSession, every, at)
+
+def linked(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between roots from blocks of texts (family, q, m, side, doc_id, root, text), sorted: for each query one with every root
+    that it is linked with in a block."""
+
+    def solve(held):
+        sides = [[r for r in held if r[0] == side] for side in (0, 1)]
+        if not all(sides):
+            return
+        count = overlaps([r[2] for r in sides[0]], [r[2] for r in sides[1]])
+        sizes = [np.array([len(r[2]) for r in side]) for side in sides]
+        roots = [np.array([r[1] for r in side]) for side in sides]
+        found = similar(count, sizes[1][:, None], sizes[0][None], rule) & (roots[1][:, None] != roots[0][None])
+        m, q = np.nonzero(found)
+        yield from {(int(roots[0][j]), int(roots[1][i])) for i, j in zip(m, q, strict=True)}
+
+    def run(batches):
+        for _, held in blocks(batches, ("side", "root"), lambda b: shingle_sets(*raw(b), rule.words)):
+            yield batch_of(list(solve(held)), "a long, b long")
+
+    return rows.select("family", "q", "m", "side", "root", "text").mapInArrow(run, "a long, b long")
+
+
+def across(members: DataFrame, roots: DataFrame, classes: DataFrame, words: DataFrame, rule: Rule) -> DataFrame | None:
+    """Links (a, b) between different roots; None where there are none.
+
+    Only buckets with several roots can hide such a link. Roots that meet in these buckets make a family; the documents outside a family's
+    largest root are the queries that meet the whole family, in blocks of bounded size: first on sketches, then, in
+    blocks where a link is possible, on full sets. Blocks return which documents take part, then links, but no list of pairs."""
+    spark = members.sparkSession
+    rooted = members.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rooted = stored(rooted, "rooted", PIECE)
+    several = counted(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "low"), "several")
+    if not several.stored_rows:
+        forget(spark, rooted, several)
+        return None
+    held = stored(rooted.join(several, "key").select("doc_id", "root", "low").distinct(), "held", PIECE)
+    families = components(held.where("root <> low").selectExpr("root a", "low b"))
+    at = held.select("doc_id", "root").distinct().join(families.selectExpr("id root", "root family"), "root", "left").select("doc_id", "root", F.coalesce("family", "root").alias("family"))
+    at = stored(at, "families", PIECE)
+    parts = at.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("inside"))
+    parts = stored(parts.select("family", "main", F.ceil((F.col("size") - F.col("inside")) / (QUERIES * FINE)).alias("qs"), F.ceil(F.col("size") / (MEMBERS * FINE)).alias("ms")), "shares", PIECE)
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sketch = at.join(parts, "family").join(classes.select("doc_id", "n_shingles", "sign"), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FINE)))
+    columns = ("side", "part", "doc_id", "root", "n_shingles", "sign")
+    asked = sketch.where("root <> main").withColumn("side", F.lit(0)).select("family", block("qs").alias("q"), spread("ms").alias("m"), *columns)
+    all_ = sketch.withColumn("side", F.lit(1)).select("family", spread("qs").alias("q"), block("ms").alias("m"), *columns)
+    able = counted(possible(asked.union(all_).repartition("family", "q", "m").sortWithinPartitions("family", "q", "m", "side"), rule), "possible")
+    forget(spark, rooted, several, held, families, at, parts)
+    if not able.stored_rows:
+        forget(spark, able)
+        return None
+    found = able.join(words, "doc_id").repartition("family", "q", "m").sortWithinPartitions("family", "q", "m", "side")
+    found = counted(linked(found, rule).distinct(), "across")
+    forget(spark, able)
     return found
 
 
@@ -275,29 +343,32 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa:
     with, all are. A row with a null id is linked with nothing: its component_id is null and it is kept. Other columns are
     ignored; an empty table gives no rows; texts of any length are read whole.
     """
-    own = docs.select("doc_id", "text")
+    spark = docs.sparkSession
+    own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     every = stored(sketches(own, rule), "sketches")
     full = every.where("doc_id is not null and n_shingles > 0")
-    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes", PIECE)
-    reps = full.join(classes.selectExpr("k1", "k2", "rep doc_id"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
-    reps = stored(reps.select("doc_id", "n_shingles", "sign", "bands"), "representatives", PIECE)
-    sizes = reps.select("doc_id", "n_shingles", "sign")
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = stored(banded.join(hubs.drop("n"), "key"), "members", PIECE)
-    pairs = likely(members.where("doc_id <> hub").selectExpr("doc_id a", "hub b").distinct(), sizes, rule)
-    pairs = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b")), "pairs")
-    alike = members.select("doc_id").distinct()
-    words = stored(own.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null").join(alike, "doc_id", "left_semi"), "texts", PIECE)
+    first = [F.first(c).alias(c) for c in ("n_shingles", "sign", "bands")]
+    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), *first), "classes", PIECE)
+    banded = classes.select("doc_id", F.explode("bands").alias("key"))
+    hubs = stored(banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs", PIECE)
+    members = stored(banded.join(hubs, "key"), "members", PIECE)
+    near = members.where("doc_id <> hub").repartition("doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
+    pairs = near.groupBy("doc_id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("parent")).withColumnRenamed("doc_id", "id")
+    words = stored(own.where("text is not null").join(members.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts", PIECE)
+    links = stored(confirmed(pairs, words, rule), "confirmed", PIECE)
     twice = full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    same = full.join(twice, "doc_id").join(classes, ["k1", "k2"]).selectExpr("doc_id a", "rep b")
-    links = stored(confirmed(pairs, words, rule).union(same), "confirmed")
-    roots = components(links)
-    more = across(members, roots, words, rule)
-    if not more.isEmpty():
-        first, roots = roots, components(links.union(more))
-        forget(own.sparkSession, first)
-    forget(own.sparkSession, reps, members, pairs, words, links, more)
-    found = every.join(classes, ["k1", "k2"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    root = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    if twice.isEmpty():
+        roots = forest(links)
+    else:
+        same = full.select("doc_id", "k1", "k2").join(twice, "doc_id").join(classes.select("k1", "k2", F.col("doc_id").alias("b")), ["k1", "k2"])
+        roots = components(links.selectExpr("id a", "parent b").union(same.selectExpr("doc_id a", "b")))
+    more = across(members, roots, classes, words, rule)
+    named = classes.select("k1", "k2", "doc_id").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("root", "doc_id").alias("root"))
+    if more is not None:
+        named = named.join(components(more).selectExpr("id root", "root deeper"), "root", "left").select("k1", "k2", F.coalesce("deeper", "root").alias("root"))
+        forget(spark, more)
+    named = stored(named, "named", PIECE)
+    forget(spark, classes, hubs, members, words, links, roots)
+    found = every.where("doc_id is not null and n_shingles > 0").join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", "root")
+    alone = every.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("root"))
+    return found.union(alone).select("doc_id", "n_shingles", F.col("root").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
