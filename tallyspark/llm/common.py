@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; batches of whole documents stay at a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: a batch of long documents ends at the bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
+    """The session, whose Arrow batches are bounded from now on (the setting is read when a plan runs, so it can't be put back)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a temporary one; on a cluster, whose machines
+    share no such folder, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -32,7 +39,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of stored tables that are not deleted yet; a path holds a name that no other table has.
 _STORED: set[str] = set()
+_OPEN = threading.local()
 
 
 #: Shuffled bytes in a file of a table that is stored without Python work.
@@ -56,6 +65,8 @@ def stored(df: DataFrame, name: str, piece: str | None = None) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     _STORED.add(path)
+    for mine in getattr(_OPEN, "sets", ()):
+        mine.add(path)
     return out
 
 
@@ -67,8 +78,16 @@ def counted(df: DataFrame, name: str, piece: str | None = PIECE) -> DataFrame:
     return out
 
 
-def stored_tables() -> set[str]:
-    return set(_STORED)
+@contextmanager
+def recorded():
+    """The set of the tables that are stored meanwhile in this thread and not deleted again."""
+    mine: set[str] = set()
+    outer, _OPEN.sets = getattr(_OPEN, "sets", ()), (*getattr(_OPEN, "sets", ()), mine)
+    try:
+        yield mine
+    finally:
+        _OPEN.sets = outer
+        mine &= _STORED
 
 
 def delete(spark: SparkSession, paths: set[str]) -> None:
