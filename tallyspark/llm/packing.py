@@ -1,8 +1,8 @@
 """Order-preserving packing of token streams into windows by dynamic programming.
 
 Every scan partition is one stream, in its own order; no shuffle is needed. Windows may end at
-document ends (free), sentence ends or, in very long sentences, at every STEP tokens (each with a
-penalty). The cost of a cut is the best earlier cost within one window, plus padding, plus the
+document ends (free), at sentence ends or, in a sentence that is longer than a window and only there, at every STEP tokens (each with
+a penalty). The cost of a cut is the best earlier cost within one window, plus padding, plus the
 penalty; the best earlier cut comes from a monotone queue, so the work is linear in the cuts.
 What is left at the end of a stream goes into windows of powers of two, which need no padding.
 """
@@ -84,14 +84,15 @@ def words(path: str) -> Words:
     return _TOKENIZERS[path]
 
 
-def candidates(lengths: list[int], inner: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a window may end, ascending and from 0, and the penalty of each. inner: ends of sentences."""
+def candidates(lengths: list[int], inner: np.ndarray, window: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a window may end, ascending and from 0, and the penalty of each. inner: ends of sentences. Only a sentence longer
+    than the window may be cut inside, every `step` tokens."""
     at = np.concatenate([[0], np.cumsum(lengths)])
     cost = np.full(at[-1] + 1, INSIDE_COST, np.int64)
     cost[inner] = SENTENCE_COST
     cost[at] = 0
     places = np.flatnonzero(cost < INSIDE_COST)
-    for i in np.flatnonzero(np.diff(places) > step):
+    for i in np.flatnonzero(np.diff(places) > window):
         cost[places[i] + step : places[i + 1] : step] = -1
     places = np.flatnonzero(cost < INSIDE_COST)
     cost = cost[places]
@@ -136,7 +137,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
 
     Documents keep the order of their partition. A null or empty text is end_id alone. Repeated rows
     and null ids are packed as documents of their own; an empty table gives no rows; other columns
-    are ignored. No document is cut short: a long one goes on in the next window.
+    are ignored. No document is cut short: a long one goes on in the next window. The rest of a partition's stream, less than a window,
+    goes to windows of powers of two, which may end anywhere.
     """
 
     def run(batches):
@@ -150,7 +152,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
             if not block:
                 return None
             ends = np.flatnonzero(own.stops[np.concatenate([x[1] for x in block])]) + 1
-            places, cost = candidates([len(x[1]) for x in block], ends, STEP)
+            places, cost = candidates([len(x[1]) for x in block], ends, window, min(STEP, window))
             cuts = best_cuts(places, cost, window, last)
             rows: list[tuple] = []
             at, w, begin, rest = 0, 0, 0, []
