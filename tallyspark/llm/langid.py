@@ -8,7 +8,6 @@ of texts are scored by matrix products.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +21,11 @@ from .common import fold, session, texts
 DIM_BITS, LANDMARKS, SAMPLE_ROWS, RIDGE = 15, 64, 1500, 1e-3
 DIM, UND, SCORE_ROWS = 1 << DIM_BITS, "und", 128
 _MIX = np.array([2654435761, 2246822519, 3266489917], np.uint32)
-has_letter = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode categories L (Lu, Ll, Lt, Lm, Lo) is in the text; digits like ½ and ² are none."""
+    return any(map(str.isalpha, text))
 
 
 def presence(text: str, out: np.ndarray) -> None:
@@ -94,8 +97,11 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
     """Each input row with lang_pred and score added to doc_id, text and the columns in keep.
 
     A null text, or one without a letter, is `und` with score 0, as is every text where nothing was learned.
-    Ties go to the first language in order. Repeated rows get equal answers; texts are read whole.
+    Ties go to the first language in order. Repeated rows get equal answers, rows with a null id one each; texts are read
+    whole; an empty table gives no rows. Other columns are ignored, also those named lang_pred or score; such names can't be in keep.
     """
+    if {"doc_id", "text", "lang_pred", "score"} & set(keep):
+        raise ValueError("keep names a column of the result")
     spark = session(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
