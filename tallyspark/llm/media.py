@@ -19,11 +19,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from .common import scratch, session, stored, texts
 
 WIDTH, SHARD_BYTES, LEVEL = 192, 1 << 29, 4
+#: Bytes of members that a task reads, in runs of neighbours; beyond MOST_READERS tasks each of them reads more.
+READ_BYTES, MOST_READERS = 8 << 20, 100_000
 MAGIC, HEADER = b"\x89PNG\r\n\x1a\n", 33
 REFS = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
 
@@ -70,7 +73,8 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
     One row for each input row: doc_id, n_bytes (unpadded), digest (SHA-256 of the stored member), shard,
     offset, length. Null texts are empty ones; repeated rows name the same member of a shard; other
-    columns are ignored. Lazy: the caller stores the rows before reading members.
+    columns are ignored; an empty table gives no rows and no shard. Texts are stored whole: a worker holds one payload and its PNG at a time.
+    Lazy: the caller stores the rows before reading members.
     """
 
     def run(batches):
@@ -170,8 +174,18 @@ def features(refs: DataFrame, folder: str) -> DataFrame:
     return refs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in refs.schema) + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def dealt(refs: DataFrame, total: int) -> DataFrame:
+    """refs, whose members have `total` bytes, dealt out so that a task reads about READ_BYTES of them: runs of neighbours in a
+    shard stay together and in order, whatever the number of rows or files that the refs are in."""
+    tasks = max(1, min(MOST_READERS, -(-total // READ_BYTES)))
+    run = F.floor(F.col("offset") / max(1, total // tasks // 8))
+    return refs.repartition(tasks, "shard", run).sortWithinPartitions("shard", "offset")
+
+
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store, then metadata and features; the shards stay in the shared folder, where the rows point."""
-    folder = scratch(docs.sparkSession, "media")
-    refs = stored(store(docs, folder), "media-refs")
-    return features(metadata(refs, folder), folder)
+    """Store, then metadata and features; the shards stay in the shared folder, where the rows point.
+
+    Nulls, repeated rows, empty tables, very long texts and other columns: as `store` says."""
+    folder, size = scratch(docs.sparkSession, "media"), Observation()
+    refs = stored(store(docs, folder).observe(size, F.sum("length").alias("total")), "media-refs")
+    return features(metadata(dealt(refs, size.get["total"] or 0), folder), folder)
