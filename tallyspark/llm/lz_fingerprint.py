@@ -12,14 +12,16 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, texts
 
-#: Minimum hashes in a signature; documents in a range of ids (the unit of work that is dealt out); most ranges.
-SIZE, RANGE_ROWS, MOST_RANGES = 64, 2000, 4096
+#: Minimum hashes in a signature; documents in a range of ids (the unit of work that is dealt out). Beyond MOST_RANGES ranges, which bounds
+#: the list of borders, a range holds more; it is read as a stream all the same.
+SIZE, RANGE_ROWS, MOST_RANGES = 64, 2000, 100_000
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = _RNG.integers(1, 1 << 63, SIZE, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, SIZE, dtype=np.uint64)
@@ -80,34 +82,43 @@ def ranges(docs: DataFrame, rows: int) -> list[int]:
     parts = min(MOST_RANGES, count // rows)
     if parts < 2:
         return []
-    return sorted({int(x) for x in docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]})
+    return sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (20 * parts))})
 
 
 def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Each document's fingerprint, its edited text's, and their likeness (and that to the next document).
 
     The next document is the one with the next smaller doc_id, and after the last the first. Rows are dealt
-    out by ranges of ids; each range also gets the first document of the next, so no row looks beyond its own. A null text
+    out by ranges of ids, a partition each; each range also gets the first document of the next, so no row looks beyond its own. A null text
     is an empty one; an empty text has no phrases and is as like another empty one as can be. Of rows that repeat
-    an id, the order is by text; each gets a row. Rows with a null id stand before all ids. Other columns are ignored; an empty table gives no rows.
+    an id, the order is by text; each gets a row. Rows with a null id have no place in the order: each one's next document is the first
+    (an empty text where there is none). Other columns are ignored; an empty table gives no rows; whole texts are read.
     """
     spark = session(docs.sparkSession)
     own = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
     borders = ranges(own.where("doc_id is not null").select("doc_id"), range_rows)
-    least = -(1 << 63)
-    part = F.lit(0)
-    for step in range(0, len(borders), 64):  # few borders in one expression
-        part = part + F.size(F.filter(F.array(*[F.lit(b) for b in borders[step : step + 64]]), lambda b: b <= F.col("doc_id")))
-    own = own.withColumn("part", F.when(F.col("doc_id").isNull(), len(borders) + 1).otherwise(part))
-    heads = own.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy(F.desc("part")).collect()
-    # the range that comes before each in descending order borrows its first document; the last range, that of the first
-    borrow = {heads[i].part: heads[i - 1].part for i in range(len(heads))}
-    again = own.join(F.broadcast(spark.createDataFrame([(r.part, r.head, borrow[r.part]) for r in heads], "part int, head long, taker int")), "part")
-    again = again.where("doc_id <=> head").groupBy("taker").agg(F.max(F.struct("doc_id", "text")).alias("d"))
-    dealt = own.select("part", F.lit(0).alias("borrowed"), "doc_id", "text").union(again.select("taker", F.lit(1), "d.doc_id", "d.text"))
-    dealt = dealt.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "borrowed", F.coalesce("doc_id", F.lit(least)).desc(), F.col("text").desc())
+    at = np.array(borders, np.int64)
+    count = len(at) + 1
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, ids.to_numpy(), "right").astype(np.int32))
+
+    nameless = own.where("doc_id is null").count()
+    groups = min(MOST_RANGES, nameless // range_rows + 1) if nameless else 0
+    heads = own.where("doc_id is not null").select("doc_id", range_of("doc_id").alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).orderBy(F.desc("part")).collect()
+    # the range that comes before each in descending order borrows its first document; the last range, and rows without an id, that of the first
+    borrow = [(r.part, r.head, heads[i - 1].part, 1) for i, r in enumerate(heads)]
+    borrow += [(heads[0].part, heads[0].head, count + k, -1) for k in range(groups)] if heads else []
+    known = F.when(F.col("doc_id").isNotNull(), range_of(F.coalesce("doc_id", F.lit(0))))
+    own = own.withColumn("part", F.coalesce(known, F.lit(count) + F.pmod(F.xxhash64("text"), F.lit(max(1, groups)))).cast("int"))
+    again = own.join(F.broadcast(spark.createDataFrame(borrow, "part int, head long, taker int, borrowed int")), "part")
+    again = again.where("doc_id = head").groupBy("taker", "borrowed").agg(F.max(F.struct("doc_id", "text")).alias("d"))
+    dealt = own.select("part", F.lit(0).alias("borrowed"), "doc_id", "text").union(again.select("taker", "borrowed", "d.doc_id", "d.text"))
+    dealt = dealt.repartitionById(count + groups, F.col("part")).sortWithinPartitions("part", "borrowed", F.desc("doc_id"), F.desc("text"))
 
     def run(batches):
+        first, sign_first = "", NONE  # the first document of all, for rows without an id; it is borrowed before them
         waiting = None  # part, doc_id, text of the row whose next one is still to come
         pending = None  # a finished row that lacks the likeness to the next document
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
@@ -119,6 +130,13 @@ def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         for batch in batches:
             out = []
             for part_, borrowed, doc, text in zip(*(batch.column(n).to_pylist() for n in ("part", "borrowed", "doc_id")), texts(batch), strict=True):
+                if borrowed < 0:
+                    first, sign_first = text, signature(text)
+                    continue
+                if doc is None:
+                    sign, edited, other = both(text, first)
+                    out.append(done((doc, text, edited, sign, other), sign_first))
+                    continue
                 if waiting is not None and waiting[0] == part_:
                     sign, edited, other = both(waiting[2], text)
                     if pending is not None:
