@@ -151,6 +151,9 @@ def test_media_round_trip(spark, odd, none):
         assert json.loads(r.feature)["hist"]
     assert by[1].media_sha256 == by[4].media_sha256 and by[1].feature == by[4].feature and by[2].feature == by[3].feature
     assert media.media_columns(none).count() == 0
+    refs = spark.range(1000).selectExpr("id doc_id", "concat('s', id % 3) shard", "id * 700 offset", "700L length")
+    tasks = media.dealt(refs, 20 * media.READ_BYTES)
+    assert tasks.rdd.getNumPartitions() == 20 and tasks.count() == 1000
 
 
 def test_media_shards_are_tar_files(spark, odd):
@@ -397,6 +400,83 @@ def test_field_reads_words_of_any_length():
     assert pii.find("7" * 300_000, weights)[1] == []
 
 
+def test_dynamic_programme_equals_all_divisions():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    tried = 0
+    for text, _ in pii.sentences(60, seed=7):
+        rows = pii.lattice(text, 0, len(text))
+        if not 1 <= len(rows) <= 9:
+            continue
+        tried += 1
+        weights = rng.normal(size=(len(pii.TYPES), len(pii.FEATURES)))
+
+        def divisions(j, rows=rows):
+            """Every division of the first j tokens into candidate segments."""
+            if j == 0:
+                yield ()
+            else:
+                for i, a, b, facts in rows[j - 1]:
+                    for rest in divisions(i):
+                        yield (*rest, (j - 1 - i, a, b, facts))
+
+        typed = lambda d: [(a, b, y, weights[y, list(f)].sum()) for n, a, b, f in d for y in [max(range(n > 0, len(pii.TYPES)), key=lambda y: weights[y, list(f)].sum())]]
+        scored = [(sum(x[3] for x in typed(d)), [(a, b, pii.TYPES[y]) for a, b, y, _ in typed(d) if y]) for d in divisions(len(rows))]
+        got, most = pii.decode(rows, weights), max(v for v, _ in scored)
+        assert any(abs(v - most) < 1e-9 and x == got for v, x in scored), text
+    assert tried > 20
+
+
+def test_gradient_has_finite_differences():
+    import numpy as np
+
+    text, gold = next(x for x in pii.sentences(50, seed=3) if x[1] and len(x[0]) < 40)
+    rows = pii.lattice(text, 0, len(text))
+    segments = set(gold) | {(e[-1][1], e[-1][2], 0) for e in rows if not any(s < e[-1][2] and e[-1][1] < t for s, t, _ in gold)}
+    weights = np.random.default_rng(4).normal(size=(len(pii.TYPES), len(pii.FEATURES))) * 0.3
+
+    def likelihood(w):
+        def total(j):
+            return 1.0 if j == 0 else sum(total(i) * sum(np.exp(w[y, list(f)].sum()) for y in range(i != j - 1, len(pii.TYPES))) for i, _, _, f in rows[j - 1])
+
+        return sum(w[y, list(f)].sum() for ends in rows for _, a, b, f in ends for y in range(len(pii.TYPES)) if (a, b, y) in segments) - np.log(total(len(rows)))
+
+    grad = pii.gradient(rows, segments, weights)
+    for y, k in ((0, 0), (3, 1), (5, 6), (7, 9), (1, 2)):
+        step = np.zeros_like(weights)
+        step[y, k] = 1e-5
+        assert abs((likelihood(weights + step) - likelihood(weights - step)) / 2e-5 - grad[y, k]) < 1e-5
+
+
+@pytest.mark.parametrize(
+    ("text", "span", "kind"),
+    [
+        ("token=" + "aB3" * 45 + "x", "aB3" * 45 + "x", "secret"),
+        ("api_key=" + "f9" * 75, "f9" * 75, "secret"),
+        ("password=correcthorsebatterystaple", "correcthorsebatterystaple", "secret"),
+        ("his ssn 219 09 9999, he says", "219 09 9999", "ssn"),
+        ("or 555-867-5309 by day", "555-867-5309", "phone"),
+        ("passport X1234567 is lost", "X1234567", "passport"),
+        ("lives at 221 Baker Street since", "221 Baker Street", "street"),
+        ("we met Mr. John Smith there", "John Smith", "name"),
+        ("iban DE89 3704 0044 0532 0130 00 please", "DE89 3704 0044 0532 0130 00", "iban"),
+    ],
+)
+def test_field_finds_entities_that_no_base_pattern_fits(text, span, kind):
+    import numpy as np
+
+    at = text.index(span)
+    assert pii.find(text, np.array(pii.learned()))[1] == [(at, at + len(span), kind)]
+
+
+@pytest.mark.parametrize("text", ["on 2024-01-02 at 10:30", "isbn 978-3-1614-8410-0", "12 34 56 78 and 1,200.50", "a password is needed", "key = value", "The Bank of 2020 Great Hall", "x" * 5000, ""])
+def test_field_leaves_other_numbers_and_words(text):
+    import numpy as np
+
+    assert pii.find(text, np.array(pii.learned()))[1] == []
+
+
 def test_field_decodes_the_best_division():
     import numpy as np
 
@@ -408,6 +488,21 @@ def test_field_decodes_the_best_division():
     assert wrong <= 20
 
 
+def test_windows_end_inside_long_sentences_only():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        lengths = rng.integers(1, 60, 12).tolist()
+        ends = np.flatnonzero(rng.random(sum(lengths)) < 0.1) + 1
+        places, cost = packing.candidates(lengths, ends, 24, 5)
+        allowed = {0, *np.cumsum(lengths).tolist(), *ends.tolist()}
+        at = sorted(allowed)
+        inside = {p for a, b in zip(at, at[1:], strict=False) if b - a > 24 for p in range(a + 5, b, 5)}
+        assert set(places.tolist()) == allowed | inside
+        assert all((c == 0) == (p == 0 or p in np.cumsum(lengths)) for p, c in zip(places.tolist(), cost.tolist(), strict=True))
+
+
 def test_language_accuracy(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs)
@@ -417,6 +512,10 @@ def test_language_accuracy(spark, odd, none):
     by = {r.doc_id: r for r in langid.predict(odd, model).collect()}
     assert by[2].lang_pred == by[3].lang_pred == by[7].lang_pred == by[11].lang_pred == "und" and by[2].score == 0
     assert by[1].lang_pred == by[4].lang_pred and by[1].score == by[4].score
+    digits = spark.createDataFrame([(1, "½ ² ① Ⅷ 7", "x", 0.0), (2, "½ ª", "x", 0.0)], "doc_id long, text string, lang_pred string, score double")
+    assert [r.lang_pred == "und" for r in langid.predict(digits, model).orderBy("doc_id").collect()] == [True, False]
+    with pytest.raises(ValueError):
+        langid.predict(digits, model, ("lang_pred",))
     assert langid.predict(none, model).count() == 0
     assert {r.lang_pred for r in langid.predict(odd, langid.train(none)).collect()} == {"und"}
 
@@ -451,6 +550,53 @@ def test_counterfactual_penalty_lowers_the_change(monkeypatch):
     assert change[1] < change[0] / 3
 
 
+def test_penalty_has_the_gradient_of_finite_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((12, 7)) < 0.4).astype(float)
+    swapped = [(k, *rng.choice(7, 2, replace=False).tolist()) for k in range(12)]
+    swapped = np.array([(k, a, b, 0 if x[k, a] else 1) for k, a, b in swapped if x[k, a] or not x[k, b]])
+    w, b, h = rng.normal(size=7), 0.3, 1e-6
+    value, by_w, by_b = toxicity.penalty(w, b, x, swapped)
+    brute = []
+    for k, one, two, added in swapped.tolist():
+        before, after = x[k].copy(), x[k].copy()
+        if added:
+            before[one], after[two] = 1, 1
+        else:
+            after[one], after[two] = 0, 1
+        brute.append((1 / (1 + np.exp(-(after @ w + b))) - 1 / (1 + np.exp(-(before @ w + b)))) ** 2)
+    assert abs(value - np.mean(brute)) < 1e-12
+    for i in range(7):
+        step = np.eye(7)[i] * h
+        assert abs((toxicity.penalty(w + step, b, x, swapped)[0] - toxicity.penalty(w - step, b, x, swapped)[0]) / (2 * h) - by_w[i]) < 1e-7
+    assert abs((toxicity.penalty(w, b + h, x, swapped)[0] - toxicity.penalty(w, b - h, x, swapped)[0]) / (2 * h) - by_b) < 1e-7
+
+
+def test_labelled_sentences_decide_the_penalty(monkeypatch):
+    import numpy as np
+
+    texts = [("muslim idiot", 1), ("muslim scum", 1), ("christian walk", 0), ("jewish home", 0), ("idiot", 1), ("walk", 0)] * 20
+    data = [np.array(sorted(set().union(*map(toxicity.slots, t.split())))) for t, _ in texts]
+    labels = np.array([float(y) for _, y in texts])
+    found = toxicity.swaps(data)
+    assert {(k, a) for k, a, _, added in found.tolist() if not added} == {(k, toxicity.slot(t.split()[0])) for k, (t, _) in enumerate(texts) if " " in t}
+    assert {k for k, _, _, added in found.tolist() if added} == {k for k, (t, _) in enumerate(texts) if " " not in t}
+    terms = ("muslim", "christian", "jewish")
+    spread = lambda m: max(m.score(f"{t} home") for t in terms) - min(m.score(f"{t} home") for t in terms)
+    whole = spread(toxicity.fit(data, labels))
+    monkeypatch.setattr(toxicity, "swaps", lambda rows: np.zeros((0, 4), np.int64))
+    assert whole < spread(toxicity.fit(data, labels)) / 3
+
+
+def test_odd_labels(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (4, None), (None, 1), (5, 0), (6, 0), (9, 1), (9, 1), (10, 0)], "doc_id long, toxic int")
+    got = toxicity.score(odd, toxicity.train(odd, labels)).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 9}) == 1 and sum(r.doc_id is None for r in got) == 1
+
+
 def test_fingerprints(spark, odd, none):
     for range_rows in (1000, 3):
         got = lz_fingerprint.fingerprints(odd, range_rows).collect()
@@ -468,7 +614,26 @@ def test_fingerprints(spark, odd, none):
             sign = [lz_fingerprint.signature(x) for x in (t, edited, nxt)]
             assert r.fingerprint == sign[0].tobytes().hex() and r.edited_fingerprint == sign[1].tobytes().hex()
             assert r.near_edited == lz_fingerprint.likeness(*sign[:2]) and r.near_next == lz_fingerprint.likeness(sign[0], sign[2])
+        last, nameless = by[1], by[None]  # after the least id comes the greatest, and so it does after a row without an id
+        for r, t in ((last, ODD[0][1]), (nameless, ODD[8][1])):
+            edited = t[: len(t) - len(t) // 2] + order[0][0][: len(t) // 2]
+            sign = [lz_fingerprint.signature(x) for x in (t, edited, order[0][0])]
+            assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.edited_fingerprint == sign[1].tobytes().hex()
+            assert (r.near_edited, r.near_next) == (lz_fingerprint.likeness(*sign[:2]), lz_fingerprint.likeness(sign[0], sign[2]))
+        nine = sorted((r for r in got if r.doc_id == 9), key=lambda r: r.near_next)
+        assert [r.n_chars for r in nine] == [14, 14] and nine[1].near_next == 1.0
     assert lz_fingerprint.fingerprints(none).count() == 0
+    assert [r.near_next for r in lz_fingerprint.fingerprints(odd.where("doc_id is null")).collect()] == [0.0]
+
+
+def test_minimum_hashes_estimate_the_likeness_of_phrase_sets():
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(60)]
+    for _ in range(20):
+        one = " ".join(rnd.choices(words, k=200))
+        two = one[: rnd.randrange(len(one))] + " ".join(rnd.choices(words, k=100))
+        a, b = lz_fingerprint.phrases(one), lz_fingerprint.phrases(two)
+        assert abs(lz_fingerprint.likeness(lz_fingerprint.signature(one), lz_fingerprint.signature(two)) - len(a & b) / len(a | b)) < 0.25
 
 
 def test_phrases_are_a_parse():
@@ -488,6 +653,26 @@ def parse(text):
             begin = end
 
 
+def test_kernel_scores_equal_brute_force():
+    """Presence kernels from sets of hashed n-grams, and ridge regression in the landmarks' span by another route."""
+    import numpy as np
+
+    rnd = random.Random(3)
+    texts = [("".join(rnd.choices("abcde ", k=40)), "x") for _ in range(30)] + [("".join(rnd.choices("cdefg ", k=40)), "y") for _ in range(30)]
+    rows = np.zeros((len(texts), langid.DIM), np.uint8)
+    for (t, _), row in zip(texts, rows, strict=True):
+        langid.presence(t, row)
+    model = langid.fit(rows, [y for _, y in texts])
+    grams = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t, _ in texts]
+    assert all(abs(int(r.sum()) - len(g)) <= 4 for r, g in zip(rows, grams, strict=True))  # few collisions
+    sets = [set(np.flatnonzero(r).tolist()) for r in rows]
+    kernel = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    # with as many landmarks as rows, the Nyström map spans the kernel: plain kernel ridge regression gives the same scores
+    wanted = np.array([[1.0, -1.0] if y == "x" else [-1.0, 1.0] for _, y in texts])
+    alpha = np.linalg.solve(kernel + langid.RIDGE * len(texts) * np.eye(len(texts)), wanted)
+    assert np.abs(model.scores(rows) - kernel @ alpha).max() < 1e-3
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), (None, "/", "block")], "host string, path string, verdict string")
     urls = ["http://EXAMPLE.com/en/1?x=/en/", "https://www.example.com/en/", "https://m.example.com/fr/#a", "http://a.net/es/x", "http://net/es/", "http://xnet/es/", "ftp://host", None, "", "no scheme", "://", "http://example.com?/en/", "http://com/", "http://example.com/en/1?x=/en/", "a://b://c.com/"]

@@ -88,6 +88,42 @@ def test_packing_stage_packs_all(stages):
     assert got == want
 
 
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, "the same row twice over and over again", "en", "s", 38), (3, "the same row twice over and over again", "en", "s", 38),
+    (4, "one id with two texts of some length here", "en", "s", 1), (4, "another text under the very same id", "en", "s", 1), (None, "the row without an id speaks", "en", "s", 1), (None, None, None, None, None),
+    (5, "long words " * 30_000, "en", "s", 330_000), (6, "passage " * 40, "en", "s", 1), (7, "passage " * 40 + "tail", "en", "s", 1), (8, "mail jo.81@mail7.example.com", None, "s", 1),
+]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_rows_and_columns(spark, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = spark.createDataFrame([(*r, "x", 1.0, 2) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, `key` int")
+    assert stage(spark, docs.where("false"), "odd").collect() == []
+    rows = stage(spark, docs, "odd").collect()
+    ids = sorted(str(r.doc_id) for r in rows)
+    given = sorted(str(r[0]) for r in ODD)
+    if name == "language_id":
+        assert ids == sorted(str(i) for i, t, *_ in ODD if t)
+    elif name == "minhash_neardup":
+        assert ids == sorted({str(r[0]) for r in ODD if r[0] is not None}) + ["None"] * 2
+    elif name == "suffix_array_dedup":
+        assert ids == [i for i in given if i != "6"] or ids == given
+        assert all(r.n_chars == len(r.text) for r in rows)
+    elif name == "pii_masking":
+        assert ids == given and [r.text for r in rows if r.doc_id == 8] == ["mail <EMAIL>"]
+        assert all((r.text is None) == (r.n_chars is None) for r in rows)
+    else:
+        assert {str(r.doc_id) for r in rows} == set(ids) and sum(r.start == 0 for r in rows) == len(ODD)
+
+
+def test_pipelines_in_one_process_keep_their_tables(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    one, two = (corpus_pipeline.STAGES[1][1](spark, docs, at) for at in ("here", "there"))
+    corpus_pipeline.STAGES[3][1](spark, docs, "there")
+    assert one.count() > 0
+
+
 def test_run_is_registered(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
 
