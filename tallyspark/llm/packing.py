@@ -1,7 +1,7 @@
 """Order-preserving packing of token streams into windows by dynamic programming.
 
 Every scan partition is one stream, in its own order; no shuffle is needed. Windows may end at
-document ends (free), at sentence ends or, in a sentence that is longer than a window and only there, at every STEP tokens (each with
+document ends (free), at ends of sentences and lines or, in a sentence that is longer than a window and only there, at every STEP tokens (each with
 a penalty). The cost of a cut is the best earlier cost within one window, plus padding, plus the
 penalty; the best earlier cut comes from a monotone queue, so the work is linear in the cuts.
 What is left at the end of a stream goes into windows of powers of two, which need no padding.
@@ -70,11 +70,16 @@ class Words(dict):
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [ids for ids, _ in self.encode_lines(texts)]
+
+    def encode_lines(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text, and the number of ids up to the end of each of its lines."""
         if len(self) > CACHE_WORDS:
             self.old = {k: v for k, v in self.items() if len(k) <= CACHE_CHARS}
             self.clear()
         ids = self.__getitem__
-        return [np.frombuffer(b"".join(map(ids, text.replace("\n", " ").split(" "))), "<u4") for text in texts]
+        lines = [[b"".join(map(ids, line.split(" "))) for line in text.split("\n")] for text in texts]
+        return [(np.frombuffer(b"".join(x), "<u4"), np.cumsum([len(y) for y in x]) // 4) for x in lines]
 
 
 def words(path: str) -> Words:
@@ -85,7 +90,7 @@ def words(path: str) -> Words:
 
 
 def candidates(lengths: list[int], inner: np.ndarray, window: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a window may end, ascending and from 0, and the penalty of each. inner: ends of sentences. Only a sentence longer
+    """Places where a window may end, ascending and from 0, and the penalty of each. inner: ends of sentences and lines. Only a sentence longer
     than the window may be cut inside, every `step` tokens."""
     at = np.concatenate([[0], np.cumsum(lengths)])
     cost = np.full(at[-1] + 1, INSIDE_COST, np.int64)
@@ -144,23 +149,24 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
     def run(batches):
         own = words(tokenizer_path)
         base, made = TaskContext.get().partitionId() << 32, 0
-        block: list[tuple] = []  # (doc_id, ids, first: ids of the document before these, tokens of the document)
+        block: list[tuple] = []  # (doc_id, ids, first: ids of the document before these, tokens of the document, ends of its lines in these)
         held = 0
 
         def flush(last: bool):
             nonlocal block, held, made
             if not block:
                 return None
-            ends = np.flatnonzero(own.stops[np.concatenate([x[1] for x in block])]) + 1
+            at = np.concatenate([[0], np.cumsum([len(x[1]) for x in block])])
+            ends = np.concatenate([np.flatnonzero(own.stops[np.concatenate([x[1] for x in block])]) + 1, *(n + x[4] for n, x in zip(at.tolist(), block, strict=False))])
             places, cost = candidates([len(x[1]) for x in block], ends, window, min(STEP, window))
             cuts = best_cuts(places, cost, window, last)
             rows: list[tuple] = []
             at, w, begin, rest = 0, 0, 0, []
-            for doc, ids, first, whole in block:
+            for doc, ids, first, whole, lines in block:
                 done = 0
                 while done < len(ids):
                     if w == len(cuts):
-                        rest.append((doc, ids[done:], first + done, whole))
+                        rest.append((doc, ids[done:], first + done, whole, lines[lines > done] - done))
                         break
                     take = min(len(ids) - done, cuts[w] - at)
                     rows.append((doc, first + done, take, zlib.crc32(ids[done : done + take].tobytes()), whole, base + made, at - begin))
@@ -171,9 +177,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")]) if rows else None
 
         for batch in batches:
-            for doc, got in zip(batch.column("doc_id").to_pylist(), own.encode(texts(batch)), strict=True):
+            for doc, (got, lines) in zip(batch.column("doc_id").to_pylist(), own.encode_lines(texts(batch)), strict=True):
                 ids = np.append(got, np.array([end_id], "<u4")).astype("<u4")
-                block.append((doc, ids, 0, len(ids)))
+                block.append((doc, ids, 0, len(ids), lines))
                 held += len(ids)
                 if held >= BLOCK_TOKENS and (made_now := flush(False)) is not None:
                     yield made_now
