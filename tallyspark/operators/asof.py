@@ -30,21 +30,30 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], valid: Column |
 
 def last_with_ties(df: DataFrame, key: str, day: str, order: str, measures: list[str], n: int, gap: int) -> DataFrame:
     """For each row, count and sums over the last n rows of its key at least `gap` days earlier, with every row of
-    the boundary date. Prefix sums at the cutoff less prefix sums before the boundary date, found by an
-    equi-join on the row number: no row meets all of its history."""
-    before, prior = earlier([key], day), earlier([key], day, gap)
-    numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(day, order)))
-    numbered = numbered.withColumn("_n_before", F.count(F.lit(1)).over(before)).withColumn("_n_prior", F.count(F.lit(1)).over(prior))
-    for m in measures:
-        value = F.coalesce(F.col(m).cast("double"), F.lit(0.0))
-        numbered = numbered.withColumn(f"_before_{m}", F.coalesce(F.sum(value).over(before), F.lit(0.0))).withColumn(f"_prior_{m}", F.coalesce(F.sum(value).over(prior), F.lit(0.0)))
-    edge = numbered.select(F.col(key).alias("_key"), F.col("_rn").alias("_edge"), F.col("_n_before").alias("_n_edge"), *[F.col(f"_before_{m}").alias(f"_edge_{m}") for m in measures])
-    numbered = numbered.withColumn("_want", F.greatest(F.col("_n_prior") - n + 1, F.lit(1)))
-    joined = numbered.join(edge, (F.col(key) == F.col("_key")) & (F.col("_want") == F.col("_edge")), "left")
-    some = F.col("_n_prior") > 0
-    out = [F.when(some, F.col("_n_prior") - F.col("_n_edge")).otherwise(F.lit(0)).cast("long").alias("n_last")]
-    out += [F.when(some, F.col(f"_prior_{m}") - F.col(f"_edge_{m}")).otherwise(F.lit(0.0)).alias(f"last_{m}") for m in measures]
-    return joined.select(*df.columns, *out)
+    the boundary date. One shuffle by the key, no join: totals of each date stand on the date's first row; those rows alone look back over
+    n dates (a date has a row at least, so n are enough) and add whole dates, newest first, until n rows are reached; every row then takes
+    the newest such answer that is old enough."""
+    ordered = Window.partitionBy(key).orderBy(day, order)
+    peers = Window.partitionBy(key).orderBy(day).rangeBetween(0, 0)
+    totals = [F.coalesce(F.sum(F.col(m).cast("double")).over(peers), F.lit(0.0)).alias(m) for m in measures]
+    rows = df.withColumn("_head", ~F.col(day).eqNullSafe(F.lag(day).over(ordered)))
+    rows = rows.withColumn("_date", F.struct(F.count(F.lit(1)).over(peers).alias("n"), *totals))
+    rows = rows.withColumn("_dates", F.collect_list("_date").over(Window.partitionBy(key, "_head").orderBy(day).rowsBetween(1 - n, 0)))
+    add = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), *[(s[m] + x[m]).alias(m) for m in measures])
+    none = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(m) for m in measures])
+    last = F.aggregate(F.reverse("_dates"), none, lambda s, x: F.when(s["n"] < n, add(s, x)).otherwise(s))
+    rows = rows.withColumn("_last", F.when(F.col("_head"), last)).withColumn("_seen", F.last("_last", ignorenulls=True).over(earlier([key], day, gap)))
+    out = [F.coalesce("_seen.n", F.lit(0).cast("long")).alias("n_last"), *[F.coalesce(f"_seen.{m}", F.lit(0.0)).alias(f"last_{m}") for m in measures]]
+    return rows.select(*df.columns, *out)
+
+
+def last_rows(df: DataFrame, key: str, day: str, order: list[str], value: str, n: int) -> DataFrame:
+    """df with `last`: the value of the last n rows of the key on strictly earlier dates, in order of (day, *order), oldest first. Each row carries
+    the n values up to itself; a later date takes those of the last row before it."""
+    own = Window.partitionBy(key).orderBy(day, *order).rowsBetween(1 - n, 0)
+    rows = df.withColumn("_own", F.collect_list(value).over(own))
+    seen = F.max_by("_own", F.struct(day, *order)).over(earlier([key], day))
+    return rows.withColumn("last", F.coalesce(seen, F.array().cast(df.select(F.array(value)).schema[0].dataType))).drop("_own")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], forward: bool = False, strict: bool = False) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .store import forget, stored
+
 
 def pair(a: str, b: str) -> list[Column]:
     """The key of an unordered pair."""
@@ -55,18 +57,25 @@ def share_one(left: DataFrame, event: str, low: str, high: str, row: str) -> Dat
     return sides.join(other, [event, "who"]).where(F.col(row) < F.col("other")).groupBy(event, row, "other").agg(F.count("*").alias("shared"), F.min("who").alias("who")).where("shared = 1").drop("shared")
 
 
-def resolved(links: DataFrame, child: str, parent: str, most: int = 32) -> DataFrame:
-    """The end of each chain of redirects (child -> parent), null where it runs in a circle: pointer doubling, so a chain of
-    length n takes log n joins."""
-    out = links.select(F.col(child).alias("id"), F.col(parent).alias("at"))
-    step = out
-    rounds = 1
-    while 2**rounds <= most:
-        nxt = step.select(F.col("id").alias("at"), F.col("at").alias("_next"))
-        step = step.join(nxt, "at", "left").select("id", F.coalesce("_next", "at").alias("at"))
-        rounds += 1
-    ends = links.select(F.col(child).alias("at"), F.lit(True).alias("_goes_on"))
-    return step.join(ends, "at", "left").select("id", F.when(F.col("_goes_on").isNull(), F.col("at")).alias("target"))
+def resolved(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """The end of each chain of redirects (child -> parent), null where it runs in a circle. Pointer doubling: a chain of length n takes
+    log n rounds, each a table in the shared folder. While any chain is left, every round ends at least one (its member just
+    beyond the reach so far); so what no round ends any more runs in circles. A child has one parent."""
+    step = links.select(F.col(child).alias("id"), F.col(parent).alias("at"))
+    step = step.join(step.select(F.col("id").alias("at"), F.lit(True).alias("open")), "at", "left").select("id", "at", F.coalesce("open", F.lit(False)).alias("open"))
+    left = last = None
+    while True:
+        watch = Observation()
+        step = stored(step.observe(watch, F.count_if("open").alias("n")), "redirects")
+        if last is not None:
+            forget(last)
+        last = step
+        now = watch.get["n"]
+        if now == 0 or now == left:
+            return step.select("id", F.when(~F.col("open"), F.col("at")).alias("target"))
+        left = now
+        to = step.select(F.col("id").alias("at"), F.col("at").alias("_next"), F.col("open").alias("_on"))
+        step = step.join(to, "at", "left").select("id", F.when(F.col("open"), F.col("_next")).otherwise(F.col("at")).alias("at"), (F.col("open") & F.col("_on")).alias("open"))
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -16,14 +19,42 @@ def publish(tables: dict[str, DataFrame], root: str, run_id: str, source_sha256:
         raise ValueError(f"version {run_id} has another source")
     if not known:
         for name, df in tables.items():
-            path = f"{root}/{name}/run_id={run_id}"
-            counted = df.count()
-            df.write.mode("overwrite").parquet(path)
-            if (read := spark.read.parquet(path).count()) != counted:
-                raise ValueError(f"{name}: wrote {counted} rows, read {read}")
+            path, rows = f"{root}/{name}/run_id={run_id}", Observation()
+            df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+            if (read := spark.read.parquet(path).count()) != rows.get["n"]:
+                raise ValueError(f"{name}: wrote {rows.get['n']} rows, read {read}")
     activate(spark, root, run_id, source_sha256)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A step of an iteration as a table in the folder of spark.checkpoint.dir, which cuts its lineage. Where it is unset a local session (as in
+    tests) gets a temporary folder; on a cluster that is an error."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def files(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    at, system = files(df.sparkSession, df.stored_at)
+    system.delete(at, True)
+
+
 def versions(spark: SparkSession, root: str) -> DataFrame:
     schema = "sequence long, run_id string, source_sha256 string"
     try:
@@ -33,9 +64,25 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def activate(spark: SparkSession, root: str, run_id: str, source_sha256: str) -> None:
-    """Append a pointer; the one with the greatest sequence number is active, so a swap is one atomic append."""
-    last = versions(spark, root).agg(F.max("sequence")).first()[0] or 0
-    spark.createDataFrame([(last + 1, run_id, source_sha256)], "sequence long, run_id string, source_sha256 string").coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
+    """Append a pointer; the one with the greatest sequence number is active. A number belongs to whoever creates its file in _claims, which
+    the file system lets one publisher do; so two of them never write the same number, and the greater one wins."""
+    number = (versions(spark, root).agg(F.max("sequence")).first()[0] or 0) + 1
+    while True:
+        at, system = files(spark, f"{root}/_claims/{number}")
+        if system.createNewFile(at):
+            break
+        number += 1
+    spark.createDataFrame([(number, run_id, source_sha256)], "sequence long, run_id string, source_sha256 string").coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
+
+
+def rollback(spark: SparkSession, root: str, run_id: str) -> str | None:
+    """When a step after activation fails, make the version that was active before `run_id` active again; returns it."""
+    rows = versions(spark, root).orderBy("sequence").collect()  # a row for each publication
+    before = next((r for r in reversed(rows) if r.run_id != run_id), None)
+    if not rows or rows[-1].run_id != run_id or before is None:
+        return rows[-1].run_id if rows else None
+    activate(spark, root, before.run_id, before.source_sha256)
+    return before.run_id
 
 
 def active(spark: SparkSession, root: str) -> str | None:
@@ -70,3 +117,27 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
 def schema_differences(df: DataFrame, wanted) -> list[str]:
     have, want = {f.name: f.dataType.simpleString() for f in df.schema}, {f.name: f.dataType.simpleString() for f in wanted}
     return sorted(f"{c}: {have.get(c)} instead of {want.get(c)}" for c in have.keys() | want.keys() if have.get(c) != want.get(c))
+
+
+def key_problems(df: DataFrame, keys: list[str], required: list[str] = ()) -> dict[str, int]:
+    """What the data say about keys and nullability: rows beyond the first of a key, and nulls of each required column. Repeats come
+    from counts by key, nulls from one aggregate."""
+    repeats = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    columns = sorted({*keys, *required})
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    return {"repeats": repeats} | {f"null:{c}": nulls[c] for c in columns}
+
+
+def publish_document(documents: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K7: rows of new (kind, key, identity, captured_at, payload) that may be appended, and those refused with `problem`: another identity under
+    a known key, or a capture not later than the newest there."""
+    known = documents.groupBy("kind", "key").agg(F.max("captured_at").alias("_last"), F.min("identity").alias("_identity"))
+    rows = new.join(known, ["kind", "key"], "left")
+    problem = F.when(F.col("identity") != F.col("_identity"), "other_identity").when(F.col("captured_at") <= F.col("_last"), "not_later")
+    rows = rows.withColumn("problem", problem).drop("_last", "_identity").select(*new.columns, "problem")
+    return rows.where("problem is null").drop("problem"), rows.where("problem is not null")
+
+
+def write_new(df: DataFrame, path: str) -> None:
+    """Write JSON lines to a place where nothing is yet; anything there is an error."""
+    df.write.mode("errorifexists").json(path)

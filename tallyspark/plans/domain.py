@@ -37,14 +37,25 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(sides, "bout_id").withColumn("day", day_number("event_date"))
 
 
+def paired(spark: SparkSession, sf_dir: str, lines: DataFrame, totals: list) -> DataFrame:
+    """One row for each side of a contest with its totals as `own` and the opponent's as `other`. Lines are shuffled once, by contest: totals by side,
+    both sides of a contest and the join with the orders all follow that partitioning."""
+    sides = lines.repartition("bout_id").groupBy("bout_id", "fighter_id").agg(*totals)
+    side = F.struct("fighter_id", *[c for c in sides.columns if c not in ("bout_id", "fighter_id")])
+    both = sides.groupBy("bout_id").agg(F.min(side).alias("a"), F.max(side).alias("b")).where("a.fighter_id <> b.fighter_id")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bout_id"), F.to_date("o_orderdate").alias("event_date"), outcome(F.col("o_orderstatus")).alias("outcome"), F.col("o_orderpriority").alias("division"), F.col("o_custkey").alias("event_id"))
+    rows = orders.join(both, "bout_id").withColumn("day", day_number("event_date"))
+    pairs = F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))
+    return rows.select("bout_id", "event_date", "outcome", "division", "event_id", "day", F.inline(pairs))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each side of a contest; totals are null where any round's value is."""
     from ..operators.metrics import all_or_null
 
-    c = contests(spark, sf_dir)
-    total = rounds(spark, sf_dir).groupBy("bout_id", "fighter_id").agg(F.count("*").alias("rounds"), F.sum("attempted").alias("attempted"), all_or_null("landed").alias("landed"), all_or_null("seconds").alias("seconds"))
-    rows = total.join(c, "bout_id").where("fighter_id = a or fighter_id = b")
-    return rows.withColumn("opponent_id", F.when(F.col("fighter_id") == F.col("a"), F.col("b")).otherwise(F.col("a"))).drop("a", "b")
+    totals = [F.count("*").alias("rounds"), F.sum("attempted").alias("attempted"), all_or_null("landed").alias("landed"), all_or_null("seconds").alias("seconds")]
+    rows = paired(spark, sf_dir, rounds(spark, sf_dir), totals)
+    return rows.select("bout_id", "own.fighter_id", "own.rounds", "own.attempted", "own.landed", "own.seconds", "event_date", "outcome", "division", "event_id", "day", F.col("other.fighter_id").alias("opponent_id"))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,16 +82,11 @@ def shrunk_metrics(spark, sf_dir):
     h AS (SELECT f.bout_id, f.fighter_id, p.points, row_number() OVER (PARTITION BY f.bout_id, f.fighter_id ORDER BY p.day DESC, p.event_id DESC, p.bout_id DESC) AS r FROM x f JOIN x p ON p.fighter_id = f.fighter_id AND p.day < f.day)
     SELECT f.bout_id, f.fighter_id, round((coalesce(sum(h.points) FILTER (WHERE r <= 5), 0) + 1) / (count(h.points) FILTER (WHERE r <= 5) + 2), 6) AS form FROM x f LEFT JOIN h USING (bout_id, fighter_id) GROUP BY ALL""")
 def recent_form(spark, sf_dir):
-    """Form over the last five contests of earlier dates. Running sums in order and the row number five before the
-    first row of the date give it without a list for each row."""
+    """Form over the last five contests of earlier dates."""
     f = facts(spark, sf_dir).withColumn("points", F.when(F.col("outcome") == "win", 1.0).when(F.col("outcome") == "draw", 0.5).otherwise(0.0))
-    order = Window.partitionBy("fighter_id").orderBy("day", "event_id", "bout_id")
-    f = f.withColumn("rn", F.row_number().over(order)).withColumn("run", F.sum("points").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    f = f.withColumn("n", F.count("*").over(asof.earlier(["fighter_id"], "day"))).withColumn("total", F.coalesce(F.sum("points").over(asof.earlier(["fighter_id"], "day")), F.lit(0.0)))
-    edge = f.select(F.col("fighter_id"), F.col("rn").alias("edge"), F.coalesce("run", F.lit(0.0)).alias("cut"))
-    rows = f.withColumn("edge", F.greatest(F.col("n") - 4, F.lit(1)).cast("int")).join(edge, ["fighter_id", "edge"], "left")
-    kept = F.least("n", F.lit(5))
-    return rows.select("bout_id", "fighter_id", F.round((F.when(F.col("n") > 0, F.col("total") - F.col("cut")).otherwise(0.0) + 1) / (kept + 2), 6).alias("form"))
+    rows = asof.last_rows(f.select("bout_id", "fighter_id", "day", "event_id", "points"), "fighter_id", "day", ["event_id", "bout_id"], "points", 5)
+    total = F.aggregate("last", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("bout_id", "fighter_id", F.round((total + 1) / (F.size("last") + 2), 6).alias("form"))
 
 
 @query(f"""WITH {FACTS}, d AS (SELECT f.bout_id, f.fighter_id, f.opponent_id, f.day, f.landed, f.attempted, coalesce(sum(p.landed), 0) AS ol, coalesce(sum(p.attempted), 0) AS oa FROM facts f

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import joins, metrics
-from .domain import CONTESTS, FACTS, ROUNDS, contests, facts, rounds, table
+from .domain import CONTESTS, FACTS, ROUNDS, contests, facts, paired, rounds, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,11 +74,9 @@ def all_or_null_total(spark, sf_dir):
 def opponent_history(spark, sf_dir):
     """Each side with the other side's totals. Both sides of a contest meet in one group, so the
     self-join needs no second scan."""
-    w = Window.partitionBy("bout_id")
-    f = facts(spark, sf_dir)
-    other = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(w) - F.coalesce(F.col(c), F.lit(0.0))
-    given = lambda c: F.count(c).over(w) - F.col(c).isNotNull().cast("int")
-    return f.select("bout_id", "fighter_id", "opponent_id", "attempted", other("attempted").alias("opponent_attempted"), r6("landed", "landed"), F.when(given("landed") == 1, r6(other("landed"))).alias("opponent_landed"), r6(60.0 * F.col("attempted") / F.nullif("seconds", F.lit(0)), "attempted_per_minute"))
+    totals = [F.sum("attempted").alias("attempted"), metrics.all_or_null("landed").alias("landed"), metrics.all_or_null("seconds").alias("seconds")]
+    f = paired(spark, sf_dir, rounds(spark, sf_dir), totals)
+    return f.select("bout_id", "own.fighter_id", F.col("other.fighter_id").alias("opponent_id"), "own.attempted", F.col("other.attempted").alias("opponent_attempted"), r6("own.landed", "landed"), r6("other.landed", "opponent_landed"), r6(60.0 * F.col("own.attempted") / F.nullif("own.seconds", F.lit(0)), "attempted_per_minute"))
 
 
 @query(f"""WITH {FACTS} SELECT fighter_id, count(*) FILTER (WHERE outcome = 'win' AND fighter_id < opponent_id) AS wins, count(*) FILTER (WHERE outcome = 'win' AND fighter_id > opponent_id) AS losses,

@@ -98,6 +98,20 @@ def test_redirect_chains(spark):
     assert {r.id: r.target for r in joins.resolved(links, "c", "p").collect()} == {"a": "d", "b": "d", "c": "d", "p": "q", "x": None, "y": None}
 
 
+def test_long_redirect_chains_and_circles(spark):
+    links = [(i, i + 1) for i in range(1000)] + [(5000 + i, 5000 + (i + 1) % 77) for i in range(77)] + [(6000 + i, 5000 + i) for i in range(5)] + [(9000, 9000)]
+    got = {r.id: r.target for r in joins.resolved(spark.createDataFrame(links, "c long, p long"), "c", "p").collect()}
+    assert got == {i: 1000 if i < 1000 else None for i, _ in links}
+    assert joins.resolved(spark.createDataFrame([], "c long, p long"), "c", "p").count() == 0
+
+
+def test_last_rows_equal_brute_force(spark):
+    rnd = random.Random(21)
+    rows = [(rnd.choice("abc"), rnd.randint(0, 25), i, float(rnd.randint(0, 9))) for i in range(200)]
+    for r in asof.last_rows(spark.createDataFrame(rows, "k string, day int, id int, x double"), "k", "day", ["id"], "x", 5).collect():
+        assert r["last"] == [x for d, i, x in sorted((d, i, x) for k, d, i, x in rows if k == r.k and d < r.day)][-5:]
+
+
 def test_shrunk_and_null_rules(spark):
     df = spark.createDataFrame([(60.0, 100.0, 600.0), (None, 5.0, 60.0), (7.0, 5.0, 60.0)], "l double, a double, s double")
     accuracy = metrics.Shrunk("x", "l", "a", 0.5, 50, bounded=True)
@@ -268,6 +282,25 @@ def test_store(spark, tmp_path):
     assert store.schema_differences(first, new.schema) == [] and store.schema_differences(first, first.drop("v").schema)
 
 
+def test_store_claims_documents_and_rollback(spark, tmp_path):
+    root = str(tmp_path / "s")
+    frame = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k int, v string")
+    store.publish({"t": frame}, root, "r1", "s1")
+    store.publish({"t": frame.limit(1)}, root, "r2", "s2")
+    assert store.rollback(spark, root, "r2") == "r1" == store.active(spark, root) and store.rollback(spark, root, "r2") == "r1"
+    at, system = store.files(spark, f"{root}/_claims/4")
+    assert system.createNewFile(at)  # another publisher holds the next number
+    store.activate(spark, root, "r2", "s2")
+    assert store.active(spark, root) == "r2" and store.versions(spark, root).agg(F.max("sequence")).first()[0] == 5
+    assert store.key_problems(frame, ["k"], ["v"]) == {"repeats": 1, "null:k": 0, "null:v": 1}
+    kind = "kind string, key string, identity string, captured_at int, payload string"
+    fresh, refused = store.publish_document(spark.createDataFrame([("d", "x", "i", 5, "p")], kind), spark.createDataFrame([("d", "x", "i", 6, "q"), ("d", "x", "j", 7, "q"), ("d", "x", "i", 5, "q"), ("d", "y", "z", 1, "q")], kind))
+    assert sorted((r.key, r.captured_at) for r in fresh.collect()) == [("x", 6), ("y", 1)] and sorted(r.problem for r in refused.collect()) == ["not_later", "other_identity"]
+    store.write_new(frame, str(tmp_path / "new"))
+    with pytest.raises(Exception, match="exist"):
+        store.write_new(frame, str(tmp_path / "new"))
+
+
 def test_ledger(spark):
     entries = spark.createDataFrame([], "c string, number int, payload string, previous_sha256 string, entry_sha256 string")
     for k in range(3):
@@ -319,6 +352,21 @@ def test_history_reads_only_what_it_needs(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "Pandas" not in plan
 
 
+def test_history_features_scan_once(spark):
+    """The facts are one pass over the lines; last-N features add one shuffle by participant and no join of the facts with themselves."""
+    from tallyspark.plans import registry
+
+    at, key = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for name, most in (("last5_with_ties_shrunk", 3), ("recent_form", 3), ("strict_prior_running", 3), ("opponent_history", 2), ("opponent_adjusted", 4)):
+            plan = registry.QUERIES[name](spark, at)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("lineitem.parquet") <= 2 and plan.count("Exchange hashpartitioning") == most and plan.count("SortMergeJoin") == 1, name
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_future_rows_change_nothing(spark):
     """Adding later, same-day and next-day rows leaves the features of earlier ones as they were."""
     rnd = random.Random(11)
