@@ -64,7 +64,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     is left goes; null and empty texts stay as empty ones. Rows with a null id keep their text; rows that repeat an id: as `deduplicated` says."""
     rows = suffix_dedup.deduplicated(docs, keep=("lang", "source"))
     text = F.when(F.col("spans").isNull(), F.col("body").cast("string")).otherwise(suffix_dedup.remaining(F.col("body"), F.col("spans")))
-    return rows.select("doc_id", text.alias("text"), "lang", "source", "spans").where("spans is null or text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    whole = "size(spans) = 1 and spans[0].start = 0 and spans[0].end = octet_length(body)"  # told from the spans, so that the text is made once
+    return rows.where(f"spans is null or not ({whole})").select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 @stage
