@@ -197,7 +197,7 @@ def similar(shared, one, two, rule: Rule):
     return (shared > 0) & (rule.parts * shared >= rule.share * (one + two - shared))
 
 
-def overlaps(queries: list[np.ndarray], members: list[np.ndarray], most: int = 4_000_000) -> np.ndarray:
+def overlaps(queries: list[np.ndarray], members: list[np.ndarray], most: int = 1_000_000) -> np.ndarray:
     """Sizes of the intersections, members x queries: an index of the queries' shingles, probed by the members in turn."""
     keys = np.concatenate(queries) if queries else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(queries)), [len(x) for x in queries])
