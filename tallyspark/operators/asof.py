@@ -47,13 +47,14 @@ def last_with_ties(df: DataFrame, key: str, day: str, order: str, measures: list
     return rows.select(*df.columns, *out)
 
 
-def last_rows(df: DataFrame, key: str, day: str, order: list[str], value: str, n: int) -> DataFrame:
+def last_rows(df: DataFrame, key: str, day: str, order: list[str], value: str, n: int, counts: Column | None = None) -> DataFrame:
     """df with `last`: the value of the last n rows of the key on strictly earlier dates, in order of (day, *order), oldest first. Each row carries
-    the n values up to itself; a later date takes those of the last row before it."""
-    own = Window.partitionBy(key).orderBy(day, *order).rowsBetween(1 - n, 0)
-    rows = df.withColumn("_own", F.collect_list(value).over(own))
-    seen = F.max_by("_own", F.struct(day, *order)).over(earlier([key], day))
-    return rows.withColumn("last", F.coalesce(seen, F.array().cast(df.select(F.array(value)).schema[0].dataType))).drop("_own")
+    the n values up to itself; a later date takes those of the last row before it. counts: which rows count at all."""
+    rows = df.withColumn("_counts", F.lit(True) if counts is None else F.coalesce(counts, F.lit(False)))
+    own = Window.partitionBy(key, "_counts").orderBy(day, *order).rowsBetween(1 - n, 0)
+    rows = rows.withColumn("_own", F.collect_list(value).over(own))
+    seen = F.max_by("_own", F.when(F.col("_counts"), F.struct(day, *order))).over(earlier([key], day))
+    return rows.withColumn("last", F.coalesce(seen, F.array().cast(df.select(F.array(value)).schema[0].dataType))).drop("_own", "_counts")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], forward: bool = False, strict: bool = False) -> DataFrame:

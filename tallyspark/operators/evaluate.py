@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLIP = 1e-12
+#: Dates (three centuries of days) that a table of one row for each date may have to be broadcast or brought to the driver.
+MOST_DATES = 110_000
 
 
 def loss(p: Column, y: Column, clip: float = CLIP) -> Column:
@@ -37,7 +39,8 @@ def split_by_date(df: DataFrame, date: str, shares: tuple[float, float] = (0.7,
     total = dates.count()
     first, second = int(total * shares[0]), int(total * (shares[0] + shares[1]))
     part = F.when(F.col("_r") <= first, "train").when(F.col("_r") <= second, "validation").otherwise("test")
-    return df.join(F.broadcast(ranked.withColumn("split", part).drop("_r")), date)
+    ranked = ranked.withColumn("split", part).drop("_r")
+    return df.join(F.broadcast(ranked) if total <= MOST_DATES else ranked, date)
 
 
 def block_sums(df: DataFrame, date: str, values: list[Column]) -> DataFrame:
@@ -47,7 +50,9 @@ def block_sums(df: DataFrame, date: str, values: list[Column]) -> DataFrame:
 
 def bootstrap(blocks: DataFrame, date: str, value: str = "s0", repeats: int = 2000, seed: int = 20260926) -> tuple[float, float]:
     """95 % interval of a mean by drawing whole dates; blocks has a row for each date, which bounds what the driver gets."""
-    rows = [(r[value], r["n"]) for r in blocks.orderBy(date).collect()]
+    rows = [(r[value], r["n"]) for r in blocks.orderBy(date).limit(MOST_DATES + 1).collect()]
+    if len(rows) > MOST_DATES:
+        raise ValueError(f"more than {MOST_DATES} dates; draw coarser blocks")
     rnd, out = random.Random(seed), []
     for _ in range(repeats):
         drawn = [rows[rnd.randrange(len(rows))] for _ in rows]
@@ -78,16 +83,28 @@ def temperature(df: DataFrame, p: str, y: str, steps: int = 40) -> float:
     Each step is an aggregate over the rows for a grid of scales; no rows come to the driver."""
     logit = F.log(F.least(F.greatest(F.col(p), F.lit(CLIP)), F.lit(1 - CLIP)) / (1 - F.least(F.greatest(F.col(p), F.lit(CLIP)), F.lit(1 - CLIP))))
     rows = df.select(logit.alias("z"), F.col(y).alias("y")).persist()
-    if rows.count() < 30:
-        return 1.0
-    low, high = 0.25, 4.0
-    for _ in range(max(1, steps // 8)):
-        grid = [low + (high - low) * i / 16 for i in range(17)]
-        got = rows.agg(*[F.avg(loss(1 / (1 + F.exp(-F.col("z") * s)), F.col("y"))).alias(f"g{i}") for i, s in enumerate(grid)]).first()
-        best = min(range(17), key=lambda i: got[i] + 0.002 * (grid[i] - 1) ** 2)
-        low, high = grid[max(0, best - 1)], grid[min(16, best + 1)]
-    rows.unpersist()
-    return (low + high) / 2
+    try:
+        if rows.count() < 30:
+            return 1.0
+        low, high = 0.25, 4.0
+        for _ in range(max(1, steps // 8)):
+            grid = [low + (high - low) * i / 16 for i in range(17)]
+            got = rows.agg(*[F.avg(loss(1 / (1 + F.exp(-F.col("z") * s)), F.col("y"))).alias(f"g{i}") for i, s in enumerate(grid)]).first()
+            best = min(range(17), key=lambda i: got[i] + 0.002 * (grid[i] - 1) ** 2)
+            low, high = grid[max(0, best - 1)], grid[min(16, best + 1)]
+        return (low + high) / 2
+    finally:
+        rows.unpersist()
+
+
+def report_problems(saved: DataFrame, forecasts: DataFrame, cohort: str, within: float = 1e-6) -> DataFrame:
+    """A saved report (cohort, n, ones, zeros, brier, low, high) against its own rules and against the forecasts (cohort, p, y) that it is made from."""
+    again = forecasts.groupBy(cohort).agg(F.count("*").alias("_n"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("_brier"))
+    both = saved.join(again, cohort)
+    return both.select(
+        cohort, (F.col("n") == F.col("ones") + F.col("zeros")).alias("outcomes_add_up"), (F.col("n") == F.col("_n")).alias("rows_match"),
+        (F.abs(F.col("brier") - F.col("_brier")) < within).alias("metrics_match"), ((F.col("low") >= 0) & (F.col("high") <= 1) & (F.col("low") <= F.col("high"))).alias("in_range"),
+    )
 
 
 def contributions(weights: dict[str, float], scale: float = 1.0) -> Column:

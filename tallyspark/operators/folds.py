@@ -1,5 +1,5 @@
-"""Ratings that depend on the order of contests. Every pool (a division, a league) is one ordered stream; pools are
-dealt out to tasks, and a task holds the ratings of the pool at hand and nothing else."""
+"""Ratings that depend on the order of contests. Every pool is one ordered stream; pools are dealt out to tasks, and a task holds the ratings
+of the pool at hand and nothing else. One pool for all is the plain rule; pools by division are a departure that parallelises."""
 
 from __future__ import annotations
 
@@ -10,29 +10,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def elo(contests: DataFrame, pool: str, k: float = 32.0, start: float = 1500.0, by_date: bool = False) -> DataFrame:
+def elo(contests: DataFrame, pool: str | None, k: float = 32.0, start: float = 1500.0, by_date: bool = False, date_snapshot: bool = False) -> DataFrame:
     """contests (pool, event_date, event_id, bout_id, a, b, score) with both ratings before and the expected score of a.
 
     score: 1, 0.5 or 0 for a, null for no contest (which changes nothing). In order of (event_date, event_id,
-    bout_id); by_date: all changes of a date are computed from the ratings before it and applied together.
+    bout_id); by_date: all changes of a date are computed from the ratings before it and applied together; date_snapshot: changes follow each other
+    within a date, but what is shown are the ratings before the date. pool None: one pool, where a participant has one rating whatever the
+    division. Every rating then depends on all contests before it, so one task reads them in order, as a stream; it holds a number for each participant.
     """
+    if pool is None:
+        contests, pool = contests.withColumn("_all", F.lit("all")), "_all"
+        return elo(contests, pool, k, start, by_date, date_snapshot).drop("_all")
 
     def run(frames):
-        now, date, rating, held = None, None, {}, defaultdict(float)
+        now, date, rating, held, seen = None, None, {}, defaultdict(float), {}
         for frame in frames:
             before_a, before_b, expected = [], [], []
             for row_pool, day, a, b, score in zip(frame["_pool"], frame["event_date"], frame["a"], frame["b"], frame["score"], strict=True):
                 if row_pool != now:
-                    now, date, rating, held = row_pool, None, {}, defaultdict(float)
-                if by_date and day != date:
+                    now, date, rating, held, seen = row_pool, None, {}, defaultdict(float), {}
+                if day != date:
                     for who, change in held.items():
                         rating[who] = rating.get(who, start) + change
-                    date, held = day, defaultdict(float)
+                    date, held, seen = day, defaultdict(float), {}
                 ra, rb = rating.get(a, start), rating.get(b, start)
                 p = 1 / (1 + 10 ** ((rb - ra) / 400))
-                before_a.append(ra)
-                before_b.append(rb)
-                expected.append(p)
+                before_a.append(seen.setdefault(a, ra) if date_snapshot else ra)
+                before_b.append(seen.setdefault(b, rb) if date_snapshot else rb)
+                expected.append(1 / (1 + 10 ** ((before_b[-1] - before_a[-1]) / 400)))
                 if not pd.isna(score):
                     change = k * (score - p)
                     if by_date:

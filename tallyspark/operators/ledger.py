@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,29 @@ def verify(entries: DataFrame, chain: str) -> DataFrame:
     return entries.withColumn("problem", problem)
 
 
+def chained(rows: DataFrame, chain: str, order: list[str]) -> DataFrame:
+    """Entries (chain, number, payload, previous_sha256, entry_sha256) of whole ledgers from rows (chain, *order, payload). Each digest needs the
+    one before it, so a chain is read in order by one task, as a stream that holds one digest; chains are dealt out."""
+
+    def run(batches):
+        now, number, last = None, 0, ROOT
+        for batch in batches:
+            out = []
+            for who, payload in zip(batch.column(chain).to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if who != now:
+                    now, number, last = who, 0, ROOT
+                number += 1
+                entry = hashlib.sha256(f"{last}|{payload}".encode()).hexdigest()
+                out.append((number, last, entry))
+                last = entry
+            kinds = (pa.int64(), pa.string(), pa.string())
+            new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "number", "previous_sha256", "entry_sha256"])
+
+    sorted_ = rows.repartition(chain).sortWithinPartitions(chain, *order)
+    return sorted_.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", number long, previous_sha256 string, entry_sha256 string")
+
+
 def append(entries: DataFrame, chain: str, new: DataFrame) -> DataFrame:
     """The next entry of each chain in new (chain, payload); one for each chain, so that each names what stands there now."""
     last = entries.groupBy(chain).agg(F.max("number").alias("_n"), F.max_by("entry_sha256", "number").alias("_last"))

@@ -58,6 +58,30 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("bout_id", "own.fighter_id", "own.rounds", "own.attempted", "own.landed", "own.seconds", "event_date", "outcome", "division", "event_id", "day", F.col("other.fighter_id").alias("opponent_id"))
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of every contest with a full set of statistics from its lines, and the opponent's as o_...: what operators.features reads."""
+    from ..operators.metrics import all_or_null
+
+    q, p = F.col("l_quantity"), F.col("l_partkey")
+    part = lambda k: F.floor(q / k)
+    line = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("bout_id"), F.col("l_suppkey").alias("fighter_id"), q.alias("sig_attempted"), F.when(F.col("l_returnflag") != "R", F.floor(q * (1 - F.col("l_discount")))).cast("double").alias("sig_landed"), F.when(F.col("l_linestatus") == "F", (p % 90).cast("double")).alias("control_seconds"),
+        *[x.cast("double").alias(n) for n, x in {"kd": (p % 11 == 0).cast("int"), "td_attempted": p % 7, "td_landed": F.least(p % 7, p % 5), "sub_attempts": p % 3, "clinch_attempted": part(5), "ground_attempted": part(4), "body_attempted": part(3), "leg_attempted": part(6), "distance_attempted": q - part(5) - part(4), "head_attempted": q - part(3) - part(6)}.items()],
+    )
+    stats = [c for c in line.columns if c not in ("bout_id", "fighter_id")]
+    rows = paired(spark, sf_dir, line, [all_or_null(c).alias(c) for c in stats])
+    key, first = F.col("bout_id"), F.col("own.fighter_id") < F.col("other.fighter_id")
+    points = F.when(F.col("outcome") == "draw", 0.5).when(F.col("outcome") == "win", ((key % 2 == 0) == first).cast("double"))
+    method = F.element_at(F.array(*map(F.lit, ("ko_tko", "submission", "decision_unanimous", "decision_split", "other"))), (key % 5 + 1).cast("int"))
+    return rows.select("bout_id", "own.fighter_id", F.col("other.fighter_id").alias("opponent_id"), "day", "event_date", "event_id", "outcome", points.alias("points"), F.when(key % 4 != 0, (key % 4) * 300.0).alias("elapsed"), method.alias("method"), *[F.col(f"own.{c}") for c in stats], *[F.col(f"other.{c}").alias(f"o_{c}") for c in stats])
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """birth_day and reach_cm of participants, each missing for some."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("fighter_id"), F.when(k % 4 != 0, (k % 300 * 30 - 4000).cast("int")).alias("birth_day"), F.when(k % 5 != 0, (F.lit(150) + k % 60).cast("double")).alias("reach_cm"))
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("quote_id"), F.col("user_id").alias("book"), F.col("event_type").alias("side"), F.col("value").alias("price"), F.col("ts"), F.get_json_object("props", "$.k").cast("long").alias("receipt"))
@@ -85,6 +109,19 @@ totals AS (SELECT bout_id, fighter_id, count(*) AS rounds, sum(attempted) AS att
     CASE WHEN count(seconds) = count(*) THEN sum(seconds) END AS seconds FROM rounds GROUP BY ALL),
 facts AS (SELECT bout_id, fighter_id, rounds, attempted, landed, seconds, event_date, outcome, division, event_id, day,
     CASE WHEN fighter_id = a THEN b ELSE a END AS opponent_id FROM totals JOIN contests USING (bout_id) WHERE fighter_id IN (a, b))"""
+STATS = ("sig_attempted", "sig_landed", "control_seconds", "kd", "td_attempted", "td_landed", "sub_attempts", "clinch_attempted", "ground_attempted", "body_attempted", "leg_attempted", "distance_attempted", "head_attempted")
+RECORDS = CONTESTS + f""",
+lines AS (SELECT l_orderkey AS bout_id, l_suppkey AS fighter_id, l_quantity AS q, l_partkey AS p, CASE WHEN l_returnflag <> 'R' THEN floor(l_quantity * (1 - l_discount)) END AS landed, l_linestatus AS s FROM lineitem),
+stats AS (SELECT bout_id, fighter_id, sum(q)::DOUBLE AS sig_attempted, CASE WHEN count(landed) = count(*) THEN sum(landed) END::DOUBLE AS sig_landed,
+    CASE WHEN count(*) FILTER (WHERE s = 'F') = count(*) THEN sum(p % 90) END::DOUBLE AS control_seconds, count(*) FILTER (WHERE p % 11 = 0)::DOUBLE AS kd, sum(p % 7)::DOUBLE AS td_attempted,
+    sum(least(p % 7, p % 5))::DOUBLE AS td_landed, sum(p % 3)::DOUBLE AS sub_attempts, sum(floor(q / 5))::DOUBLE AS clinch_attempted, sum(floor(q / 4))::DOUBLE AS ground_attempted, sum(floor(q / 3))::DOUBLE AS body_attempted,
+    sum(floor(q / 6))::DOUBLE AS leg_attempted, sum(q - floor(q / 5) - floor(q / 4))::DOUBLE AS distance_attempted, sum(q - floor(q / 3) - floor(q / 6))::DOUBLE AS head_attempted FROM lines GROUP BY ALL),
+records AS (SELECT c.bout_id, x.fighter_id, y.fighter_id AS opponent_id, day, event_date, event_id, outcome,
+    CASE outcome WHEN 'draw' THEN 0.5 WHEN 'win' THEN CASE WHEN (c.bout_id % 2 = 0) = (x.fighter_id < y.fighter_id) THEN 1.0 ELSE 0.0 END END::DOUBLE AS points,
+    CASE WHEN c.bout_id % 4 <> 0 THEN (c.bout_id % 4) * 300.0 END::DOUBLE AS elapsed, ['ko_tko', 'submission', 'decision_unanimous', 'decision_split', 'other'][c.bout_id % 5 + 1] AS method,
+    {", ".join(f"x.{c}, y.{c} AS o_{c}" for c in STATS)}
+    FROM contests c JOIN stats x ON x.bout_id = c.bout_id AND x.fighter_id IN (a, b) JOIN stats y ON y.bout_id = c.bout_id AND y.fighter_id IN (a, b) AND y.fighter_id <> x.fighter_id)"""
+PEOPLE = """people AS (SELECT s_suppkey AS fighter_id, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 300 * 30 - 4000 END AS birth_day, CASE WHEN s_suppkey % 5 <> 0 THEN 150 + s_suppkey % 60 END::DOUBLE AS reach_cm FROM supplier)"""
 QUOTES = """quotes AS (SELECT event_id AS quote_id, user_id AS book, event_type AS side, value AS price, ts,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS receipt FROM events)"""
 FORECASTS = """forecasts AS (SELECT doc_id, source, lang, (n_chars % 1000) / 1000 AS p, CAST(quality AS INTEGER) AS y FROM labels JOIN documents USING (doc_id))"""

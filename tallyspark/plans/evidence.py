@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import store
+from ..operators import evaluate, store
 from .domain import CONTESTS, FACTS, FORECASTS, QUOTES, ROUNDS, contests, facts, forecasts, quotes, rounds, table
 
 QUERIES: dict = {}
@@ -23,19 +23,23 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""WITH {CONTESTS}, q AS (SELECT o_orderkey AS quote_id, o_custkey AS event_id, min(l_suppkey) AS x, max(l_suppkey) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 GROUP BY ALL),
+@query(f"""WITH {CONTESTS}, q AS (SELECT o_orderkey AS quote_id, o_custkey AS event_id, arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS u, arg_max(l_suppkey, (l_linenumber, l_suppkey)) AS v, least(u, v) AS x, greatest(u, v) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
     c AS (SELECT event_id, bout_id, a, b FROM contests), j AS (SELECT quote_id, bout_id, CASE WHEN a = x AND b = y THEN 0 WHEN (a IN (x, y)) <> (b IN (x, y)) THEN 1 END AS tier FROM q JOIN c USING (event_id))
     SELECT quote_id, CASE WHEN count(*) FILTER (WHERE tier = 0) = 1 THEN 'exact' WHEN count(*) FILTER (WHERE tier = 0) > 1 THEN 'ambiguous' WHEN count(*) FILTER (WHERE tier = 1) > 0 THEN 'review' ELSE 'absent' END AS result FROM j GROUP BY quote_id""")
 def tiered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exact pair matches; one that shares exactly one side is for review."""
+    """A quote names the sides of its order's first and last line; an exact pair of the event matches, one that shares exactly one side
+    is for review. Pairs and sides of an event are counted before joining, so no quote meets all contests of its event."""
     line, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    q = line.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("quote_id")).agg(F.min("l_suppkey").alias("x"), F.max("l_suppkey").alias("y"))
-    q = q.join(o.select(F.col("o_orderkey").alias("quote_id"), F.col("o_custkey").alias("event_id")), "quote_id")
-    j = q.join(contests(spark, sf_dir).select("event_id", "a", "b"), "event_id")
-    exact = (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))
-    half = F.col("a").isin(F.col("x"), F.col("y")) != F.col("b").isin(F.col("x"), F.col("y"))
-    got = j.groupBy("quote_id").agg(F.count_if(exact).alias("e"), F.count_if(~exact & half).alias("h"))
-    return got.select("quote_id", F.when(F.col("e") == 1, "exact").when(F.col("e") > 1, "ambiguous").when(F.col("h") > 0, "review").otherwise("absent").alias("result"))
+    q = line.groupBy(F.col("l_orderkey").alias("quote_id")).agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("u"), F.max_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("v"))
+    q = q.select("quote_id", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).join(o.select(F.col("o_orderkey").alias("quote_id"), F.col("o_custkey").alias("event_id")), "quote_id")
+    c = contests(spark, sf_dir).select("event_id", "a", "b")
+    pairs = c.groupBy("event_id", F.col("a").alias("x"), F.col("b").alias("y")).agg(F.count("*").alias("e"))
+    sides = c.select("event_id", F.explode(F.array("a", "b")).alias("who")).groupBy("event_id", "who").agg(F.count("*").alias("n"))
+    of = lambda s: sides.withColumnRenamed("who", s).withColumnRenamed("n", f"n_{s}")
+    got = q.join(c.select("event_id").distinct(), "event_id", "left_semi").join(pairs, ["event_id", "x", "y"], "left").join(of("x"), ["event_id", "x"], "left").join(of("y"), ["event_id", "y"], "left")
+    e, n = F.coalesce("e", F.lit(0)), lambda s: F.coalesce(f"n_{s}", F.lit(0))
+    half = F.when(F.col("x") == F.col("y"), n("x")).otherwise(n("x") + n("y") - 2 * e)
+    return got.select("quote_id", F.when(e == 1, "exact").when(e > 1, "ambiguous").when(half > 0, "review").otherwise("absent").alias("result"))
 
 
 @query(f"""WITH {QUOTES} SELECT quote_id FROM quotes q WHERE EXISTS (SELECT 1 FROM quotes r WHERE r.book = q.book AND r.receipt = q.receipt AND r.side <> q.side)""")
@@ -129,20 +133,28 @@ def evidence_coverage(spark, sf_dir):
     return forecasts(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg((F.col("p") > 0).cast("double")), 6).alias("observed"), F.round(F.sum(w * F.col("y")) / F.sum(w), 6).alias("weighted"))
 
 
-@query(f"""WITH {FORECASTS}, s AS (SELECT count(*) AS n, sum(y)::BIGINT AS ones, sum(1 - y)::BIGINT AS zeros, min(p) AS lo, max(p) AS hi FROM forecasts) SELECT 'outcomes_add_up' AS rule, ones + zeros = n AS holds FROM s UNION ALL SELECT 'range', lo >= 0 AND hi <= 1 FROM s UNION ALL SELECT 'ordered', lo <= hi FROM s""")
+@query(f"""WITH {FORECASTS}, saved AS (SELECT lang, count(*) + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS n, sum(y)::BIGINT AS ones, count(*) - sum(y)::BIGINT AS zeros, round(avg((p - y) * (p - y)), 9) + CASE WHEN lang = 'fr' THEN 0.01 ELSE 0 END AS brier, min(p) AS low, max(p) AS high FROM forecasts GROUP BY lang),
+    again AS (SELECT lang, count(*) AS n, avg((p - y) * (p - y)) AS brier FROM forecasts GROUP BY lang)
+    SELECT lang, s.n = ones + zeros AS outcomes_add_up, s.n = a.n AS rows_match, abs(s.brier - a.brier) < 1e-6 AS metrics_match, low >= 0 AND high <= 1 AND low <= high AS in_range FROM saved s JOIN again a USING (lang)""")
 def report_invariants(spark, sf_dir):
-    """Rules a report must satisfy, from one aggregate."""
-    s = forecasts(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    rules = {"outcomes_add_up": F.col("ones") + F.col("zeros") == F.col("n"), "range": (F.col("lo") >= 0) & (F.col("hi") <= 1), "ordered": F.col("lo") <= F.col("hi")}
-    return s.select(F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("holds")) for k, v in rules.items()])))
+    """A saved report by cohort against its own rules and against metrics recomputed from the forecasts. Two cohorts of the saved report are wrong."""
+    rows, square = forecasts(spark, sf_dir), (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
+    off = lambda lang, by: F.when(F.col("lang") == lang, by).otherwise(0)
+    saved = rows.groupBy("lang").agg((F.count("*")).alias("n"), F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"), F.round(F.avg(square), 9).alias("brier"), F.min("p").alias("low"), F.max("p").alias("high"))
+    return evaluate.report_problems(saved.withColumn("n", F.col("n") + off("de", 1)).withColumn("brier", F.col("brier") + off("fr", 0.01)), rows, "lang")
 
 
-@query(f"""WITH {FORECASTS} SELECT doc_id, abs(ln((p + 0.001) / (1.001 - p)) - (0.5 * ln((p + 0.001) / (1.001 - p)) + 0.5 * ln((p + 0.001) / (1.001 - p)))) < 1e-9 AS explained FROM forecasts""")
+@query(f"""WITH {FORECASTS}, w AS (SELECT doc_id, 1.5 * (p - 0.5) AS c1, -0.8 * (doc_id % 7 / 7 - 0.4) AS c2, 0.3 * y AS c3 FROM forecasts),
+    s AS (SELECT *, round(1 / (1 + exp(-(c1 + c2 + c3))), 6) + CASE WHEN doc_id % 50 = 3 THEN 0.01 ELSE 0 END AS saved FROM w)
+    SELECT doc_id, abs(ln(saved / (1 - saved)) - (c1 + c2 + c3)) < 1e-4 AS explained, CASE WHEN abs(c1) >= abs(c2) AND abs(c1) >= abs(c3) THEN 'length' WHEN abs(c2) >= abs(c3) THEN 'key' ELSE 'quality' END AS largest FROM s""")
 def explanation_check(spark, sf_dir):
-    """Contributions add up to the logit."""
-    z = F.log((F.col("p") + 0.001) / (1.001 - F.col("p")))
-    total = F.aggregate(F.array(0.5 * z, 0.5 * z), F.lit(0.0), lambda s, x: s + x)
-    return forecasts(spark, sf_dir).select("doc_id", (F.abs(z - total) < 1e-9).alias("explained"))
+    """Contributions (weight times feature) of a saved probability must add up to its logit; some saved ones are off. Also the largest."""
+    rows = forecasts(spark, sf_dir).select("doc_id", (F.col("p") - 0.5).alias("length"), (F.col("doc_id") % 7 / 7 - 0.4).alias("key"), F.col("y").cast("double").alias("quality"))
+    weights = {"length": 1.5, "key": -0.8, "quality": 0.3}
+    saved = F.round(evaluate.score(weights), 6) + F.when(F.col("doc_id") % 50 == 3, 0.01).otherwise(0.0)
+    rows = rows.withColumn("saved", saved).withColumn("top", evaluate.contributions(weights))
+    total = F.aggregate("top", F.lit(0.0), lambda s, x: s + x["value"])
+    return rows.select("doc_id", (F.abs(F.log(F.col("saved") / (1 - F.col("saved"))) - total) < 1e-4).alias("explained"), F.get("top", F.lit(0)).getField("name").alias("largest"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'past' WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'open' ELSE 'future' END AS phase, list_filter([CASE WHEN o_totalprice > 300000 THEN 'large' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END], lambda x: x IS NOT NULL) AS holds FROM orders""")
@@ -170,13 +182,17 @@ def rolling_folds(spark, sf_dir):
     return n.select(F.col("year").cast("long").alias("year"), F.coalesce(F.sum("test").over(w), F.lit(0)).alias("train"), "test")
 
 
-@query(f"""WITH {FORECASTS}, s AS (SELECT 'model' AS name, p, y FROM forecasts UNION ALL SELECT 'coin', 0.5, y FROM forecasts UNION ALL SELECT 'base_rate', 0.85, y FROM forecasts)
-    SELECT name, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier FROM s GROUP BY name""")
+@query(f"""WITH {FORECASTS}, t AS (SELECT *, (SELECT avg(y) FROM forecasts WHERE doc_id % 5 <> 0) AS base FROM forecasts WHERE doc_id % 5 = 0), s AS (SELECT 'model' AS name, p, p AS model, y FROM t UNION ALL SELECT 'coin', 0.5, p, y FROM t UNION ALL SELECT 'base_rate', base, p, y FROM t)
+    SELECT name, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round(avg((model - y) * (model - y) - (p - y) * (p - y)), 6) + 0.0 AS delta FROM s GROUP BY name""")
 def baselines(spark, sf_dir):
-    """A model beside fixed baselines, in one pass."""
-    brier = lambda p: F.round(F.avg((p - F.col("y")) * (p - F.col("y"))), 6)
-    one = forecasts(spark, sf_dir).agg(F.count("*").alias("n"), brier(F.col("p")).alias("model"), brier(F.lit(0.5)).alias("coin"), brier(F.lit(0.85)).alias("base_rate"))
-    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.col("n"), F.col(k).alias("brier")) for k in ("model", "coin", "base_rate")])))
+    """A model beside baselines on held-out rows, with paired differences. The base rate is learned from the other rows."""
+    rows = forecasts(spark, sf_dir)
+    base = rows.where("doc_id % 5 <> 0").agg(F.avg("y").alias("base_rate"))
+    test = rows.where("doc_id % 5 = 0").join(F.broadcast(base), how="cross").withColumn("coin", F.lit(0.5)).withColumn("model", F.col("p"))  # one row
+    square = lambda c: (F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))
+    names = ("model", "coin", "base_rate")
+    one = test.agg(F.count("*").alias("n"), *[F.round(F.avg(square(k)), 6).alias(k) for k in names], *[(F.round(F.avg(square("model") - square(k)), 6) + 0.0).alias(f"delta_{k}") for k in names])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.col("n"), F.col(k).alias("brier"), F.col(f"delta_{k}").alias("delta")) for k in names])))
 
 
 @query(f"""WITH {FACTS}, m AS (SELECT fighter_id, count(*) AS bouts, avg(attempted) AS attempts, count(landed) AS contributing FROM facts GROUP BY 1)

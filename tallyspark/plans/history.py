@@ -38,12 +38,12 @@ def past_only_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FACTS} SELECT f.bout_id, f.fighter_id, count(p.bout_id) AS prior, CAST(sum(CASE p.outcome WHEN 'win' THEN 1.0 WHEN 'draw' THEN 0.5 ELSE 0.0 END) FILTER (WHERE p.bout_id IS NOT NULL) AS DOUBLE) AS points,
-    CAST(least(f.day - max(p.day), 730) AS BIGINT) AS rest FROM facts f LEFT JOIN facts p ON p.fighter_id = f.fighter_id AND p.day < f.day GROUP BY f.bout_id, f.fighter_id, f.day""")
+    CAST(CASE WHEN count(p.day) > 0 THEN least(f.day - max(p.day), 730) END AS BIGINT) AS rest FROM facts f LEFT JOIN facts p ON p.fighter_id = f.fighter_id AND p.day < f.day GROUP BY f.bout_id, f.fighter_id, f.day""")
 def strict_prior_running(spark, sf_dir):
-    """Running state over strictly earlier dates, by a RANGE frame; peers of a date never count."""
+    """Running state over strictly earlier dates, by a RANGE frame; peers of a date never count. Without an earlier date there is no rest."""
     w = asof.earlier(["fighter_id"], "day")
     points = F.when(F.col("outcome") == "win", 1.0).when(F.col("outcome") == "draw", 0.5).otherwise(0.0)
-    return facts(spark, sf_dir).select("bout_id", "fighter_id", F.count("*").over(w).alias("prior"), F.sum(points).over(w).alias("points"), F.least(F.col("day") - F.max("day").over(w), F.lit(730)).cast("long").alias("rest"))
+    return facts(spark, sf_dir).select("bout_id", "fighter_id", F.count("*").over(w).alias("prior"), F.sum(points).over(w).alias("points"), F.when(F.count("*").over(w) > 0, F.least(F.col("day") - F.max("day").over(w), F.lit(730))).cast("long").alias("rest"))
 
 
 LAST5 = f"""WITH {FACTS}, past AS (SELECT f.bout_id, f.fighter_id, p.landed, p.attempted, p.seconds, rank() OVER (PARTITION BY f.bout_id, f.fighter_id ORDER BY p.day DESC) AS r
@@ -158,13 +158,13 @@ def scored(spark, sf_dir):
 
 @query()
 def elo_sequential(spark, sf_dir):
-    """ratings contest by contest within a division (rows are checked against a plain fold in the tests)."""
+    """Ratings contest by contest within a division: a departure from F1 that parallelises; elo_one_pool is F1 (both against a plain fold in the tests)."""
     return folds.elo(scored(spark, sf_dir), "division", 32.0)
 
 
 @query()
 def elo_by_date(spark, sf_dir):
-    """ratings date by date."""
+    """Ratings date by date within a division; elo_one_pool_by_date is F2."""
     return folds.elo(scored(spark, sf_dir), "division", 64.0, by_date=True)
 
 
@@ -172,7 +172,7 @@ def elo_by_date(spark, sf_dir):
     SELECT c.bout_id, CAST(x.exp_bouts - y.exp_bouts AS BIGINT) AS bouts_diff, round(ln(1 + x.exp_attempts) - ln(1 + y.exp_attempts), 6) + 0.0 AS attempts_diff, x.exp_bouts > 0 AND y.exp_bouts > 0 AS covered FROM contests c
     JOIN s x ON x.bout_id = c.bout_id AND x.fighter_id = c.a JOIN s y ON y.bout_id = c.bout_id AND y.fighter_id = c.b""")
 def difference_features(spark, sf_dir):
-    """C25, F3, and of M1 a part (two differences, one coverage flag): antisymmetric differences of both sides' state before the date, with their coverage."""
+    """C25, F3, two differences and one coverage flag (feature_vectors has M1-M4 whole): antisymmetric differences of both sides' state before the date, with their coverage."""
     w = asof.earlier(["fighter_id"], "day")
     f = facts(spark, sf_dir).withColumn("attempts", F.coalesce(F.sum("attempted").over(w), F.lit(0.0))).withColumn("n", F.count("*").over(w))
     f = f.withColumn("sign", F.when(F.col("fighter_id") < F.col("opponent_id"), 1).otherwise(-1))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, market
+from ..operators import ledger as ledger_chain
+from ..sources import odds
 from .domain import QUOTES, quotes, table
 from .relational import r6
 
@@ -118,14 +120,48 @@ def capture_slots(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", slot.alias("slot")).where("slot is not null")
 
 
-@query("""WITH l AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_id, lag(sha256(event_id::VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
-    SELECT user_id, event_id, before_id, previous, coalesce(sha256(before_id::VARCHAR) = previous, true) AS valid FROM l""")
+CHAIN = """WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number, event_id || ':' || event_type AS payload FROM events),
+    c AS (SELECT user_id, event_id, number, payload, repeat('0', 64) AS previous, sha256(repeat('0', 64) || '|' || payload) AS entry FROM e WHERE number = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.number, e.payload, c.entry, sha256(c.entry || '|' || e.payload) FROM c JOIN e ON e.user_id = c.user_id AND e.number = c.number + 1),
+    bent AS (SELECT user_id, event_id, number, CASE WHEN event_id % 97 = 5 THEN 'bent' ELSE payload END AS payload, CASE WHEN event_id % 83 = 7 THEN sha256('x') ELSE previous END AS previous, entry FROM c WHERE event_id % 89 <> 3),
+    v AS (SELECT *, lag(number) OVER (PARTITION BY user_id ORDER BY number) AS before_number, lag(entry) OVER (PARTITION BY user_id ORDER BY number) AS before FROM bent)"""
+
+
+@query(f"""{CHAIN} SELECT user_id, event_id, number, entry AS entry_sha256, CASE WHEN number <> coalesce(before_number, 0) + 1 THEN 'gap' WHEN previous <> coalesce(before, repeat('0', 64)) THEN 'broken_link' WHEN entry <> sha256(previous || '|' || payload) THEN 'wrong_digest' END AS problem FROM v""")
 def chain_verification(spark, sf_dir):
-    """Each entry names the digest of the one before it in its ledger."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    digest = lambda c: F.sha2(F.col(c).cast("string"), 256)
-    rows = table(spark, sf_dir, "events").withColumn("before_id", F.lag("event_id").over(w)).withColumn("previous", F.lag(digest("event_id")).over(w))
-    return rows.select("user_id", "event_id", "before_id", "previous", F.coalesce(digest("before_id") == F.col("previous"), F.lit(True)).alias("valid"))
+    """Ledgers are built, then some payloads and links are bent and some entries taken out, and each entry is verified: its
+    number, the link to the digest of the entry before it, and its own digest."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.concat_ws(":", F.col("event_id").cast("string"), "event_type").alias("payload"))
+    entries = ledger_chain.chained(rows, "user_id", ["ts", "event_id"]).where("event_id % 89 <> 3")
+    entries = entries.withColumn("payload", F.when(F.col("event_id") % 97 == 5, "bent").otherwise(F.col("payload"))).withColumn("previous_sha256", F.when(F.col("event_id") % 83 == 7, F.sha2(F.lit("x"), 256)).otherwise(F.col("previous_sha256")))
+    return ledger_chain.verify(entries, "user_id").select("user_id", "event_id", "number", "entry_sha256", "problem")
+
+
+@query("""WITH e AS (SELECT *, event_id % 11 AS c FROM events)
+    SELECT event_id, 'book ' || user_id AS book, round(value, 2) AS home_price, round(value + 0.5, 2) AS away_price FROM e WHERE c NOT IN (1, 2, 3, 4, 5) AND round(value, 2) > 1""")
+def odds_import(spark, sf_dir):
+    """Price documents as a feed sends them (events, books, markets, outcomes, some of them one-sided, three-way, of another market, updated after
+    the capture or without a zone), flattened to usable two-sided markets."""
+    c, price = F.col("event_id") % 11, F.round("value", 2)
+    one = lambda name, x: F.struct(F.lit(name).alias("name"), x.cast("double").alias("price"))
+    home, away, draw = one("Home", price), one("Away", F.round(F.col("value") + 0.5, 2)), one("Draw", F.lit(9.0))
+    outcomes = F.when(c == 1, F.array(home)).when(c == 2, F.array(home, away, draw)).otherwise(F.array(home, away))
+    updated = F.when(c == 4, "2024-03-01T12:00:00Z").when(c == 5, "2024-02-01T12:00:00").otherwise("2024-02-01T12:00:00Z")
+    markets = F.array(F.struct(F.when(c == 3, "totals").otherwise("h2h").alias("key"), updated.alias("last_update"), outcomes.alias("outcomes")))
+    books = F.array(F.struct(F.concat(F.lit("book "), F.col("user_id").cast("string")).alias("key"), updated.alias("last_update"), markets.alias("markets")))
+    event = F.struct(F.col("event_id").cast("string").alias("id"), F.lit("Home").alias("home_team"), F.lit("Away").alias("away_team"), F.lit("2024-03-02T00:00:00Z").alias("commence_time"), books.alias("bookmakers"))
+    captures = table(spark, sf_dir, "events").select(F.to_json(F.array(event)).alias("payload"), F.lit("2024-02-01T13:00:00Z").alias("captured_at"))
+    return odds.head_to_head(captures).select(F.col("id").cast("long").alias("event_id"), "book", "home_price", "away_price")
+
+
+@query(f"""WITH {QUOTES}, d AS (SELECT quote_id, price, 0.5::DOUBLE + 0.001::DOUBLE * (quote_id % 400) AS p, 0.01::DOUBLE * (quote_id % 7) AS drift FROM quotes WHERE price > 1)
+    SELECT quote_id, floor((p * price - 1) * 10000 + 0.5) / 10000 AS ev, floor((p * (price * (1 - drift)) - 1) * 10000 + 0.5) / 10000 AS conservative_ev, floor(1 / p * 10000 + 0.5) / 10000 AS break_even FROM d""")
+def conservative_value(spark, sf_dir):
+    """Expected value, the same after the price has drifted, and the price that breaks even."""
+    q, p = quotes(spark, sf_dir).where("price > 1"), 0.5 + 0.001 * (F.col("quote_id") % 400)
+    drifted = F.col("price") * (1 - 0.01 * (F.col("quote_id") % 7))
+    r4 = lambda x: F.floor(x * 10_000 + 0.5) / 10_000
+    return q.select("quote_id", r4(market.expected_value(p, F.col("price"))).alias("ev"), r4(market.expected_value(p, drifted)).alias("conservative_ev"), r4(1 / p).alias("break_even"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') IS NOT NULL AS valid FROM events""")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, evidence, history, markets, relational, text
+from . import evaluation, evidence, history, markets, models, refresh, relational, text
 
-MODULES = (relational, history, markets, evaluation, text, evidence)
+MODULES = (relational, history, markets, evaluation, text, evidence, models, refresh)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -47,23 +47,23 @@ def address_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.regexp_extract("url", r"://[^/]*/([^/]*)/", 1).alias("section"), scalar.slug(host).alias("slug"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(ltrim(left(text, 40)), '^[=+\\-@]') THEN '''' || left(text, 40) ELSE left(text, 40) END AS safe FROM documents""")
+@query("""SELECT doc_id, CASE WHEN regexp_matches(ltrim(text), '^[=+\\-@]') THEN '''' || text ELSE text END AS safe FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN ' =' || text WHEN doc_id % 9 = 1 THEN '@' || text ELSE text END AS text FROM documents)""")
 def csv_safe_text(spark, sf_dir):
-    """Text that a spreadsheet does not run."""
-    return table(spark, sf_dir, "documents").select("doc_id", scalar.csv_safe(F.left("text", F.lit(40))).alias("safe"))
+    """Whole texts that a spreadsheet does not run; some get a formula's beginning first."""
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit(" ="), "text")).when(F.col("doc_id") % 9 == 1, F.concat(F.lit("@"), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalar.csv_safe(text).alias("safe"))
 
 
-@query("""SELECT s_suppkey, regexp_replace(lower(strip_accents(s_name)), '[^a-z0-9]', '', 'g') AS key FROM supplier""")
+@query("""SELECT s_suppkey, regexp_replace(lower(strip_accents(translate(s_name, 'uepir', 'üéπíř'))), '[^a-z0-9]', '', 'g') AS key FROM supplier""")
 def name_keys(spark, sf_dir):
-    """Accent-free keys of names (ASCII names here; other scripts are tested apart)."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", names.letters_key(F.col("s_name")).alias("key"))
+    """Accent-free keys of names, which get accents and a letter of another script first."""
+    return table(spark, sf_dir, "supplier").select("s_suppkey", names.letters_key(F.translate("s_name", "uepir", "üéπíř")).alias("key"))
 
 
-@query("""SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM pages WHERE contains(html, '<title>')) AS titled""")
+@query(r"""SELECT page_id, nullif(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '') AS title FROM pages""")
 def page_titles(spark, sf_dir):
-    """Titles found by a tolerant parser, in every page."""
-    found = markup.titles(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return found.agg(F.count("*").alias("pages"), F.count("title").alias("titled"))
+    """The title of every page, by a tolerant parser."""
+    return markup.titles(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "title")
 
 
 @query()
