@@ -173,3 +173,37 @@ def test_refresh_holds_with_every_reason(spark):
 def test_metric_bundles_hold_every_metric():
     assert len(features.RECENT) == 10 and len(features.CONTEXT) + 1 == 11 and len(features.STYLE) == 17 and len(features.BASE) == 13 and len(features.REDUCED) == 11
     assert {"recent_metrics", "context_metrics", "style_metrics", "state_differences", "replay_as_of", "walk_forward"} <= set(models.ORACLES)
+
+
+def test_audit_codes_are_all_there(spark):
+    from tallyspark.plans import catalog
+
+    got = catalog.full_audit(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len({(r.source, r.code) for r in got}) == len(catalog.RULES) + len(catalog.PARENTS) + len(catalog.KEYS)
+    assert {r.code for r in got if r.n} and [r.n for r in got] == sorted((r.n for r in got), reverse=True)
+
+
+def test_optional_bounds_reach_the_scan(spark):
+    from tallyspark.plans import catalog
+
+    at = "/root/testdata/sf0.001"
+    assert "GreaterThanOrEqual(o_orderdate" in catalog.optional_bounds(spark, at)._jdf.queryExecution().executedPlan().toString()
+    assert catalog.optional_bounds(spark, at, None, None).count() == spark.read.parquet(f"{at}/orders.parquet").count()
+    assert catalog.optional_bounds(spark, at, None, "1990-01-01").count() == 0
+
+
+def test_images_are_judged_by_their_bytes_and_declared_type():
+    import struct
+    import zlib
+
+    from tallyspark.sources import images
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", 40, 50, 8, 0, 0, 0, 0))
+    png = images.PNG + head + chunk(b"IDAT", b"x") + chunk(b"IEND", b"")
+    assert images.inspect(png, "image/png; q=1")[:3] == ("image/png", 40, 50) and images.inspect(png, "image/jpeg")[-1] == "content_type"
+    assert images.inspect(images.PNG + head + chunk(b"IDAT", b"x") + chunk(b"IEND", b"x"))[-1] == "incomplete"
+    assert images.inspect(images.PNG + head + chunk(b"IDAT", bytes(images.MOST_BYTES)) + chunk(b"IEND", b""))[-1] == "too_large"
+    frame = b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 50, 40, 1) + b"\x01\x11\x00"
+    assert images.inspect(b"\xff\xd8\xff\xe0\x00\x04ab" + b"\xff\xff\xc2" + frame[2:] + b"\xff\xd9")[:3] == ("image/jpeg", 40, 50)
+    assert images.inspect(b"\xff\xd8\xff\xda\x00\x02" + frame + b"\xff\xd9")[-1] == "no_frame" and images.inspect(b"\xff\xd8\xff\xe0\x00\xff\xff\xd9")[-1] == "truncated"
