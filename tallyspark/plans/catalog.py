@@ -171,7 +171,7 @@ def audit_sql() -> str:
 
 @query(audit_sql())
 def full_audit(spark, sf_dir):
-    """Issues of all tables by code: row rules in one pass over each table, orphans by anti-joins, repeated keys by counts; codes without an issue
+    """Issues of all tables by code: row rules in one pass over each table, orphans by anti-joins, repeated keys by counts; codes without an issue
     are there with zero."""
     out = []
     for name in dict.fromkeys(t for t, _, _ in RULES):
