@@ -13,8 +13,9 @@ MOST_DATES = 110_000
 
 
 def loss(p: Column, y: Column, clip: float = CLIP) -> Column:
-    p = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
-    return -F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))
+    """Log loss of one row; null where p is null (greatest and least would skip it)."""
+    clipped = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip)))
+    return -F.when(y == 1, F.log(clipped)).otherwise(F.log(1 - clipped))
 
 
 def binary_metrics(p: Column, y: Column) -> list[Column]:
@@ -25,6 +26,16 @@ def binary_metrics(p: Column, y: Column) -> list[Column]:
     ]
 
 
+def compared(rows: DataFrame, models: dict[str, Column], cohorts: dict[str, Column], y: str) -> DataFrame:
+    """Metrics of every model in every cohort, over the cohort's rows for which the model has a probability; `asked` are all rows of the cohort.
+    One aggregate in a single pass, however many models there are."""
+    long = rows.select(y, *[c.alias(f"_in_{k}") for k, c in cohorts.items()], *[p.alias(f"_p_{m}") for m, p in models.items()])
+    cells = [F.struct(F.lit(m).alias("model"), F.lit(k).alias("cohort"), F.col(f"_p_{m}").alias("p"), F.col(f"_in_{k}").alias("inside")) for m in models for k in cohorts]
+    _, *scores = binary_metrics(F.col("p"), F.col("y"))
+    found = long.select(F.col(y).alias("y"), F.inline(F.array(*cells))).where("inside").groupBy("model", "cohort").agg(F.count("*").alias("asked"), F.count("p").alias("n"), *scores)
+    return found.select("model", "cohort", "asked", "n", "accuracy", "brier", "log_loss")
+
+
 def calibration(df: DataFrame, p: str, y: str, bins: int = 5) -> DataFrame:
     """Equal bins of p with counts and means; empty bins are there, with null means."""
     found = df.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("mean_y"))

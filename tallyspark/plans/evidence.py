@@ -204,16 +204,12 @@ def card_report(spark, sf_dir):
     return a.join(b, F.col("b") == F.col("a") + 1)
 
 
-@query(f"""WITH {FACTS}, r AS (SELECT bout_id, fighter_id, round, sum(attempted) AS attempted FROM rounds GROUP BY ALL) SELECT x.bout_id, x.round, x.attempted AS mine, o.attempted AS theirs FROM facts f
-    JOIN r x ON x.bout_id = f.bout_id AND x.fighter_id = f.fighter_id LEFT JOIN r o ON o.bout_id = f.bout_id AND o.fighter_id = f.opponent_id AND o.round = x.round WHERE f.fighter_id = 7""")
-def paired_rounds(spark, sf_dir):
-    """Q14 of participant 7, as its SQL says; paired_rounds_all has every participant."""
-    return paired_rounds_all(spark, sf_dir).where("fighter_id = 7").drop("fighter_id")
+PAIRED = f"""WITH {FACTS}, r AS (SELECT bout_id, fighter_id, round, sum(attempted) AS attempted FROM rounds GROUP BY ALL) SELECT x.bout_id, x.fighter_id, x.round, x.attempted AS mine, o.attempted AS theirs FROM facts f
+    JOIN r x ON x.bout_id = f.bout_id AND x.fighter_id = f.fighter_id LEFT JOIN r o ON o.bout_id = f.bout_id AND o.fighter_id = f.opponent_id AND o.round = x.round"""
 
 
-@query(f"""WITH {FACTS}, r AS (SELECT bout_id, fighter_id, round, sum(attempted) AS attempted FROM rounds GROUP BY ALL) SELECT x.bout_id, x.fighter_id, x.round, x.attempted AS mine, o.attempted AS theirs FROM facts f
-    JOIN r x ON x.bout_id = f.bout_id AND x.fighter_id = f.fighter_id LEFT JOIN r o ON o.bout_id = f.bout_id AND o.fighter_id = f.opponent_id AND o.round = x.round""")
-def paired_rounds_all(spark, sf_dir):
+@query(PAIRED)
+def paired_rounds(spark, sf_dir):
     """Q14: each round of every participant beside the opponent's same round."""
     r = rounds(spark, sf_dir).groupBy("bout_id", "fighter_id", "round").agg(F.sum("attempted").alias("attempted"))
     f = facts(spark, sf_dir).select("bout_id", "fighter_id", "opponent_id")
@@ -221,6 +217,12 @@ def paired_rounds_all(spark, sf_dir):
     return f.join(r, ["bout_id", "fighter_id"]).join(other, ["bout_id", "opponent_id", "round"], "left").select("bout_id", "fighter_id", "round", F.col("attempted").alias("mine"), "theirs")
 
 
+@query(PAIRED)
+def paired_rounds_all(spark, sf_dir):
+    """The same as paired_rounds, which once held one participant."""
+    return paired_rounds(spark, sf_dir)
+
+
 @query("""SELECT (SELECT count(*) FROM orders) AS contests, (SELECT count(*) FROM events) AS quotes, (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS last_contest, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS flagged""")
 def overview(spark, sf_dir):
     """Q16, Q19: one row of figures from several sections, each an aggregate of its own."""

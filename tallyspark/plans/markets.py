@@ -155,11 +155,11 @@ def odds_import(spark, sf_dir):
 
 
 @query(f"""WITH {QUOTES}, d AS (SELECT quote_id, price, 0.5::DOUBLE + 0.001::DOUBLE * (quote_id % 400) AS p, 0.01::DOUBLE * (quote_id % 7) AS drift FROM quotes WHERE price > 1)
-    SELECT quote_id, floor((p * price - 1) * 10000 + 0.5) / 10000 AS ev, floor((p * (price * (1 - drift)) - 1) * 10000 + 0.5) / 10000 AS conservative_ev, floor(1 / p * 10000 + 0.5) / 10000 AS break_even FROM d""")
+    SELECT quote_id, floor((p * price - 1) * 10000 + 0.5) / 10000 AS ev, floor((p * (price - drift) - 1) * 10000 + 0.5) / 10000 AS conservative_ev, floor(1 / p * 10000 + 0.5) / 10000 AS break_even FROM d""")
 def conservative_value(spark, sf_dir):
     """Expected value, the same after the price has drifted, and the price that breaks even."""
     q, p = quotes(spark, sf_dir).where("price > 1"), 0.5 + 0.001 * (F.col("quote_id") % 400)
-    drifted = F.col("price") * (1 - 0.01 * (F.col("quote_id") % 7))
+    drifted = F.col("price") - 0.01 * (F.col("quote_id") % 7)
     r4 = lambda x: F.floor(x * 10_000 + 0.5) / 10_000
     return q.select("quote_id", r4(market.expected_value(p, F.col("price"))).alias("ev"), r4(market.expected_value(p, drifted)).alias("conservative_ev"), r4(1 / p).alias("break_even"))
 

@@ -300,17 +300,20 @@ def other_divisions(x: DataFrame, days: int = 366) -> DataFrame:
     return runs.where(F.col("next.day") - F.col("day") <= days).select("who", "bout_id", F.col("next.bout_id").alias("other"))
 
 
-@query("""SELECT o_custkey, list_sort(list(o_orderkey)) AS bouts, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
-def nested_groups(spark, sf_dir, since="1998-01-01"):
-    """Contests from a date on, nested in their event; since None takes all, as nested_groups_all does."""
+NESTED = """SELECT o_custkey, list_sort(list(o_orderkey)) AS bouts, count(*) AS n FROM orders GROUP BY 1"""
+
+
+@query(NESTED)
+def nested_groups(spark, sf_dir, since=None):
+    """Contests nested in their event; `since`, where given, keeps those from a date on."""
     o = table(spark, sf_dir, "orders")
     return (o if since is None else o.where(F.col("o_orderdate") >= F.lit(since))).groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("bouts"), F.count("*").alias("n"))
 
 
-@query("""SELECT o_custkey, list_sort(list(o_orderkey)) AS bouts, count(*) AS n FROM orders GROUP BY 1""")
+@query(NESTED)
 def nested_groups_all(spark, sf_dir):
-    """All contests nested in their event."""
-    return nested_groups(spark, sf_dir, None)
+    """The same as nested_groups, which once had a cutoff."""
+    return nested_groups(spark, sf_dir)
 
 
 @query("""SELECT p_name, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS brand, count(*) AS n FROM part GROUP BY 1""")

@@ -112,3 +112,75 @@ def latest_revisions(revisions: DataFrame, cutoffs: DataFrame) -> DataFrame:
     found = asof.asof_join(cutoffs.select("page_id", "cutoff"), revisions, ["page_id"], "cutoff", "stamped", ["revision_id", "content", "sha1"])
     digest = F.sha1("content")
     return found.withColumn("verified", F.coalesce(F.lower("sha1").isin(digest) | (F.lower("sha1") == names.base36_key(digest)), F.lit(False)))
+
+
+YEARS = "page_id long, year int, row int, number string, event string, stated string"
+ROW = re.compile(r"^\|-[^\n]*\n", re.M)
+ATTRIBUTES = re.compile(r"^(?:\s*[a-zA-Z-]+\s*=\s*(?:\"[^\"]*\"|\S+))+\s*\|(?!\|)")
+MARKS = re.compile(r"\{\{|\[\[|\}\}|\]\]|\|\||\n[|!]")
+
+
+def cells(row: str) -> list[str]:
+    """The cells of one table row, on one line or several; bars within links and templates divide nothing."""
+    out, depth, begin = [], 0, 0
+    row = "\n" + row.strip()
+    for m in MARKS.finditer(row):
+        if m[0] in ("{{", "[["):
+            depth += 1
+        elif m[0] in ("}}", "]]"):
+            depth = max(depth - 1, 0)
+        elif depth == 0:
+            out.append(row[begin : m.start()])
+            begin = m.end()
+    return [ATTRIBUTES.sub("", c.strip()).strip() for c in [*out, row[begin:]][1:]]
+
+
+def year_events(pages: DataFrame) -> DataFrame:
+    """S14. pages (page_id, year, source) -> the rows of each page's first table that has columns #, Event and Date: number, title, shown name, date, and `problem`:
+    non_numeric_number (a cancelled card), event_cell (not one link to a page), event_date, other_year, else null. Rows without a number, a link and a date are
+    no events."""
+
+    def table(source: str) -> str:
+        for part in source.split("{|")[1:]:
+            head, body = part.split("\n|}", 1)[0], ROW.search(part)
+            titles = {ATTRIBUTES.sub("", x.strip()).strip() for line in head[: body.start() if body else None].split("\n") if line.startswith("!") for x in line[1:].split("!!")}
+            if {"#", "Event", "Date"} <= titles:
+                return head
+        return ""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for page, year, source in zip(frame["page_id"], frame["year"], frame["source"], strict=True):
+                for k, text in enumerate(ROW.split(table(COMMENT.sub("", source or "")))[1:], 1):
+                    if found := cells(text)[:3]:
+                        rows.append((page, year, k, *found, *[""] * (3 - len(found))))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in YEARS.split(", ")])
+
+    rows = pages.select("page_id", F.col("year").cast("int"), "source").mapInPandas(run, YEARS)
+    link = F.regexp_replace("event", r"(?is)^\{\{\s*sort\s*\|[^|{}]*\|\s*(.*?)\s*\}\}$", "$1")
+    part = lambda k: F.trim(F.regexp_extract(link, r"^\[\[([^\[\]|#:][^\[\]|#]*)(?:\|([^\[\]|]+))?\]\]$", k))
+    rows = rows.withColumns({"title": F.nullif(F.translate(part(1), "_", " "), F.lit("")), "shown": F.nullif(part(2), F.lit("")), "event_date": table_date(F.col("stated"))})
+    numbered, linked, dated = F.col("number").rlike("^[0-9]+$"), F.col("title").isNotNull(), F.col("event_date").isNotNull()
+    problem = F.when(~numbered, "non_numeric_number").when(~linked, "event_cell").when(~dated, "event_date").when(F.year("event_date") != F.col("year"), "other_year")
+    out = rows.where(numbered | (linked & dated))
+    return out.select("page_id", "year", "row", F.when(numbered, F.col("number").try_cast("int")).alias("number"), "title", F.coalesce("shown", "title").alias("name"), "event_date", problem.alias("problem"))
+
+
+def table_date(text):
+    """{{dts|2024|1|20}}, {{dts|2024|January|20}}, Jan 20, 2024 or January 20, 2024."""
+    mark = lambda k: F.regexp_extract(text, r"(?i)^\{\{\s*dts\s*\|\s*(?:format=[^|]*\|\s*)?(\d{4})\s*\|\s*(\w+)\s*\|\s*(\d{1,2})\s*(?:\|[^{}]*)?\}\}$", k)
+    word = F.regexp_extract(text, r"^([A-Z][a-z]+) (\d{1,2}), (\d{4})$", 1)
+    month = F.when(mark(2).rlike("^[0-9]+$"), mark(2).try_cast("int")).otherwise(month_number(mark(2)))
+    stamp = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
+    written = stamp(F.regexp_extract(text, r", (\d{4})$", 1), F.coalesce(month_number(word).cast("string"), F.lit("")), F.regexp_extract(text, r" (\d{1,2}),", 1))
+    return F.when(mark(1) != "", stamp(mark(1), F.coalesce(month.cast("string"), F.lit("")), mark(3))).when(word != "", written)
+
+
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def month_number(text):
+    """1 to 12 for a month's English name or its first three letters, else null."""
+    name = F.lower(text)
+    return F.coalesce(*[F.when(name.isin(m, m[:3]), k) for k, m in enumerate(MONTHS, 1)])
