@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import session, texts
 
 #: Labelled rows at most (the bound), passes over them, numbers in a vector, bits of a bucket.
-SAMPLE_ROWS, PASSES, SIZE, BITS = 4000, 4, 8, 18
+SAMPLE_ROWS, PASSES, SIZE, BITS = 2500, 4, 8, 18
 #: Lengths of n-grams; the step of the first pass, which falls to 0.
 LENGTHS, STEP = (3, 4, 5), 2.0
 #: Characters that are hashed at once: texts are taken together up to here, a longer one alone.

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, session, stored
@@ -26,7 +26,9 @@ GROUP_SIZE, GROUP_PASSES = 4, 5
 MOST = 1 << 26
 #: Share by which a bound is moved outwards when it is computed in floating point.
 _OUT = 1e-12
-STATE = "vec_id long, parts binary, cluster int, upper double, lower binary, distance long, moved array<struct<cluster:int,sums:array<bigint>>>, scanned long"
+#: In place of a cluster, where a task says how many distances it computed.
+_SCANNED = -1
+STATE = "vec_id long, parts binary, cluster int, upper double, lower binary, distance long, moved array<struct<cluster:int,sums:array<bigint>>>"
 
 
 @dataclass(frozen=True)
@@ -183,10 +185,10 @@ def passed(step: Step, rule: Rule, last: bool):
                     added(total, old[changed], x[changed], -1)
             nothing = pa.nulls(n, pa.binary())
             columns = [batch.column("vec_id"), nothing if last else fixed(x.astype("<i4")), pa.array(cluster, pa.int32()), pa.array(upper, pa.float64()), nothing if last else fixed(lower), pa.array(distance, pa.int64()) if last else pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, kinds), pa.nulls(n, pa.int64())], names)
-        sums = [{"cluster": c, "sums": row.tolist()} for c, row in enumerate(total) if row.any()]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, kinds)], names)
+        sums = [{"cluster": c, "sums": row.tolist()} for c, row in enumerate(total) if row.any()] + [{"cluster": _SCANNED, "sums": [scanned]}]
         empty = [pa.nulls(1, k) for k in (pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array([sums], kinds), pa.array([scanned], pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([*empty, pa.array([sums], kinds)], names)
 
     return run
 
@@ -196,13 +198,16 @@ def kept(vectors: DataFrame, rule: Rule) -> DataFrame:
     return rows.where(F.size("vector") == rule.components).where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
-def totals(spark: SparkSession, table: DataFrame, shape: tuple[int, int]) -> tuple[np.ndarray, int]:
+def totals(table: DataFrame, shape: tuple[int, int]) -> tuple[np.ndarray, int]:
     """What the tasks of a pass add up to: one number for each cluster and column, however many tasks there were."""
-    ends = table.where("cluster is null")
-    out = np.zeros(shape, np.int64)
-    for c, at, value in ends.select(F.explode("moved").alias("m")).select("m.cluster", F.posexplode("m.sums")).groupBy("cluster", "pos").agg(F.sum("col")).collect():
-        out[c, at] = value
-    return out, ends.agg(F.sum("scanned")).first()[0] or 0
+    out, scanned = np.zeros(shape, np.int64), 0
+    ends = table.where("cluster is null").select(F.explode("moved").alias("m")).select("m.cluster", F.posexplode("m.sums"))
+    for c, at, value in ends.groupBy("cluster", "pos").agg(F.sum("col")).collect():
+        if c == _SCANNED:
+            scanned = value
+        else:
+            out[c, at] = value
+    return out, scanned
 
 
 def cluster(vectors: DataFrame, rule: Rule = Rule()) -> Clustering:
@@ -225,7 +230,7 @@ def cluster(vectors: DataFrame, rule: Rule = Rule()) -> Clustering:
         before, table = table, stored((rows if table is None else table.where("cluster is not null")).mapInArrow(passed(step, rule, False), STATE), "yinyang")
         if before is not None:
             forget(spark, before)
-        change, count = totals(spark, table, sums.shape)
+        change, count = totals(table, sums.shape)
         sums, scanned = sums + change, scanned + count
         moved = np.where(sums[:, :1] > 0, sums[:, 1:] // np.maximum(sums[:, :1], 1), centroids)
         drift = np.sqrt(((moved - centroids) ** 2).sum(1)) * (1 + _OUT)
@@ -236,5 +241,5 @@ def cluster(vectors: DataFrame, rule: Rule = Rule()) -> Clustering:
     end = stored((rows if table is None else table.where("cluster is not null")).mapInArrow(passed(step, rule, True), STATE), "yinyang")
     if table is not None:
         forget(spark, table)
-    inertia, count = totals(spark, end, (len(centroids), 2))
+    inertia, count = totals(end, (len(centroids), 2))
     return Clustering(end.where("cluster is not null").select("vec_id", "cluster", "distance"), centroids, inertia[:, 1].tolist(), scanned + count)
