@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog, contexts, decisions, evaluation, evidence, forecasts, history, markets, models, refresh, relational, text
+from . import catalog, contexts, decisions, evaluation, evidence, forecasts, history, markets, models, reads, refresh, relational, text
 
-MODULES = (relational, history, markets, evaluation, text, evidence, models, refresh, catalog, decisions, forecasts, contexts)
+MODULES = (relational, history, markets, evaluation, text, evidence, models, refresh, catalog, decisions, forecasts, contexts, reads)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
