@@ -25,6 +25,11 @@ def letters(x: str) -> str:
     return re.sub(r"[^a-z0-9]", "", ascii_)
 
 
+def bare(x: str) -> str:
+    """Accents and all but a-z and 0-9 dropped; empty where nothing is left."""
+    return re.sub(r"[^a-z0-9]", "", unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().casefold())
+
+
 def unaccented(x: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c))
 
@@ -42,7 +47,7 @@ def of(rule):
     return column
 
 
-name_key, letters_key, accent_key = of(plain_key), of(letters), of(unaccented)
+name_key, letters_key, accent_key, bare_key = of(plain_key), of(letters), of(unaccented), of(bare)
 
 
 def section(x: str) -> str:
