@@ -50,6 +50,12 @@ def of(rule):
 name_key, letters_key, accent_key, bare_key = of(plain_key), of(letters), of(unaccented), of(bare)
 
 
+def plain_name_key(x: Column) -> Column:
+    """`name_key`, where text of printable ASCII alone stays in the JVM: its normal form is itself, and folding is lower-casing."""
+    ascii_ = x.rlike(r"^[ -~]*$")
+    return F.when(ascii_, F.regexp_replace(F.trim(F.lower(x)), " +", " ")).otherwise(name_key(F.when(~ascii_, x)))
+
+
 def section(x: str) -> str:
     """A heading as it may stand in an address: decoded, NFKC, white space collapsed, case folded."""
     return plain_key(html.unescape(urllib.parse.unquote(x).replace("_", " ")))

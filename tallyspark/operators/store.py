@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def publish(tables: dict[str, DataFrame], root: str, run_id: str, source_sha256: str) -> None:
@@ -19,26 +18,40 @@ def publish(tables: dict[str, DataFrame], root: str, run_id: str, source_sha256:
         raise ValueError(f"version {run_id} has another source")
     if not known:
         for name, df in tables.items():
-            path, rows = f"{root}/{name}/run_id={run_id}", Observation()
-            df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-            if (read := spark.read.parquet(path).count()) != rows.get["n"]:
-                raise ValueError(f"{name}: wrote {rows.get['n']} rows, read {read}")
+            write_counted(df, version(root, name, run_id))
     activate(spark, root, run_id, source_sha256)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A step of an iteration as a table in the folder of spark.checkpoint.dir, which cuts its lineage. Where it is unset a local session (as in
-    tests) gets a temporary folder; on a cluster that is an error."""
-    spark = df.sparkSession
+def version(root: str, name: str, run_id: str) -> str:
+    return f"{root}/{name}/run_id={run_id}"
+
+
+def write_counted(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back; another number of rows than was written is an error."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (read := out.count()) != rows.get["n"]:
+        raise ValueError(f"{path}: wrote {rows.get['n']} rows, read {read}")
+    return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the folder of spark.checkpoint.dir. Where it is unset a local session (as in tests) gets a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A step of an iteration as a table in the shared folder, which cuts its lineage."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
@@ -51,16 +64,18 @@ def files(spark: SparkSession, path: str):
 
 def forget(df: DataFrame) -> None:
     """Delete a stored table that nothing reads any more."""
-    at, system = files(df.sparkSession, df.stored_at)
+    remove(df.sparkSession, df.stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, system = files(spark, path)
     system.delete(at, True)
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
     schema = "sequence long, run_id string, source_sha256 string"
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/_pointers")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    at, system = files(spark, f"{root}/_pointers")
+    return spark.read.schema(schema).parquet(f"{root}/_pointers") if system.exists(at) else spark.createDataFrame([], schema)
 
 
 def activate(spark: SparkSession, root: str, run_id: str, source_sha256: str) -> None:
@@ -91,7 +106,7 @@ def active(spark: SparkSession, root: str) -> str | None:
 
 def read(spark: SparkSession, root: str, name: str, run_id: str | None = None) -> DataFrame:
     """A table of the active version (or another): the version's folder alone is listed and read."""
-    return spark.read.parquet(f"{root}/{name}/run_id={run_id or active(spark, root)}")
+    return spark.read.parquet(version(root, name, run_id or active(spark, root)))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

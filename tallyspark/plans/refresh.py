@@ -1,4 +1,4 @@
-"""The whole refresh: the test tables written as the archive's four files of text, then normalised.
+"""The whole refresh: the test tables written as the archive's four kinds of CSV files, then read, normalised, gated and published.
 
 An order is a contest on a card of its own customer and date; its two sides are its least and its greatest supplier, whose lines are their rounds.
 Some contests are spoiled: an outcome that is none, a repeated address with other values, a side without a profile or with two, a clock
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import normalize
+from ..operators import refresh, store
+from ..sources import archive as source
 from .domain import CONTESTS, contests, table
 
 QUERIES: dict = {}
@@ -59,9 +60,20 @@ def archive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"events": events, "results": results, "rounds": rounds, "profiles": profiles}
 
 
-def refreshed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    raw = archive(spark, sf_dir)
-    return normalize.build(raw["events"], raw["results"], raw["rounds"], raw["profiles"], HOST)
+def written(spark: SparkSession, sf_dir: str) -> str:
+    """The archive as folders of CSV files in the shared folder."""
+    folder = store.scratch(spark, "archive")
+    for kind, df in archive(spark, sf_dir).items():
+        source.write_csv(df, f"{folder}/{kind}", kind)
+    return folder
+
+
+def refreshed(spark: SparkSession, sf_dir: str, table_name: str) -> DataFrame:
+    """A table of the version that a whole refresh publishes: CSV files are written, digested, read, normalised, gated and published in a place of their own."""
+    folder, root = written(spark, sf_dir), store.scratch(spark, "published")
+    refresh.refresh(spark, folder, root, HOST)
+    store.remove(spark, folder)
+    return store.read(spark, root, table_name)
 
 
 def number(column: str) -> Column:
@@ -81,8 +93,8 @@ EXPECTED = f"""WITH {CONTESTS}, l AS (SELECT l_orderkey AS bout_id, l_suppkey AS
 
 @query(f"""{EXPECTED} SELECT bout_id, reason, CASE WHEN reason IS NULL THEN 'usable' ELSE 'held' END AS status, CASE WHEN reason IS NULL THEN duration END AS duration, finish::BIGINT AS finish FROM x""")
 def refresh_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.14, S1: every contest of the archive, usable or held with the first reason that holds."""
-    rows = refreshed(spark, sf_dir)["contests"]
+    """2.14, S1, S2, K5, A34: every contest of the archive, usable or held with the first reason that holds."""
+    rows = refreshed(spark, sf_dir, "contests")
     return rows.select(number("bout_id").alias("bout_id"), "reason", "status", F.when(F.col("status") == "usable", F.col("duration")).alias("duration"), F.col("finish").cast("long").alias("finish"))
 
 
@@ -90,5 +102,5 @@ def refresh_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN count(control) = count(*) AND sum(control) <= coalesce(any_value(duration), 1099511627776) THEN sum(control) END::BIGINT AS control_seconds FROM l JOIN x USING (bout_id) WHERE reason IS NULL GROUP BY ALL""")
 def refresh_facts(spark, sf_dir):
     """2.14: totals of both sides of the usable contests; a total is null where any round's value is, or where control exceeds the time fought."""
-    rows = refreshed(spark, sf_dir)["facts"]
+    rows = refreshed(spark, sf_dir, "facts")
     return rows.select(number("bout_id").alias("bout_id"), number("fighter_id").alias("fighter_id"), "sig_landed", "total_landed", "control_seconds")
