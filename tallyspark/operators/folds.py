@@ -1,14 +1,24 @@
-"""Ratings that depend on the order of contests. Every pool is one ordered stream; pools are dealt out to tasks, and a task holds the ratings
-of the pool at hand and nothing else. One pool for all is the plain rule; pools by division are a departure that parallelises."""
+"""Ratings that depend on the order of contests.
+
+One pool for all is the plain rule. A rating depends on all contests before it, so dates are taken one after the other, and what is parallel is inside: runs of dates with at most
+`BLOCK_ROWS` contests are one ordered stream, which gets its participants' ratings with its rows; a larger date is dealt to the whole cluster, in levels of contests whose sides have no
+earlier one left. No task ever gets more than a block, and ratings pass from block to block as a table. Pools by division are a departure that needs no blocks."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store
+from .evaluate import MOST_DATES
+
+#: Contests that one task may take as a stream.
+BLOCK_ROWS = 1_000_000
+SHOWN = "rating_a double, rating_b double, p_a double"
+
 
 def elo(contests: DataFrame, pool: str | None, k: float = 32.0, start: float = 1500.0, by_date: bool = False, date_snapshot: bool = False) -> DataFrame:
     """contests (pool, event_date, event_id, bout_id, a, b, score) with both ratings before and the expected score of a.
@@ -16,38 +26,153 @@ def elo(contests: DataFrame, pool: str | None, k: float = 32.0, start: float = 1
     score: 1, 0.5 or 0 for a, null for no contest (which changes nothing). In order of (event_date, event_id,
     bout_id); by_date: all changes of a date are computed from the ratings before it and applied together; date_snapshot: changes follow each other
     within a date, but what is shown are the ratings before the date. pool None: one pool, where a participant has one rating whatever the
-    division. Every rating then depends on all contests before it, so one task reads them in order, as a stream; it holds a number for each participant.
+    division (see `one_pool`).
     """
     if pool is None:
-        contests, pool = contests.withColumn("_all", F.lit("all")), "_all"
-        return elo(contests, pool, k, start, by_date, date_snapshot).drop("_all")
+        return one_pool(contests, k, start, by_date, date_snapshot)
+    rows = contests.withColumns({"_pool": F.col(pool).cast("string"), "_start_a": F.lit(start), "_start_b": F.lit(start)})
+    return streamed(rows, k, by_date, date_snapshot).drop("_pool", "_start_a", "_start_b", "_change")
+
+
+def streamed(rows: DataFrame, k: float, by_date: bool, date_snapshot: bool) -> DataFrame:
+    """Every pool (_pool) as one ordered stream in one task; sides begin with _start_a and _start_b. Adds the ratings, the expected score and `_change`, what the contest
+    gives to a and takes from b. A task holds a number for each participant of the pool at hand."""
 
     def run(frames):
         now, date, rating, held, seen = None, None, {}, defaultdict(float), {}
         for frame in frames:
-            before_a, before_b, expected = [], [], []
-            for row_pool, day, a, b, score in zip(frame["_pool"], frame["event_date"], frame["a"], frame["b"], frame["score"], strict=True):
+            before_a, before_b, expected, changes = [], [], [], []
+            for row_pool, day, a, b, score, start_a, start_b in zip(*(frame[c] for c in ("_pool", "event_date", "a", "b", "score", "_start_a", "_start_b")), strict=True):
                 if row_pool != now:
                     now, date, rating, held, seen = row_pool, None, {}, defaultdict(float), {}
+                rating.setdefault(a, start_a)
+                rating.setdefault(b, start_b)
                 if day != date:
                     for who, change in held.items():
-                        rating[who] = rating.get(who, start) + change
+                        rating[who] += change
                     date, held, seen = day, defaultdict(float), {}
-                ra, rb = rating.get(a, start), rating.get(b, start)
+                ra, rb = rating[a], rating[b]
                 p = 1 / (1 + 10 ** ((rb - ra) / 400))
                 before_a.append(seen.setdefault(a, ra) if date_snapshot else ra)
                 before_b.append(seen.setdefault(b, rb) if date_snapshot else rb)
                 expected.append(1 / (1 + 10 ** ((before_b[-1] - before_a[-1]) / 400)))
-                if not pd.isna(score):
-                    change = k * (score - p)
-                    if by_date:
-                        held[a] += change
-                        held[b] -= change
-                    else:
-                        rating[a], rating[b] = ra + change, rb - change
-            yield frame.drop(columns="_pool").assign(rating_a=before_a, rating_b=before_b, p_a=expected)
-
-    columns = contests.columns
-    ordered = contests.withColumn("_pool", F.col(pool).cast("string")).repartition(F.col("_pool")).sortWithinPartitions("_pool", "event_date", "event_id", "bout_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contests.schema) + ", rating_a double, rating_b double, p_a double"
-    return ordered.select(*columns, "_pool").mapInPandas(run, schema)
+                changes.append(0.0 if pd.isna(score) else k * (score - p))
+                if by_date:
+                    held[a] += changes[-1]
+                    held[b] -= changes[-1]
+                else:
+                    rating[a], rating[b] = ra + changes[-1], rb - changes[-1]
+            yield frame.assign(rating_a=before_a, rating_b=before_b, p_a=expected, _change=changes)
+
+    ordered = rows.repartition(F.col("_pool")).sortWithinPartitions("_pool", "event_date", "event_id", "bout_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {SHOWN}, _change double"
+    return ordered.mapInPandas(run, schema)
+
+
+def blocks(contests: DataFrame, most: int) -> list[tuple]:
+    """(first date, last date, contests) of runs of dates with at most `most` contests; a larger date is a block of its own."""
+    counts = contests.groupBy("event_date").agg(F.count("*").alias("n")).orderBy("event_date").limit(MOST_DATES + 1).collect()
+    if len(counts) > MOST_DATES:
+        raise ValueError(f"more than {MOST_DATES} dates")
+    out: list[tuple] = []
+    for r in counts:
+        if out and out[-1][2] + r.n <= most:
+            out[-1] = (out[-1][0], r.event_date, out[-1][2] + r.n)
+        else:
+            out.append((r.event_date, r.event_date, r.n))
+    return out
+
+
+def one_pool(contests: DataFrame, k: float, start: float = 1500.0, by_date: bool = False, date_snapshot: bool = False, most: int | None = None) -> DataFrame:
+    """One rating for each participant. Rows without a date are left out (they have no place in the order); of an empty table none come back."""
+    most = BLOCK_ROWS if most is None else most
+    contests = contests.where("event_date is not null")
+    parts = blocks(contests, most)
+    if len(parts) <= 1 and (not parts or parts[0][2] <= most):
+        rows = contests.withColumns({"_pool": F.lit("block"), "_start_a": F.lit(start), "_start_b": F.lit(start)})
+        return streamed(rows, k, by_date, date_snapshot).drop("_pool", "_start_a", "_start_b", "_change")
+    spark = contests.sparkSession
+    place = store.scratch(spark, "ratings")
+    kind = contests.schema["a"].dataType
+    now = store.stored(spark.createDataFrame([], f"who {kind.simpleString()}, rating double"), "rating")
+    for number, (first, last, n) in enumerate(parts):
+        rows = contests.where((F.col("event_date") >= F.lit(first)) & (F.col("event_date") <= F.lit(last)))
+        if n <= most:
+            known = with_ratings(rows, now, start).withColumn("_pool", F.lit("block"))
+            done = [streamed(known, k, by_date, date_snapshot).drop("_pool", "_start_a", "_start_b")]
+        else:
+            done = [at_once(with_ratings(rows, now, start), k)] if by_date else levels(rows, now, k, start, date_snapshot)
+        path = f"{place}/block={number}"
+        for part in done:
+            part.write.mode("append").parquet(path)
+            if not by_date and n > most:
+                store.forget(part)
+        before, now = now, store.stored(moved(now, spark.read.parquet(path), start), "rating")
+        store.forget(before)
+    store.forget(now)
+    columns = [*contests.columns, "rating_a", "rating_b", "p_a"]
+    return spark.read.parquet(place).select(*columns)
+
+
+def with_ratings(rows: DataFrame, now: DataFrame, start: float) -> DataFrame:
+    """Rows with both sides' ratings so far as _start_a and _start_b."""
+    for s in "ab":
+        rows = rows.join(now.select(F.col("who").alias(s), F.col("rating").alias(f"_start_{s}")), s, "left").withColumn(f"_start_{s}", F.coalesce(f"_start_{s}", F.lit(start)))
+    return rows
+
+
+def moved(now: DataFrame, done: DataFrame, start: float) -> DataFrame:
+    """Ratings after contests with a _change."""
+    both = done.select(F.inline(F.array(F.struct(F.col("a").alias("who"), F.col("_change").alias("change")), F.struct(F.col("b").alias("who"), (-F.col("_change")).alias("change")))))
+    change = both.groupBy("who").agg(F.sum("change").alias("change"))
+    return now.join(change, "who", "full").select("who", (F.coalesce("rating", F.lit(start)) + F.coalesce("change", F.lit(0.0))).alias("rating"))
+
+
+def at_once(known: DataFrame, k: float) -> DataFrame:
+    """Contests that all see the ratings they came with."""
+    p = 1 / (1 + F.pow(F.lit(10.0), (F.col("_start_b") - F.col("_start_a")) / 400))
+    change = F.when(F.col("score").isNull(), F.lit(0.0)).otherwise(k * (F.col("score") - p))
+    return known.withColumns({"rating_a": F.col("_start_a"), "rating_b": F.col("_start_b"), "p_a": p, "_change": change}).drop("_start_a", "_start_b")
+
+
+def levels(rows: DataFrame, now: DataFrame, k: float, start: float, date_snapshot: bool) -> list[DataFrame]:
+    """Contests of one large date in order: those go first that are the next one of both their sides, then ratings move on, and so forth. Stored tables, one for each level; there are as many
+    as the longest chain of contests that share sides."""
+    columns = rows.columns
+    rows = store.stored(rows.withColumn("_row", F.monotonically_increasing_id()), "date")  # tells repeated rows apart
+    who = rows.select("_row", "bout_id", "event_id", F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("who")), F.struct(F.lit("b").alias("side"), F.col("b").alias("who")))))
+    order = Window.partitionBy("who").orderBy("event_id", "bout_id", "_row")
+    turn = who.withColumn("turn", F.row_number().over(order)).groupBy("_row").agg(F.max(F.when(F.col("side") == "a", F.col("turn"))).alias("_turn_a"), F.max(F.when(F.col("side") == "b", F.col("turn"))).alias("_turn_b"))
+    pending = store.stored(rows.join(turn, "_row").drop("_row"), "pending")
+    store.forget(rows)
+    rating, taken, out = now, None, []
+    while pending.limit(1).count():
+        known = with_ratings(pending, rating, start)
+        for s in "ab":
+            if taken is None:
+                known = known.withColumn(f"_taken_{s}", F.lit(0))
+            else:
+                known = known.join(taken.select(F.col("who").alias(s), F.col("taken").alias(f"_taken_{s}")), s, "left").withColumn(f"_taken_{s}", F.coalesce(f"_taken_{s}", F.lit(0)))
+        ready = (F.col("_turn_a") == F.col("_taken_a") + 1) & (F.col("_turn_b") == F.col("_taken_b") + 1)
+        done = store.stored(at_once(known.where(ready).select(*columns, "_start_a", "_start_b"), k), "level")
+        own = done.select(F.explode(F.array("a", "b")).alias("who")).groupBy("who").agg(F.count("*").alias("more"))
+        last_taken = taken
+        if taken is None:
+            taken = store.stored(own.select("who", F.col("more").alias("taken")), "taken")
+        else:
+            taken = store.stored(taken.join(own, "who", "full").select("who", (F.coalesce("taken", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("taken")), "taken")
+        last_pending, pending = pending, store.stored(known.where(~ready).select(*columns, "_turn_a", "_turn_b"), "pending")
+        last_rating, rating = rating, store.stored(moved(rating, done, start), "rating")
+        for old in (last_taken, last_pending, last_rating if last_rating is not now else None):
+            if old is not None:
+                store.forget(old)
+        if date_snapshot:
+            shown = with_ratings(done.drop("rating_a", "rating_b", "p_a"), now, start)
+            seen = store.stored(shown.withColumns({"rating_a": F.col("_start_a"), "rating_b": F.col("_start_b"), "p_a": 1 / (1 + F.pow(F.lit(10.0), (F.col("_start_b") - F.col("_start_a")) / 400))}).drop("_start_a", "_start_b"), "shown")
+            store.forget(done)
+            done = seen
+        out.append(done)
+    for old in (taken, pending, rating if rating is not now else None):
+        if old is not None:
+            store.forget(old)
+    return out
