@@ -28,8 +28,8 @@ from .common import session, texts
 BASE = ("email", "ip", "card", "phone")
 #: Types of the field; "other" covers one token that belongs to nothing.
 TYPES = ("other", *BASE, "ssn", "iban", "secret", "passport", "street", "name")
-#: Tokens and characters in a segment (the bound of an entity), and characters in a secret; a word that holds entities may be longer.
-MOST_TOKENS, MOST_CHARS, MOST_SECRET = 24, 128, 4096
+#: Tokens in a segment (the bound of an entity), and characters in one of several tokens that is no announced secret. One token, or a secret, may be of any length.
+MOST_TOKENS, MOST_CHARS = 24, 128
 #: Words of an island before and after a word with a digit or a cue.
 BEFORE, AFTER = 3, 4
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -41,6 +41,7 @@ card = re.compile(r"[0-9](?:[ -]?[0-9])++")
 phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Words that announce an entity without digits; they are looked for in lower case.
 ANNOUNCE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "mr. ", "mrs. ", "ms. ", "dr. ", "herr ", "frau ", "madame ", "monsieur ", "señor ", "señora ", "name is ", "name: ")
+announced = re.compile("(?i)(?=" + "|".join(map(re.escape, ANNOUNCE)) + ")")
 hot = re.compile(r"[0-9@=]")
 #: Letters of scripts without blanks between words (or with endings on numbers): they end a token like a blank does.
 WIDE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
@@ -101,12 +102,14 @@ def islands(text: str):
     what touches is one island."""
     low = text.lower()
     marks = {m.start() for m in hot.finditer(text)}
-    if len(low) == len(text):
+    if len(low) == len(text):  # places are the same then
         for x in ANNOUNCE:
             at = low.find(x)
             while at >= 0:
                 marks.add(at)
                 at = low.find(x, at + len(x))
+    else:
+        marks.update(m.start() for m in announced.finditer(text))
     if not marks:
         return
     spans = [m.span() for m in word.finditer(text)]
@@ -131,7 +134,8 @@ street = re.compile(
     r"[0-9]{1,5}[a-zA-Z]? (?:[A-Z][a-z'-]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)"
     r"|[A-ZÄÖÜ][a-zäöüß-]*(?:straße|strasse|gasse|allee|platz) [0-9]{1,4}[a-z]?|[0-9]{1,4},? (?:rue|avenue|boulevard|chemin) (?:\w+[ '’-]){0,3}\w+|(?:[Cc]alle|[Aa]venida|[Pp]aseo) (?:\w+ ){0,2}\w+,? [0-9]{1,4}"
 ).fullmatch
-name = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+){0,2}").fullmatch
+_PART = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+(?:(?<=-)[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+)*"  # a capital may follow a hyphen
+name = re.compile(rf"{_PART}(?: {_PART}){{0,2}}").fullmatch
 #: What stands before an entity, by feature.
 CUES = {
     "cue_secret": r"token|secret|password|passwd|passphrase|pwd|api[_ -]?key|key",
@@ -200,7 +204,7 @@ def candidates(text: str, a: int, b: int):
         for i in range(max(0, j - MOST_TOKENS + 1), j + 1):
             start = spans[i][0]
             if i < j:
-                if not edge[i] or end - start > (MOST_SECRET if cue[i] == "cue_secret" else MOST_CHARS) or not text[end - 1].isalnum():
+                if not edge[i] or cue[i] != "cue_secret" and end - start > MOST_CHARS or not text[end - 1].isalnum():
                     continue
                 n = digits[j + 1] - digits[i]
                 s = text[start:end]
@@ -229,7 +233,7 @@ def best_types(weights: np.ndarray):
 
 
 def decode(rows, weights: np.ndarray, typed=None) -> list[tuple[int, int, str]]:
-    """The best division into typed segments; only segments of one token can be "other", and longer ones than MOST_SECRET nothing else. Ties go to the earlier type and the longer segment."""
+    """The best division into typed segments; only segments of one token can be "other". Ties go to the earlier type and the longer segment."""
     typed = typed or best_types(weights)
     best = [0.0]
     back: list = [None]
@@ -239,7 +243,7 @@ def decode(rows, weights: np.ndarray, typed=None) -> list[tuple[int, int, str]]:
             other, y, value = typed(facts)
             if i == j and best[i] + other > most + 1e-12:
                 most, how = best[i] + other, (i, a, b, 0)
-            if b - a <= MOST_SECRET and best[i] + value > most + 1e-12:
+            if best[i] + value > most + 1e-12:
                 most, how = best[i] + value, (i, a, b, y)
         best.append(most)
         back.append(how)
@@ -325,6 +329,54 @@ def sentences(count: int, seed: int = 5):
         yield text.rstrip(), gold
 
 
+def total(values: list[float]) -> float:
+    """The logarithm of the sum of the exponentials."""
+    most = max(values)
+    return most + math.log(sum([math.exp(v - most) for v in values])) if most > -math.inf else most
+
+
+class Sample:
+    """Sentences with their segments in one table, so that a step scores all of them by one product of matrices; sums over divisions go sentence by sentence."""
+
+    def __init__(self, data):
+        self.ends, self.starts, facts, single, gold = [], [], [], [], []
+        for rows, wanted in data:
+            ends, starts = [], [[] for _ in rows]
+            for j, found in enumerate(rows):
+                ends.append([])
+                for i, a, b, places in found:
+                    ends[-1].append((i, len(facts)))
+                    starts[i].append((j, len(facts)))
+                    facts.append(places)
+                    single.append(i == j)
+                    gold.append([(a, b, y) in wanted for y in range(len(TYPES))])
+            self.ends.append(ends)
+            self.starts.append(starts)
+        self.x = np.zeros((len(facts), len(FEATURES)))
+        for k, places in enumerate(facts):
+            self.x[k, list(places)] = 1
+        self.single, self.gold = np.array(single, bool), np.array(gold, float)
+
+    def gradient(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of `gradient` over the sentences."""
+        value = self.x @ weights.T
+        value[~self.single, 0] = -np.inf
+        most = value.max(1)
+        whole = most + np.log(np.exp(value - most[:, None]).sum(1))
+        s, share = whole.tolist(), np.zeros(len(whole))
+        for ends, starts in zip(self.ends, self.starts, strict=True):
+            n = len(ends)
+            forward, backward = [0.0], [0.0] * (n + 1)
+            for found in ends:
+                forward.append(total([forward[i] + s[k] for i, k in found]))
+            for i in range(n - 1, -1, -1):
+                backward[i] = total([backward[j + 1] + s[k] for j, k in starts[i]]) if starts[i] else -math.inf
+            for j, found in enumerate(ends):
+                for i, k in found:
+                    share[k] = forward[i] + s[k] + backward[j + 1] - forward[n]
+        return (self.gold - np.exp(value - whole[:, None] + share[:, None])).T @ self.x
+
+
 @lru_cache(1)
 def learned(count: int = 240, steps: int = 25, l2: float = 0.005) -> tuple:
     """Weights by type and feature, the same at each call: gradient ascent from 0 on generated sentences."""
@@ -338,9 +390,9 @@ def learned(count: int = 240, steps: int = 25, l2: float = 0.005) -> tuple:
             if not any(s < b and a < e for s, e, _ in spans):
                 gold.add((a, b, 0))
         data.append((rows, gold))
-    speed = np.zeros_like(weights)
-    for step in range(steps):
-        g = sum(gradient(rows, gold, weights) for rows, gold in data) / len(data) - l2 * weights
+    sample, speed = Sample(data), np.zeros_like(weights)
+    for _ in range(steps):
+        g = sample.gradient(weights) / len(data) - l2 * weights
         speed += g * g
         weights += 1.0 * g / np.sqrt(speed + 1e-8)
     return tuple(map(tuple, weights))

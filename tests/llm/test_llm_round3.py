@@ -235,3 +235,52 @@ def test_quality_on_odd_rows(spark, docs):
     import zlib
 
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in held)
+
+
+def test_the_field_is_trained_on_all_sentences_at_once():
+    from tallyspark.llm import pii
+
+    rng = np.random.default_rng(3)
+    weights = rng.normal(0, 0.3, (len(pii.TYPES), len(pii.FEATURES)))
+    data = []
+    for text, spans in pii.sentences(12, seed=9):
+        rows = pii.lattice(text, 0, len(text))
+        gold = set(spans) | {(a, b, 0) for *_, (_, a, b, _) in rows if not any(s < b and a < e for s, e, _ in spans)}
+        data.append((rows, gold))
+    want = sum(pii.gradient(rows, gold, weights) for rows, gold in data)
+    assert np.abs(pii.Sample(data).gradient(weights) - want).max() < 1e-9
+
+
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("İ hello Mr. Smith Jones said", {"name": "Smith Jones"}),
+        ("İİ the password: hunterhunterhunterhunter end", {"secret": "hunterhunterhunterhunter"}),
+        ("yes Herr Müller-Lüdenscheidt kam", {"name": "Müller-Lüdenscheidt"}),
+        ("Mrs. Anne-Marie Jones-Smith left", {"name": "Anne-Marie Jones-Smith"}),
+        ('token = "' + "a1B2" * 1500 + '"', {"secret": "a1B2" * 1500}),
+    ],
+)
+def test_no_length_and_no_letter_hides_an_entity(text, kinds):
+    from tallyspark.llm import pii
+
+    found = pii.find(text, np.array(pii.learned()))[1]
+    assert {k: text[a:b] for a, b, k in found} == kinds
+
+
+def test_precision_and_recall_of_added_spans_by_type():
+    """Sentences of another seed than those that taught the field, by type."""
+    from collections import Counter
+
+    from tallyspark.llm import pii
+
+    weights, right, said, there = np.array(pii.learned()), Counter(), Counter(), Counter()
+    typed = pii.best_types(weights)
+    for text, gold in pii.sentences(600, seed=77):
+        own = {(a, b, pii.TYPES[y]) for a, b, y in gold}
+        got = set(pii.find(text, weights, typed)[1])
+        for part, counter in ((own & got, right), (got, said), (own, there)):
+            counter.update(k for _, _, k in part)
+    for kind in ("ssn", "iban", "secret", "passport", "street", "name"):
+        print(kind, "precision", round(right[kind] / said[kind], 3), "recall", round(right[kind] / there[kind], 3), "of", there[kind])
+        assert right[kind] / said[kind] > 0.8 and right[kind] / there[kind] > 0.8, kind
