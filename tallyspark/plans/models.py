@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,49 @@ def query(sql: str | None = None):
     return add
 
 
-def last_five_sql(metrics: tuple[features.Ratio, ...], more: str = "", source: str = "records") -> str:
+class Fixed(NamedTuple):
+    """A metric as the SQL has it, in numbers of its own: not made of operators.features."""
+
+    name: str
+    num: str
+    den: str
+    valid: str
+    prior: float
+    weight: float
+    unit: float = 1.0
+    complement: bool = False
+    counted: str = "true"
+
+
+PER_MINUTE, ENDED = "elapsed / 60", "points in (0, 1) and method in ('ko_tko', 'submission', 'decision', 'decision_unanimous', 'decision_split', 'decision_majority')"
+#: The ten recent metrics and ten of the context metrics: name, sums, which rows count, prior, weight, unit.
+RECENT_SQL = (
+    Fixed("sig_landed_per_minute", "sig_landed", PER_MINUTE, "sig_landed is not null and elapsed > 0", 3.0, 30.0),
+    Fixed("sig_absorbed_per_minute", "o_sig_landed", PER_MINUTE, "o_sig_landed is not null and elapsed > 0", 3.0, 30.0),
+    Fixed("sig_accuracy", "sig_landed", "sig_attempted", "sig_landed <= sig_attempted", 0.5, 50.0, counted="sig_attempted > 0"),
+    Fixed("sig_defence", "o_sig_landed", "o_sig_attempted", "o_sig_landed <= o_sig_attempted", 0.5, 50.0, complement=True, counted="o_sig_attempted > 0"),
+    Fixed("knockdowns_per_15", "kd", PER_MINUTE, "kd is not null and elapsed > 0", 0.1, 30.0, 15.0),
+    Fixed("takedowns_per_15", "td_landed", PER_MINUTE, "td_landed is not null and elapsed > 0", 1.0, 30.0, 15.0),
+    Fixed("takedown_accuracy", "td_landed", "td_attempted", "td_landed <= td_attempted", 0.4, 10.0, counted="td_attempted > 0"),
+    Fixed("takedown_defence", "o_td_landed", "o_td_attempted", "o_td_landed <= o_td_attempted", 0.4, 10.0, complement=True, counted="o_td_attempted > 0"),
+    Fixed("submission_attempts_per_15", "sub_attempts", PER_MINUTE, "sub_attempts is not null and elapsed > 0", 0.5, 30.0, 15.0),
+    Fixed("control_share", "control_seconds", "elapsed", "elapsed > 0 and control_seconds <= elapsed", 0.25, 1800.0),
+)
+CONTEXT_SQL = (
+    Fixed("clinch_share", "clinch_attempted", "sig_attempted", "sig_attempted > 0 and clinch_attempted <= sig_attempted", 0.10, 50.0),
+    Fixed("ground_share", "ground_attempted", "sig_attempted", "sig_attempted > 0 and ground_attempted <= sig_attempted", 0.15, 50.0),
+    Fixed("body_share", "body_attempted", "sig_attempted", "sig_attempted > 0 and body_attempted <= sig_attempted", 0.20, 50.0),
+    Fixed("leg_share", "leg_attempted", "sig_attempted", "sig_attempted > 0 and leg_attempted <= sig_attempted", 0.15, 50.0),
+    Fixed("takedown_attempts_per_15", "td_attempted", PER_MINUTE, "td_attempted is not null and elapsed > 0", 2.5, 30.0, 15.0),
+    Fixed("ko_win_share", "case when method = 'ko_tko' and points = 1 then 1 else 0 end", "1", ENDED, 0.15, 4.0),
+    Fixed("ko_loss_share", "case when method = 'ko_tko' and points = 0 then 1 else 0 end", "1", ENDED, 0.15, 4.0),
+    Fixed("submission_win_share", "case when method = 'submission' and points = 1 then 1 else 0 end", "1", ENDED, 0.10, 4.0),
+    Fixed("submission_loss_share", "case when method = 'submission' and points = 0 then 1 else 0 end", "1", ENDED, 0.10, 4.0),
+    Fixed("opponent_win_rate", "o_rate", "1", "o_rate is not null", 0.5, 2.0),
+)
+
+
+def last_five_sql(metrics: tuple[Fixed, ...], more: str = "", source: str = "records") -> str:
     """The metrics over the last five contests before the embargo as SQL: every earlier record is ranked for every target."""
     value = lambda m: ("1 - " if m.complement else "") + f"(coalesce({m.name}_num, 0) + {m.prior * m.weight / m.unit!r}::DOUBLE) / (coalesce({m.name}_den, 0) + {m.weight!r}::DOUBLE) * {m.unit!r}::DOUBLE"
     sums = ", ".join(f"sum({m.num}) FILTER (WHERE {m.valid}) AS {m.name}_num, sum({m.den}) FILTER (WHERE {m.valid}) AS {m.name}_den, count(*) FILTER (WHERE {m.valid} AND {m.counted}) AS {m.name}_n" for m in metrics)
@@ -37,7 +81,7 @@ def rounded(rows: DataFrame, metrics: tuple[features.Ratio, ...]) -> DataFrame:
     return rows.select("bout_id", "fighter_id", "n_last", *[x for m in metrics for x in ((F.round(m.name, 9) + 0.0).alias(m.name), F.col(f"{m.name}_n"))])
 
 
-@query(last_five_sql(features.RECENT))
+@query(last_five_sql(RECENT_SQL))
 def recent_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten recent metrics of each side with their numbers of observations, over the last five contests with ties, before an embargo."""
     return rounded(features.metrics_before(records(spark, sf_dir), features.RECENT), features.RECENT)
@@ -47,7 +91,7 @@ RATES = """, rated AS (SELECT f.*, (SELECT NULL) AS none, CASE WHEN r.n > 0 THEN
     LEFT JOIN records p ON p.fighter_id = f.fighter_id AND p.day < f.day GROUP BY ALL) r ON r.bout_id = f.bout_id AND r.fighter_id = f.opponent_id)"""
 
 
-@query(last_five_sql(features.CONTEXT, RATES, "rated"))
+@query(last_five_sql(CONTEXT_SQL, RATES, "rated"))
 def context_metrics(spark, sf_dir):
     """A12 but for the opponents' ratings (feature_vectors has them): shares, finishes and the win rate that opponents had."""
     known = features.state(records(spark, sf_dir))
