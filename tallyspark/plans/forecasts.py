@@ -152,7 +152,8 @@ def selection_sql(steps: int = 12) -> str:
     for k in range(steps):
         parts.append(f"s{k + 1} AS MATERIALIZED (SELECT candidate, fold, any_value(s) - (avg((p - y) * z) + 0.004 * (any_value(s) - 1)) / (avg(p * (1 - p) * z * z) + 0.004) AS s FROM (SELECT *, 1 / (1 + exp(-s * z)) AS p FROM z JOIN s{k} USING (candidate, fold) WHERE part = 'tail') GROUP BY ALL)")
     parts += [
-        f"p AS (SELECT candidate, y, 1 / (1 + exp(-greatest(0.25, least(4.0, s)) * z)) AS p FROM z JOIN s{steps} USING (candidate, fold) WHERE part = 'test')",
+        "few AS (SELECT candidate, fold, count(*) FILTER (WHERE part = 'tail') < 30 AS few FROM z GROUP BY ALL)",
+        f"p AS (SELECT candidate, y, 1 / (1 + exp(-CASE WHEN few THEN 1.0 ELSE greatest(0.25, least(4.0, s)) END * z)) AS p FROM z JOIN s{steps} USING (candidate, fold) JOIN few USING (candidate, fold) WHERE part = 'test')",
         "t AS (SELECT candidate, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss, avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS exact FROM p GROUP BY candidate)",
     ]
     return ",\n".join(parts) + "\nSELECT candidate, n, brier, log_loss, exact = (SELECT min(exact) FROM t) AS selected FROM t"
