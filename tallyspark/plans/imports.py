@@ -171,3 +171,35 @@ def source_keys(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     rows = table(spark, sf_dir, "part")
     return rows.select("p_partkey", names.section_key(F.concat(F.lit("ROUND_"), k, F.lit("%20&amp;%20Cafe%CC%81"))).alias("section"), names.title_key(F.concat(F.lit("Café_"), k)).alias("title"))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'Q' || (CASE WHEN s_suppkey % 10 = 1 THEN s_suppkey + 1 ELSE s_suppkey END + 1) END AS qid, CASE WHEN s_suppkey % 6 = 0 THEN 'shared' ELSE 'label ' || s_suppkey END AS label, s_suppkey % 8 = 0 AS lacks FROM supplier)
+    SELECT k, qid, count(*) OVER (PARTITION BY qid) > 1 AS repeated_item, coalesce(min(qid) OVER (PARTITION BY label) <> max(qid) OVER (PARTITION BY label), false) AS shared_label, CASE WHEN lacks THEN 'missing_value' WHEN qid IS NULL THEN 'item_address' END AS problem FROM r""")
+def query_bindings(spark, sf_dir):
+    """Bindings of a query's result as JSON, one document for each supplier; some lack a value, name no entity, repeat an item or share a label."""
+    from ..sources import bindings
+
+    k = F.col("s_suppkey")
+    entity = F.concat(F.when(k % 9 == 0, "http://example.org/Q").otherwise("http://www.wikidata.org/entity/Q"), (F.when(k % 10 == 1, k + 1).otherwise(k) + 1).cast("string"))
+    label = F.when(k % 6 == 0, "  SHARED ").otherwise(F.concat(F.lit("Label "), k.cast("string")))
+    value = lambda x: F.struct(x.alias("value"))
+    one = F.struct(value(entity).alias("item"), value(label).alias("itemLabel"), value(F.when(k % 8 != 0, "x")).alias("externalId"), value(k.cast("string")).alias("row"))
+    payload = F.to_json(F.struct(F.struct(F.array(one).alias("bindings")).alias("results")))
+    rows = bindings.rows(table(spark, sf_dir, "supplier").select(payload.alias("payload")), ("item", "itemLabel", "externalId", "row"))
+    return rows.select(F.col("row").cast("long").alias("k"), "qid", "repeated_item", "shared_label", "problem")
+
+
+@query(f"""WITH {CONTESTS}, c AS (SELECT bout_id, outcome, a, b, bout_id % 7 AS kind FROM contests)
+    SELECT bout_id AS page_id, 1 AS position, 'Name ' || a AS a, 'Page ' || a AS a_title, CASE kind WHEN 2 THEN 'Name ' || a ELSE 'Name ' || b END AS b,
+    CASE WHEN kind = 3 OR (kind = 1 AND outcome <> 'win') THEN NULL WHEN outcome = 'win' THEN 'win' WHEN outcome = 'draw' THEN 'draw' ELSE 'no_contest' END AS outcome,
+    CASE WHEN kind = 1 THEN 'shape' WHEN kind = 2 THEN 'identical_names' WHEN kind = 3 THEN 'ambiguous_result' END AS problem FROM c""")
+def result_templates(spark, sf_dir):
+    """A result template in wiki text for each contest, with links, a champion's mark and nested markup; some lack a method, name one side twice or contradict themselves."""
+    kind = F.col("bout_id") % 7
+    link = F.concat(F.lit("[[Page_"), F.col("a").cast("string"), F.lit("|Name "), F.col("a").cast("string"), F.lit("]]"))
+    other = F.concat(F.lit("Name "), F.when(kind == 2, F.col("a")).otherwise(F.col("b")).cast("string"), F.when(kind == 4, " (c)").otherwise(""))
+    marker = F.when(kind == 3, "beat").when(F.col("outcome") == "win", "def.").otherwise("vs.")
+    method = F.when(kind == 1, "").when(F.col("outcome") == "win", "Decision {{small|(30–27)}}").when(F.col("outcome") == "draw", "Draw (majority)").otherwise("No contest")
+    text = F.concat(F.lit("<!-- {{MMAevent bout|x}} -->\n{{MMAevent card}}\n{{ MMAevent bout\n|Lightweight|"), link, F.lit("|"), marker, F.lit("|"), other, F.lit("|"), method, F.lit("|3|5:00|}}\n{{end}}"))
+    rows = wikitext.contests(contests(spark, sf_dir).select(F.col("bout_id").alias("page_id"), text.alias("source")))
+    return rows.select("page_id", "position", "a", "a_title", "b", "outcome", "problem")
