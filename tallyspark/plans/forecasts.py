@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, forecast
-from ..operators.store import stored
+from ..operators.store import forget, stored
 from .domain import RECORDS, records
 from .models import feature_vectors
 
@@ -163,9 +163,11 @@ def selection_sql(steps: int = 12) -> str:
 def selected_policies(spark, sf_dir):
     """Policies tried on yearly folds, each trained on the dates before, calibrated on their tail and scored on the year; the least loss is
     selected. `forecast.select` gives the document that is frozen; a changed row makes its verification fail (tests)."""
-    document = forecast.select(stored(rows_before(spark, sf_dir), "folds"), PROTOCOL)
-    rows = [(k, t["n"], round(t["brier"], 6), round(t["log_loss"], 6), k == document["selected"]) for k, t in document["trials"].items()]  # a row for each candidate
-    return spark.createDataFrame(rows, "candidate string, n long, brier double, log_loss double, selected boolean")
+    rows = stored(rows_before(spark, sf_dir), "folds")
+    document = forecast.select(rows, PROTOCOL)
+    forget(rows)
+    found = [(k, t["n"], round(t["brier"], 6), round(t["log_loss"], 6), k == document["selected"]) for k, t in document["trials"].items()]  # a row for each candidate
+    return spark.createDataFrame(found, "candidate string, n long, brier double, log_loss double, selected boolean")
 
 
 REPEATS, SEED = 2000, 20260926

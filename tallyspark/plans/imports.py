@@ -203,3 +203,25 @@ def result_templates(spark, sf_dir):
     text = F.concat(F.lit("<!-- {{MMAevent bout|x}} -->\n{{MMAevent card}}\n{{ MMAevent bout\n|Lightweight|"), link, F.lit("|"), marker, F.lit("|"), other, F.lit("|"), method, F.lit("|3|5:00|}}\n{{end}}"))
     rows = wikitext.contests(contests(spark, sf_dir).select(F.col("bout_id").alias("page_id"), text.alias("source")))
     return rows.select("page_id", "position", "a", "a_title", "b", "outcome", "problem")
+
+
+@query(f"""WITH {CONTESTS}, c AS (SELECT bout_id, outcome, a, b, bout_id % 6 AS kind FROM contests)
+    SELECT bout_id, CASE kind WHEN 1 THEN NULL WHEN 5 THEN 'cancelled' ELSE 'completed' END AS status, CASE WHEN kind IN (1, 5) THEN NULL WHEN outcome = 'win' AND kind = 4 THEN 'win' ELSE outcome END AS outcome,
+    CASE WHEN kind = 1 THEN 'unknown_status' WHEN kind = 2 AND outcome = 'win' THEN 'unresolved_winner' WHEN kind = 3 THEN 'no_date' WHEN kind = 4 THEN 'competitors' END AS problem FROM c""")
+def daily_summaries(spark, sf_dir):
+    """A feed's nested entry for each contest; some have an unknown state, contradict themselves about the winner, lack a date or a side, or are cancelled."""
+    from ..sources import summaries
+
+    kind, key = F.col("bout_id") % 6, F.col("bout_id").cast("string")
+    side = lambda x, q: F.struct(x.cast("string").alias("id"), F.lit("n").alias("name"), F.lit(q).alias("qualifier"), F.lit(False).alias("virtual"))
+    home, away = side(F.col("a"), "home"), side(F.col("b"), "away")
+    day = F.when(kind != 3, F.date_format("event_date", "yyyy-MM-dd"))
+    season = F.struct(key.alias("id"), F.lit("s").alias("name"), day.alias("start_date"))
+    context = F.struct(F.struct(F.lit("wanted").alias("id")).alias("category"), season.alias("season"), F.struct(F.lit("c").alias("name")).alias("competition"))
+    event = F.struct(key.alias("id"), F.lit(None).cast("string").alias("start_time"), F.lit(None).cast("string").alias("replaced_by"), context.alias("sport_event_context"), F.when(kind == 4, F.array(home)).otherwise(F.array(home, away)).alias("competitors"))
+    won = F.col("outcome") == "win"
+    state = F.when(kind == 1, "unheard_of").when(kind == 5, "cancelled").otherwise("closed")
+    told = F.struct(state.alias("status"), F.when(won, "home_team").otherwise(F.col("outcome")).alias("winner"), F.when(won, F.when(kind == 2, F.col("b")).otherwise(F.col("a"))).cast("string").alias("winner_id"), F.lit("w").alias("weight_class"), F.lit(3).alias("scheduled_length"), F.lit("m").alias("method"))
+    payload = F.to_json(F.struct(F.array(F.struct(event.alias("sport_event"), told.alias("sport_event_status"))).alias("summaries")))
+    rows = summaries.contests(contests(spark, sf_dir).select(payload.alias("payload")), "wanted")
+    return rows.select(F.col("bout_id").cast("long").alias("bout_id"), "status", "outcome", "problem")
