@@ -5,7 +5,8 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 ELEMENTS = "page_id long, position int, kind string, target string, text string"
 
@@ -58,8 +59,17 @@ def elements(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, ELEMENTS)
 
 
+def plain_title(html: Column) -> Column:
+    """The text of the first plain `<title>`, up to the next tag, with runs of white space as one blank; of the references only &lt;, &gt; and &amp; are resolved. Null without any text."""
+    text = F.regexp_replace(F.regexp_extract(html, "<title>([^<]*)", 1), r"[\t\n\f\r ]+", " ")
+    text = F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+    for written, meant in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(written), F.lit(meant))
+    return F.nullif(text, F.lit(""))
+
+
 def titles(pages: DataFrame) -> DataFrame:
-    """page_id and the first title of each page, or null."""
+    """page_id and the first title of each page, or null, whatever the case, attributes and references of its markup."""
 
     def run(frames):
         for frame in frames:

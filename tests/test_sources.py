@@ -105,3 +105,13 @@ def test_images(spark):
     got = {r.name: (r.mime, r.width, r.height, r.problem) for r in images.inspected(spark.createDataFrame(rows, "name string, content binary")).collect()}
     assert got["png"] == ("image/png", 20, 30, None) and got["jpeg"] == ("image/jpeg", 50, 40, None)
     assert [got[k][3] for k in ("cut", "bent", "end", "small", "text", "null", "nodata")] == ["truncated", "checksum", "truncated", "dimensions", "not_an_image", "not_an_image", "incomplete"]
+
+
+def test_plain_titles_equal_the_sql_on_odd_pages(spark, tmp_path):
+    import duckdb
+    from tallyspark.plans import text
+
+    pages = ["<title>a&amp;&amp</title>", "<title>token = &quot;0b</title>", "<title>  x\x0b\t\r\n y &lt;b&gt; &amp;lt; 　</title>", "<TITLE>a</TITLE>", "<title lang='en'>a</title>", "<title>cut", "<title> </title>", "<title></title><title>b</title>", "", None, "no title", "<title>a<b>c</title>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(text.ORACLES["page_titles"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, text.page_titles(spark, str(tmp_path)).collect())) == sorted(want)
