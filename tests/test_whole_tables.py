@@ -58,3 +58,16 @@ def test_bootstrap_interval_is_the_operators(spark):
 def test_vectors_are_read_whole(spark):
     wide = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("max(size(embedding))").first()[0]
     assert wide > 8 and max(len(r[1]) for r in same(spark, "vector_orientation_whole")) == wide
+
+
+def test_lines_are_dealt_by_their_size(spark, monkeypatch):
+    """A task's share of the lines has a bound, however large the table is."""
+    from tallyspark.plans import domain
+
+    at = "/root/testdata/sf0.01"
+    whole = sorted(map(repr, domain.facts(spark, at).collect()))
+    monkeypatch.setattr(domain, "LINE_BYTES", 1 << 15)
+    lines = domain.rounds(spark, at)
+    dealt = domain.dealt(spark, at, lines)
+    assert dealt.rdd.getNumPartitions() >= 30 and dealt.count() == lines.count()
+    assert sorted(map(repr, domain.facts(spark, at).collect())) == whole
