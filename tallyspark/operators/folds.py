@@ -6,8 +6,7 @@ earlier one left. No task ever gets more than a block, and ratings pass from blo
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,35 +33,104 @@ def elo(contests: DataFrame, pool: str | None, k: float = 32.0, start: float = 1
     return streamed(rows, k, by_date, date_snapshot).drop("_pool", "_start_a", "_start_b", "_change")
 
 
+def runs(values: np.ndarray) -> list[slice]:
+    """Stretches of equal values."""
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return [slice(x, y) for x, y in zip(edges, edges[1:], strict=False) if x < y]
+
+
+def chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.power(10.0, (b - a) / 400))
+
+
+class Pool:
+    """The ratings of a pool while its contests pass in order: a number for each participant, one for the changes that its date holds back and one for its rating before the date."""
+
+    def __init__(self, k: float, by_date: bool, date_snapshot: bool, name: str | None = None) -> None:
+        self.k, self.by_date, self.date_snapshot, self.name = k, by_date, date_snapshot, name
+        self.place: dict = {}
+        self.rating, self.held, self.before, self.first = np.empty(0), np.empty(0), np.empty(0), np.empty(0, dtype=np.int64)
+        self.date, self.touched = None, []
+
+    def places(self, a, b, start_a, start_b) -> tuple[np.ndarray, np.ndarray]:
+        """Where both sides' numbers are; new participants begin with the rating that their first contest brings."""
+        codes, who = pd.factorize(np.concatenate([a.to_numpy(), b.to_numpy()]), use_na_sentinel=False)
+        known = len(self.place)
+        at = np.array([self.place.setdefault(w, len(self.place)) for w in who], dtype=np.int64)
+        if len(self.place) > len(self.rating):
+            more = np.zeros(max(len(self.place), 2 * len(self.rating)) - len(self.rating))
+            self.rating, self.held, self.before = (np.concatenate([x, more]) for x in (self.rating, self.held, self.before))
+            self.first = np.concatenate([self.first, more.astype(np.int64)])
+        starts = np.concatenate([start_a.to_numpy(dtype=float), start_b.to_numpy(dtype=float)])
+        new, at_first = at >= known, np.unique(codes, return_index=True)[1]
+        self.rating[at[new]] = self.before[at[new]] = starts[at_first][new]
+        return at[codes[: len(a)]], at[codes[len(a) :]]
+
+    def take(self, date, a, b, score) -> tuple[np.ndarray, ...]:
+        """Contests of one date, which may go on in the next call: ratings shown, expected score, change."""
+        if date != self.date:
+            for x in self.touched:
+                self.rating[x] += self.held[x]
+                self.held[x] = 0.0
+                self.before[x] = self.rating[x]
+            self.date, self.touched = date, []
+        both = np.column_stack([a, b]).ravel()
+        self.touched.append(np.unique(both))
+        if self.by_date:
+            ra, rb = self.rating[a], self.rating[b]
+            p = chance(ra, rb)
+            change = np.where(np.isnan(score), 0.0, self.k * (score - p))
+            np.add.at(self.held, both, np.column_stack([change, -change]).ravel())
+            return ra, rb, p, change
+        ra, rb, change = self.in_turn(a, b, score)
+        if self.date_snapshot:
+            ra, rb = self.before[a], self.before[b]
+        return ra, rb, chance(ra, rb), change
+
+    def in_turn(self, a, b, score) -> tuple[np.ndarray, ...]:
+        """One contest after the other; those go together that are the next one of both their sides, as long as they are many."""
+        ra, rb, change = (np.empty(len(a)) for _ in range(3))
+        left = np.arange(len(a))
+        while len(left) > 64:
+            x, y = a[left], b[left]
+            own, both = np.arange(len(left)), np.column_stack([x, y]).ravel()
+            self.first[both[::-1]] = np.repeat(own, 2)[::-1]
+            ready = (self.first[x] == own) & (self.first[y] == own)
+            if 8 * ready.sum() < len(left):
+                break
+            now, x, y = left[ready], x[ready], y[ready]
+            ra[now], rb[now] = self.rating[x], self.rating[y]
+            change[now] = np.where(np.isnan(score[now]), 0.0, self.k * (score[now] - chance(ra[now], rb[now])))
+            self.rating[x] = ra[now] + change[now]
+            self.rating[y] = rb[now] - change[now]
+            left = left[~ready]
+        for i in left.tolist():
+            x, y = a[i], b[i]
+            ra[i], rb[i] = u, v = float(self.rating[x]), float(self.rating[y])
+            change[i] = 0.0 if np.isnan(score[i]) else self.k * (score[i] - 1 / (1 + 10 ** ((v - u) / 400)))
+            self.rating[x], self.rating[y] = u + change[i], v - change[i]
+        return ra, rb, change
+
+
 def streamed(rows: DataFrame, k: float, by_date: bool, date_snapshot: bool) -> DataFrame:
     """Every pool (_pool) as one ordered stream in one task; sides begin with _start_a and _start_b. Adds the ratings, the expected score and `_change`, what the contest
     gives to a and takes from b. A task holds a number for each participant of the pool at hand."""
 
     def run(frames):
-        now, date, rating, held, seen = None, None, {}, defaultdict(float), {}
+        pool = Pool(k, by_date, date_snapshot)
         for frame in frames:
-            before_a, before_b, expected, changes = [], [], [], []
-            for row_pool, day, a, b, score, start_a, start_b in zip(*(frame[c] for c in ("_pool", "event_date", "a", "b", "score", "_start_a", "_start_b")), strict=True):
-                if row_pool != now:
-                    now, date, rating, held, seen = row_pool, None, {}, defaultdict(float), {}
-                rating.setdefault(a, start_a)
-                rating.setdefault(b, start_b)
-                if day != date:
-                    for who, change in held.items():
-                        rating[who] += change
-                    date, held, seen = day, defaultdict(float), {}
-                ra, rb = rating[a], rating[b]
-                p = 1 / (1 + 10 ** ((rb - ra) / 400))
-                before_a.append(seen.setdefault(a, ra) if date_snapshot else ra)
-                before_b.append(seen.setdefault(b, rb) if date_snapshot else rb)
-                expected.append(1 / (1 + 10 ** ((before_b[-1] - before_a[-1]) / 400)))
-                changes.append(0.0 if pd.isna(score) else k * (score - p))
-                if by_date:
-                    held[a] += changes[-1]
-                    held[b] -= changes[-1]
-                else:
-                    rating[a], rating[b] = ra + changes[-1], rb - changes[-1]
-            yield frame.assign(rating_a=before_a, rating_b=before_b, p_a=expected, _change=changes)
+            out = [np.empty(len(frame)) for _ in range(4)]
+            for part in runs(frame["_pool"].to_numpy()):
+                if frame["_pool"].iloc[part.start] != pool.name:
+                    pool = Pool(k, by_date, date_snapshot, frame["_pool"].iloc[part.start])
+                rows = frame.iloc[part]
+                a, b = pool.places(rows["a"], rows["b"], rows["_start_a"], rows["_start_b"])
+                score = rows["score"].to_numpy(dtype=float, na_value=np.nan)
+                for at in runs(days := rows["event_date"].to_numpy()):
+                    to = slice(part.start + at.start, part.start + at.stop)
+                    for column, values in zip(out, pool.take(days[at.start], a[at], b[at], score[at]), strict=True):
+                        column[to] = values
+            yield frame.assign(rating_a=out[0], rating_b=out[1], p_a=out[2], _change=out[3])
 
     ordered = rows.repartition(F.col("_pool")).sortWithinPartitions("_pool", "event_date", "event_id", "bout_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {SHOWN}, _change double"
@@ -83,6 +151,16 @@ def blocks(contests: DataFrame, most: int) -> list[tuple]:
     return out
 
 
+def by_block(contests: DataFrame, parts: list[tuple]) -> str:
+    """Where the contests are stored by block: they are made once, and a block reads its own rows alone. Ranges of dates keep the files few, and split a large date."""
+    rows = store.stored(contests, "contests")
+    number = F.size(F.filter(F.array(*[F.lit(first) for first, _, _ in parts]), lambda first: first <= F.col("event_date"))) - 1
+    place = store.scratch(contests.sparkSession, "blocks")
+    rows.withColumn("_block", number).repartitionByRange("event_date", "event_id", "bout_id").write.partitionBy("_block").parquet(place)
+    store.forget(rows)
+    return place
+
+
 def one_pool(contests: DataFrame, k: float, start: float = 1500.0, by_date: bool = False, date_snapshot: bool = False, most: int | None = None) -> DataFrame:
     """One rating for each participant. Rows without a date are left out (they have no place in the order); of an empty table none come back."""
     most = BLOCK_ROWS if most is None else most
@@ -93,10 +171,11 @@ def one_pool(contests: DataFrame, k: float, start: float = 1500.0, by_date: bool
         return streamed(rows, k, by_date, date_snapshot).drop("_pool", "_start_a", "_start_b", "_change")
     spark = contests.sparkSession
     place = store.scratch(spark, "ratings")
+    dealt = by_block(contests, parts)
     kind = contests.schema["a"].dataType
     now = store.stored(spark.createDataFrame([], f"who {kind.simpleString()}, rating double"), "rating")
-    for number, (first, last, n) in enumerate(parts):
-        rows = contests.where((F.col("event_date") >= F.lit(first)) & (F.col("event_date") <= F.lit(last)))
+    for number, (_, _, n) in enumerate(parts):
+        rows = spark.read.schema(contests.schema).parquet(f"{dealt}/_block={number}")
         if n <= most:
             known = with_ratings(rows, now, start).withColumn("_pool", F.lit("block"))
             done = [streamed(known, k, by_date, date_snapshot).drop("_pool", "_start_a", "_start_b")]
@@ -110,6 +189,7 @@ def one_pool(contests: DataFrame, k: float, start: float = 1500.0, by_date: bool
         before, now = now, store.stored(moved(now, spark.read.parquet(path), start), "rating")
         store.forget(before)
     store.forget(now)
+    store.remove(spark, dealt)
     columns = [*contests.columns, "rating_a", "rating_b", "p_a"]
     return spark.read.parquet(place).select(*columns)
 

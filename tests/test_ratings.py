@@ -61,3 +61,33 @@ def test_blocks_hold_whole_dates(spark):
     assert folds.one_pool(frame.where("false"), 32.0).count() == 0
     assert folds.one_pool(frame.selectExpr("bout_id", "event_id", "cast(null as date) event_date", "a", "b", "score"), 32.0).count() == 0
     assert folds.one_pool(frame, 32.0).columns == folds.one_pool(frame, 32.0, most=4).columns
+
+
+def test_contests_are_made_once_whatever_the_number_of_blocks(spark):
+    """They are counted by date, stored, and each block reads its own rows."""
+    made_rows = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made_rows.add(len(frame))
+            yield frame
+
+    frame = spark.createDataFrame(made(5, 30, 400, 20), SCHEMA).mapInPandas(count, SCHEMA)
+    assert folds.one_pool(frame, 32.0, most=25).count() == 400
+    assert made_rows.value == 800  # each block made them all again before: 18 and more times 400
+
+
+@pytest.mark.parametrize("by_date,date_snapshot", [(False, False), (True, False), (False, True)])
+def test_stream_over_dates_longer_than_a_batch(spark, by_date, date_snapshot):
+    """Contests that go together, long chains and dates that two batches share equal the plain fold."""
+    chain = [(1000 + i, 9, dt.date(2024, 1, 2), 0, 1 + i % 3, 1.0) for i in range(150)]
+    rows = made(3, 500, 900, 4) + chain
+    want = plain(rows, 32.0, by_date, date_snapshot)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 170)
+    try:
+        got = {r.bout_id: (r.rating_a, r.rating_b, r.p_a) for r in folds.one_pool(spark.createDataFrame(rows, SCHEMA), 32.0, by_date=by_date, date_snapshot=date_snapshot).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys()
+    for bout, values in want.items():
+        assert got[bout] == pytest.approx(values, abs=1e-9), bout
