@@ -15,31 +15,27 @@ from .features import STYLE
 FIGHTS = 5
 
 
-def measured() -> Column:
-    """(num, den, why) of every style metric of a row; why it does not count: 0 it does, 1 no count, 2 no exposure, 3 a count above its exposure."""
-    cells = []
-    for m in STYLE:
+def figures(fights: int) -> dict[str, Column]:
+    """Sums and counts of every style metric over the eligible ones of a participant's last `fights` rows, this one included: num and den of the rows that count, n, and rows left out
+    without a count, without an exposure, and with a count above the exposure. One sliding frame for all of them, no nested rows to go over again for each metric."""
+    last = Window.partitionBy("fighter_id").orderBy("day", "bout_id").rowsBetween(1 - fights, 0)
+    good = F.coalesce("eligible", F.lit(False))
+    out = {}
+    for i, m in enumerate(STYLE):
         num, den = F.expr(m.num).cast("double"), F.expr(m.den).cast("double")
         why = F.when(num.isNull(), 1).when(~F.coalesce(den > 0, F.lit(False)), 2).when((num > den) & F.expr(m.valid), 3).otherwise(0)
-        cells.append(F.struct(F.when(why == 0, num).alias("num"), F.when(why == 0, den).alias("den"), why.alias("why")))
-    return F.array(*cells)
+        out |= {f"num_{i}": F.sum(F.when(good & (why == 0), num)).over(last), f"den_{i}": F.sum(F.when(good & (why == 0), den)).over(last)}
+        out |= {f"{k}_{i}": F.count_if(good & (why == reason)).over(last).cast("int") for reason, k in enumerate(("n", "no_count", "no_exposure", "above_exposure"))}
+    return out
 
 
-def style(fights: Column) -> Column:
-    """The metrics over the eligible ones among nested fights: name, value, numerator, denominator, n, and rows left out by reason."""
-    good = F.filter(fights, lambda f: f["eligible"])
+def style(found: str) -> Column:
+    """The metrics of a struct of figures (null: no rows): name, value, numerator, denominator, n, and rows left out by reason."""
 
     def metric(i: int, m) -> Column:
-        cell = F.transform(good, lambda f: f["measured"][i])
-        used = F.filter(cell, lambda c: c["why"] == 0)
-        total = lambda k: F.aggregate(used, F.lit(0.0), lambda s, c: s + c[k])
-        left = lambda why: F.size(F.filter(cell, lambda c: c["why"] == why))
-        n = F.size(used)
-        value = F.when(n > 0, total("num") / total("den") * m.unit)
-        return F.struct(
-            F.lit(m.name).alias("name"), (1 - value if m.complement else value).alias("value"), F.when(n > 0, total("num")).alias("numerator"), F.when(n > 0, total("den")).alias("denominator"),
-            n.alias("n"), left(1).alias("no_count"), left(2).alias("no_exposure"), left(3).alias("above_exposure"),
-        )
+        of = lambda k: F.col(f"{found}.{k}_{i}")
+        value = of("num") / of("den") * m.unit
+        return F.struct(F.lit(m.name).alias("name"), (1 - value if m.complement else value).alias("value"), of("num").alias("numerator"), of("den").alias("denominator"), *[F.coalesce(of(k), F.lit(0)).alias(k) for k in ("n", "no_count", "no_exposure", "above_exposure")])
 
     return F.array(*[metric(i, m) for i, m in enumerate(STYLE)])
 
@@ -66,17 +62,18 @@ def contexts(records: DataFrame, ratings: DataFrame | None = None, gap: int = 3,
     other = own.select("bout_id", F.col("fighter_id").alias("opponent_id"), F.struct("wins", "losses", "draws", "no_contests", "rating").alias("strength")).dropDuplicates(["bout_id", "opponent_id"])
     rows = records.join(other, ["bout_id", "opponent_id"], "left")
     result = F.when(F.col("outcome").isin("draw", "no_contest"), F.col("outcome")).when(F.col("points") == 1, "win").when(F.col("points") == 0, "loss").otherwise("unknown")
-    fight = F.struct("bout_id", "day", "opponent_id", result.alias("result"), "method", F.coalesce("eligible", F.lit(False)).alias("eligible"), "strength", measured().alias("measured"))
+    fight = F.struct("bout_id", "day", "opponent_id", result.alias("result"), "method", F.coalesce("eligible", F.lit(False)).alias("eligible"), "strength")
     order = Window.partitionBy("fighter_id").orderBy("day", "bout_id")
-    rows = rows.withColumn("_last", F.collect_list(fight).over(order.rowsBetween(1 - fights, 0)))
+    rows = rows.repartition("fighter_id")  # the rows go, not what is made of them below
+    rows = rows.withColumns({"_last": F.collect_list(fight).over(order.rowsBetween(1 - fights, 0))} | (sums := figures(fights)))
     past = asof.earlier(["fighter_id"], "day", gap)
     near = Window.partitionBy("fighter_id").orderBy("day").rangeBetween(1 - gap, 0)
     rows = rows.select(
         "bout_id", "fighter_id", "opponent_id", "day", F.count("*").over(past).alias("available"), (F.count("*").over(near) - 1).alias("left_out"),
-        F.max_by("_last", F.struct("day", "bout_id")).over(past).alias("_past"),
+        F.max_by(F.struct("_last", *sums), F.struct("day", "bout_id")).over(past).alias("_found"),
     )
-    empty = F.array().cast(rows.schema["_past"].dataType)
-    rows = rows.withColumn("_past", F.coalesce("_past", empty))
+    empty = F.array().cast(rows.schema["_found"].dataType["_last"].dataType)
+    rows = rows.withColumn("_past", F.coalesce("_found._last", empty))
     good = F.filter("_past", lambda f: f["eligible"])
     known = F.filter(good, lambda f: F.coalesce(f["strength"]["wins"] + f["strength"]["losses"] + f["strength"]["draws"] > 0, F.lit(False)))
     rate = lambda f: (f["strength"]["wins"] + 0.5 * f["strength"]["draws"]) / (f["strength"]["wins"] + f["strength"]["losses"] + f["strength"]["draws"])
@@ -84,18 +81,21 @@ def contexts(records: DataFrame, ratings: DataFrame | None = None, gap: int = 3,
     kinds = F.array_sort(F.array_distinct(F.transform(good, lambda f: F.coalesce(f["method"], F.lit("unknown")))))
     count = lambda k, r: F.size(F.filter(good, lambda f: (F.coalesce(f["method"], F.lit("unknown")) == k) & (f["result"] == r)))
     methods = F.transform(kinds, lambda k: F.struct(k.alias("method"), *[count(k, r).alias(n) for r, n in (("win", "wins"), ("loss", "losses"), ("draw", "draws"), ("no_contest", "no_contests"))]))
-    shown = F.transform("_past", lambda f: F.struct(*[f[c].alias(c) for c in ("bout_id", "day", "opponent_id", "result", "method", "eligible", "strength")]))
     return rows.select(
-        "bout_id", "fighter_id", "opponent_id", "day", "available", "left_out", shown.alias("fights"), F.size(good).alias("eligible"), style(F.col("_past")).alias("style"), methods.alias("methods"),
+        "bout_id", "fighter_id", "opponent_id", "day", "available", "left_out", F.col("_past").alias("fights"), F.size(good).alias("eligible"), style("_found").alias("style"), methods.alias("methods"),
         mean(F.transform(known, rate)).alias("opponent_win_rate"), mean(F.transform(F.filter(known, lambda f: f["strength"]["rating"].isNotNull()), lambda f: f["strength"]["rating"])).alias("opponent_rating"),
     )
 
 
 def matchups(records: DataFrame, ratings: DataFrame | None = None, gap: int = 3, fights: int = FIGHTS) -> DataFrame:
     """bout_id, both sides' contexts as a and b (a has the lesser id), and `differences`: metric, a less b where both have a value."""
-    side = contexts(records, ratings, gap, fights)
-    one = F.struct("fighter_id", *[c for c in side.columns if c not in ("bout_id", "fighter_id", "opponent_id", "day")])
-    first = F.col("fighter_id") < F.col("opponent_id")
-    pairs = side.groupBy("bout_id").agg(F.min("day").alias("day"), F.max_by(one, F.when(first, F.col("fighter_id"))).alias("a"), F.max_by(one, F.when(~first, F.col("fighter_id"))).alias("b"))
+    pairs = paired(contexts(records, ratings, gap, fights))
     differences = F.zip_with("a.style", "b.style", lambda x, y: F.struct(x["name"].alias("name"), (x["value"] - y["value"]).alias("value")))
     return pairs.withColumn("differences", differences)
+
+
+def paired(side: DataFrame) -> DataFrame:
+    """bout_id, day, and what both sides' rows have besides, as a and b (a has the lesser id)."""
+    one = F.struct("fighter_id", *[c for c in side.columns if c not in ("bout_id", "fighter_id", "opponent_id", "day")])
+    first = F.col("fighter_id") < F.col("opponent_id")
+    return side.groupBy("bout_id").agg(F.min("day").alias("day"), F.max_by(one, F.when(first, F.col("fighter_id"))).alias("a"), F.max_by(one, F.when(~first, F.col("fighter_id"))).alias("b"))

@@ -122,12 +122,14 @@ def matchup_sql() -> str:
 def matchup_context(spark, sf_dir):
     """Q15, M17 inputs: for every contest the last five earlier ones of both sides (nested), how many there were, how many were left out for the embargo, the
     opponents' records then, and the differences of the seventeen measured metrics. Held contests are shown and not measured."""
-    pairs = context.matchups(records(spark, sf_dir).withColumn("eligible", F.col("bout_id") % 11 != 0))
+    side = context.contexts(records(spark, sf_dir).withColumn("eligible", F.col("bout_id") % 11 != 0))
+    fights = F.col("fights")
+    strength = F.transform(fights, lambda f: F.concat_ws("-", *[f["strength"][c].cast("string") for c in ("wins", "losses", "draws")]))
+    # only what is shown goes to the contest
+    side = side.select("bout_id", "fighter_id", "opponent_id", "day", "available", "left_out", fights["bout_id"].alias("ids"), fights["result"].alias("results"), strength.alias("strengths"), "eligible", "opponent_win_rate", F.array(*[F.col("style")[i]["value"] for i in range(len(STYLE))]).alias("values"))
     columns = []
     for s in "ab":
-        fights = F.col(f"{s}.fights")
-        strength = F.transform(fights, lambda f: F.concat_ws("-", *[f["strength"][c].cast("string") for c in ("wins", "losses", "draws")]))
-        columns += [F.col(f"{s}.available").alias(f"available_{s}"), F.col(f"{s}.left_out").alias(f"left_out_{s}"), fights["bout_id"].alias(f"fights_{s}"), fights["result"].alias(f"results_{s}"), strength.alias(f"strengths_{s}")]
+        columns += [F.col(f"{s}.{c}").alias(f"{n}_{s}") for c, n in (("available", "available"), ("left_out", "left_out"), ("ids", "fights"), ("results", "results"), ("strengths", "strengths"))]
         columns += [F.col(f"{s}.eligible").cast("long").alias(f"eligible_{s}"), F.round(f"{s}.opponent_win_rate", 6).alias(f"opponents_{s}")]
-    columns += [(F.round(F.get("differences", F.lit(i))["value"], 9) + 0.0).alias(f"d_{name}") for i, (name, *_) in enumerate(STYLE)]
-    return pairs.select("bout_id", *columns)
+    columns += [(F.round(F.col("a.values")[i] - F.col("b.values")[i], 9) + 0.0).alias(f"d_{name}") for i, (name, *_) in enumerate(STYLE)]
+    return context.paired(side).select("bout_id", *columns)

@@ -128,3 +128,11 @@ def test_a_context_leaves_out_the_target_its_date_and_the_embargo(spark):
     pair = context.matchups(records(spark, bouts), ratings).where("bout_id = 50").first()
     assert pair.a.fighter_id == 1 and pair.a.opponent_rating == 1600.0 and pair.b.fights == [] and {d.value for d in pair.differences} == {None}
     assert context.matchups(records(spark, bouts).where("false")).count() == 0
+
+
+def test_only_what_is_shown_goes_to_the_contest(spark):
+    """No nested cells of each metric are carried from row to row."""
+    from tallyspark.plans import contexts
+
+    plan = contexts.matchup_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "values" in plan and "measured" not in plan
