@@ -52,3 +52,13 @@ def test_candidates_number_what_a_name_may_mean(spark):
     known = spark.createDataFrame([("a", 2), ("a", 1), ("a", 1), ("c", 3), (None, 4)], "key string, id long")
     got = sorted(tuple(r) for r in evidence.candidates(wanted, known, "key", "id").select("key", "id", "n", "position").collect())
     assert got == [("a", 1, 2, 1), ("a", 1, 2, 1), ("a", 2, 2, 2), ("a", 2, 2, 2)]
+
+
+def test_candidates_of_a_frequent_key_meet_it_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "CHUNK", 3)
+    wanted = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "row int, key string")
+    known = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(3)], "key string, id long")
+    out = evidence.candidates(wanted, known, "key", "id")
+    assert sorted((r.row, r.id, r.n, r.position) for r in out.collect()) == [(r, i, 10, i + 1) for r in (1, 2) for i in range(10)] + [(3, i, 3, i + 1) for i in range(3)]
+    out.write.format("noop").mode("overwrite").save()
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one before
