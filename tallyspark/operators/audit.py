@@ -191,10 +191,11 @@ def coverage(t: dict[str, DataFrame], quotes: DataFrame, known: DataFrame, told:
 
 def report(found: DataFrame, listed: int = 20, parts: int = 64) -> DataFrame:
     """severity, code, n (every issue) and the first `listed` entity ids of each code in order of their text: first of each of `parts` shares of a
-    code's ids, then of those, so that no task sorts all ids of a frequent code."""
-    ids = found.groupBy("code", "entity_id").agg(F.count("*").alias("k"))
+    code's ids, then of those, so that no task sorts all ids of a frequent code. Counts and lists both read the ids with their numbers, which are shuffled once."""
+    every = found.groupBy("severity", "code", "entity_id").agg(F.count("*").alias("k"))
+    ids = every.where("k > 0").select("code", "entity_id")  # as in the counts, so that the exchange is the same
     place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("entity_id"))
     ids = ids.withColumn("_part", F.pmod(F.xxhash64("entity_id"), F.lit(parts))).withColumn("_r", place("code", "_part")).where(F.col("_r") <= listed)
     first = ids.withColumn("_r", place("code")).where(F.col("_r") <= listed)
     lists = first.groupBy("code").agg(F.sort_array(F.collect_list("entity_id")).alias("first"))
-    return found.groupBy("severity", "code").agg(F.count("*").alias("n")).join(lists, "code").select("severity", "code", "n", "first")
+    return every.groupBy("severity", "code").agg(F.sum("k").alias("n")).join(lists, "code").select("severity", "code", "n", "first")

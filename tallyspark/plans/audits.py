@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
+from ..operators.store import forget, stored
 from .domain import table
 
 QUERIES: dict = {}
@@ -47,8 +48,9 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         x("case when k % 2 = 1 then 'reviewed_csv' else 'feed' end basis"), x("case when k % 7 <> 0 then 'https://example.org/card' end source_url"), x(f"case when k % 61 = 0 then 'later' else {noon.format(20)} end start"),
     )
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey k", "o_custkey event", "o_orderstatus status")
-    sides = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b"))
-    o = o.join(sides, "k")
+    # the tables below are projections of these three, which many rules read: each is made once
+    sides = stored(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b")), "sides")
+    o = stored(o.join(sides, "k"), "contests")
     bouts = o.select(
         x("k bout_id"), x("case when k % 101 = 0 then -1 else event end event_id"), x("a"), x("b"),
         x("case status when 'F' then 'completed' when 'O' then 'scheduled' else 'cancelled' end status"), x("case when k % 67 = 0 then 'delayed' end provider_status"),
@@ -57,7 +59,8 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         x("k bout_id"), x("case when k % 5 = 0 then 'draw' else 'win' end outcome"), x("case when k % 5 = 0 then case when k % 83 = 0 then a end when k % 79 = 0 then 99999999 when k % 2 = 0 then a else b end winner"),
         x("case when k % 89 = 0 then 'yesterday' else '2024-02-01T00:00:00Z' end recorded"),
     )
-    e = e.select(x("event_id k"), x("user_id u"), x("value v"), x("cast(ts as timestamp) t")).join(sides, "k", "left")
+    e = stored(e.select(x("event_id k"), x("user_id u"), x("value v"), x("cast(ts as timestamp) t")).join(sides, "k", "left"), "quoted")
+    forget(sides)
     at = iso.format("t + interval {} hours")
     quotes = e.select("k", "u", "v", "t", F.explode(F.array(F.struct(x("2 * k id"), x("coalesce(a, -1L) who")), F.struct(x("2 * k + 1 id"), x("coalesce(b, -1L) who")))).alias("q")).select(
         x("q.id quote_id"), x("k bout_id"), x("u % 3 book"), x("case when q.id % 61 = 0 then -5 else q.who end selection"), x("v price"),
