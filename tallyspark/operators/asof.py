@@ -1,13 +1,18 @@
 """As-of operators: strictly earlier windows, last N with whole-date ties, latest rows, as-of joins.
 
-All of them are windows or equi-joins on the entity key, so they shuffle once by that key; none is a
+All of them are windows, sorted streams or equi-joins on the entity key, so they shuffle once by that key; none is a
 range join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def day_number(date: str | Column) -> Column:
@@ -30,21 +35,66 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], valid: Column |
 
 def last_with_ties(df: DataFrame, key: str, day: str, order: str, measures: list[str], n: int, gap: int) -> DataFrame:
     """For each row, count and sums over the last n rows of its key at least `gap` days earlier, with every row of
-    the boundary date. One shuffle by the key, no join: totals of each date stand on the date's first row; those rows alone look back over
-    n dates (a date has a row at least, so n are enough) and add whole dates, newest first, until n rows are reached; every row then takes
-    the newest such answer that is old enough."""
-    ordered = Window.partitionBy(key).orderBy(day, order)
-    peers = Window.partitionBy(key).orderBy(day).rangeBetween(0, 0)
-    totals = [F.coalesce(F.sum(F.col(m).cast("double")).over(peers), F.lit(0.0)).alias(m) for m in measures]
-    rows = df.withColumn("_head", ~F.col(day).eqNullSafe(F.lag(day).over(ordered)))
-    rows = rows.withColumn("_date", F.struct(F.count(F.lit(1)).over(peers).alias("n"), *totals))
-    rows = rows.withColumn("_dates", F.collect_list("_date").over(Window.partitionBy(key, "_head").orderBy(day).rowsBetween(1 - n, 0)))
-    add = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), *[(s[m] + x[m]).alias(m) for m in measures])
-    none = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(m) for m in measures])
-    last = F.aggregate(F.reverse("_dates"), none, lambda s, x: F.when(s["n"] < n, add(s, x)).otherwise(s))
-    rows = rows.withColumn("_last", F.when(F.col("_head"), last)).withColumn("_seen", F.last("_last", ignorenulls=True).over(earlier([key], day, gap)))
-    out = [F.coalesce("_seen.n", F.lit(0).cast("long")).alias("n_last"), *[F.coalesce(f"_seen.{m}", F.lit(0.0)).alias(f"last_{m}") for m in measures]]
-    return rows.select(*df.columns, *out)
+    the boundary date, as n_last and last_... columns (see `sums_before`)."""
+    out = sums_before(df, key, day, order, [F.col(m) for m in measures], n, gap)
+    return out.select(*df.columns, "n_last", *[F.get("_last", F.lit(i)).alias(f"last_{m}") for i, m in enumerate(measures)])
+
+
+def sums_before(df: DataFrame, key: str, day: str, order: str, measures: list[Column], n: int, gap: int, keep: list[str] | None = None, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The columns `keep` (all) of each row, with n_last and the array _last: count and sums of the measures over the last n rows of its key at least `gap` whole days earlier, with
+    every row of the boundary date. One shuffle by the key, no join: a task's rows pass as one sorted stream, in numpy. Of a key only the totals of its last
+    n + gap dates are held, whatever its number of rows: n dates are enough (a date has a row at least), and at most `gap` dates are too near. finish: what becomes of the sums (a row of them for each row)."""
+    if gap < 1 or n < 1:
+        raise ValueError("at least one row, and one day earlier")
+    keep = df.columns if keep is None else keep
+    values = F.array(*[F.coalesce(m.cast("double"), F.lit(0.0)) for m in measures]).alias("_values")
+    ordered = df.repartition(key).sortWithinPartitions(key, day, order)
+    rows = ordered.select(*keep, F.col(key).alias("_key"), F.col(day).cast("long").alias("_day"), values)
+    width, start = len(measures), np.iinfo(np.int64).min // 2  # rows without a date come first, as one date that counts for none
+
+    def run(batches):
+        last, days, counts, sums = None, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, width))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column(len(keep)).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            at = batch.column(len(keep) + 1).fill_null(start).to_numpy(zero_copy_only=False)
+            v = batch.column(len(keep) + 2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (at[1:] != at[:-1])]))
+            of_row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
+            who, c, s = code[first], np.diff(np.append(first, len(at))), np.add.reduceat(v, first, axis=0)
+            d = at[first]
+            head, tail = (batch.column(len(keep))[i].as_py() for i in (0, -1))
+            held = 0
+            if last is not None and last[0] == head:
+                if days[-1] == d[0]:  # a date that the batch before began
+                    c[0] += counts[-1]
+                    s[0] += sums[-1]
+                    days, counts, sums = days[:-1], counts[:-1], sums[:-1]
+                held = len(days)
+                d, c, s, who = np.concatenate([days, d]), np.concatenate([counts, c]), np.concatenate([sums, s]), np.concatenate([np.full(held, who[0]), who])
+            c[d == start], s[d == start] = 0, 0.0
+            place = np.arange(len(d))
+            begin = np.maximum.accumulate(np.where(np.concatenate([[True], who[1:] != who[:-1]]), place, 0))
+            total, added = c.copy(), s.copy()
+            for back in range(1, n):
+                more = np.flatnonzero((place - back >= begin) & (total < n))
+                total[more] += c[more - back]
+                added[more] += s[more - back]
+            seen = place.copy()
+            for _ in range(gap):
+                seen -= (seen >= begin) & (d[seen] > d - gap)
+            none = seen < begin
+            total, added = np.where(none, 0, total[seen]), np.where(none[:, None], 0.0, added[seen])
+            rest = max(begin[-1], len(d) - n - gap)
+            last, days, counts, sums = (tail,), d[rest:], c[rest:], s[rest:]
+            to = of_row + held
+            added = added if finish is None else finish(added)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(to) + 1, dtype=np.int32) * added.shape[1]), pa.array(added[to].ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(total[to]), flat], names=[*keep, "n_last", "_last"])
+
+    schema = T.StructType([*[f for name in keep for f in df.schema if f.name == name], T.StructField("n_last", T.LongType()), T.StructField("_last", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(run, schema)
 
 
 def last_rows(df: DataFrame, key: str, day: str, order: list[str], value: str, n: int, counts: Column | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,13 +100,23 @@ STYLE = (
 )
 
 
-def metrics_before(records: DataFrame, metrics: tuple[Ratio, ...], n: int = 5, gap: int = 3) -> DataFrame:
-    """records with the value and the number of observations of each metric over the last n contests (whole boundary dates) at least `gap` days
+def metrics_before(records: DataFrame, metrics: tuple[Ratio, ...], n: int = 5, gap: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """records (or their columns `keep`) with the value and the number of observations of each metric over the last n contests (whole boundary dates) at least `gap` days
     earlier: the embargo of two days before a contest."""
-    names = [m.name for m in metrics]
-    rows = records.select("*", *[c for m in metrics for c in m.measures()])
-    sums = asof.last_with_ties(rows, "fighter_id", "day", "bout_id", [f"{x}_{k}" for x in names for k in ("num", "den", "n")], n, gap)
-    return sums.select(*records.columns, "n_last", *[m.value(F.col(f"last_{m.name}_num"), F.col(f"last_{m.name}_den")).alias(m.name) for m in metrics], *[F.col(f"last_{x}_n").cast("long").alias(f"{x}_n") for x in names])
+    keep = records.columns if keep is None else keep
+    found = metric_arrays(records, metrics, keep, n, gap)
+    return found.select(*keep, "n_last", *[F.get("metrics", F.lit(i)).alias(m.name) for i, m in enumerate(metrics)], *[F.get("metrics", F.lit(len(metrics) + i)).cast("long").alias(f"{m.name}_n") for i, m in enumerate(metrics)])
+
+
+def metric_arrays(records: DataFrame, metrics: tuple[Ratio, ...], keep: list[str], n: int = 5, gap: int = 3) -> DataFrame:
+    """`metrics_before` as one array, `metrics`: all values, then all numbers of observations. A wide row of columns costs more in every later step."""
+
+    def finish(sums: np.ndarray) -> np.ndarray:
+        values = [m.value(sums[:, 3 * i], sums[:, 3 * i + 1]) for i, m in enumerate(metrics)]
+        return np.column_stack([*values, sums[:, 2::3]])
+
+    out = asof.sums_before(records, "fighter_id", "day", "bout_id", [c for m in metrics for c in m.measures()], n, gap, keep, finish)
+    return out.withColumnRenamed("_last", "metrics")
 
 
 def style(records: DataFrame) -> DataFrame:
@@ -173,24 +184,37 @@ def differences(pairs: DataFrame) -> dict[str, Column]:
     }
 
 
-def vectors(records: DataFrame, ratings: DataFrame, strengths: DataFrame) -> DataFrame:
+def vectors(records: DataFrame, ratings: DataFrame, strengths: DataFrame | None = None) -> DataFrame:
     """bout_id with the vectors `base` (13), `reduced` (11), `rich` (reduced and 10 recent metrics) and `whole` (rich and 11 context metrics, each with
     the difference of its being observed: 43). ratings (bout_id, elo_a, elo_b): ratings before the date; strengths (bout_id, strong_a, strong_b): those
-    by whole dates, which describe past opponents. Records also have birth_day and reach_cm."""
-    known = state(records)
+    by whole dates, which describe past opponents (None: ratings has them too). Records also have birth_day and reach_cm. Records are read twice: a stored table is best."""
+    known = state(records.select("bout_id", "fighter_id", "opponent_id", "day", "event_id", "points", "sig_landed", "sig_attempted", "o_sig_landed", "o_sig_attempted", "birth_day", "reach_cm"))
+    known = known.drop("event_id", "points", "sig_landed", "sig_attempted", "o_sig_landed", "o_sig_attempted")
     mine = F.col("fighter_id") < F.col("opponent_id")
-    known = known.join(ratings, "bout_id").join(strengths, "bout_id")
+    rates = ratings if strengths is None else ratings.join(strengths, "bout_id")
+    known = known.join(rates, "bout_id")
     known = known.withColumn("elo", F.when(mine, F.col("elo_a")).otherwise(F.col("elo_b"))).withColumn("o_elo", F.when(mine, F.col("strong_b")).otherwise(F.col("strong_a")))
     own = F.struct("fighter_id", "scored", "total")
     two = Window.partitionBy("bout_id")
     other = F.when(mine, F.max(F.when(~mine, own)).over(two)).otherwise(F.max(F.when(mine, own)).over(two))
     known = known.withColumn("_other", other).withColumn("o_rate", F.when(F.col("_other.scored") > 0, F.col("_other.total") / F.col("_other.scored")))
+    # the metrics of the records' own statistics need no state: the wide rows meet none of the steps above
     every = (*RECENT, *CONTEXT, OPPONENT_ELO)
-    columns = ["elo", "scored", "total", "last_day", "form", "birth_day", "reach_cm", "adjusted", "stat_n", *[m.name for m in every], *[f"{m.name}_n" for m in every]]
-    pairs = sides(metrics_before(known.drop("elo_a", "elo_b", "strong_a", "strong_b", "_other"), every), columns)
+    late = [m for m in every if m.name in ("opponent_win_rate", "opponent_elo")]
+    early = [m for m in every if m not in late]
+    columns = ["elo", "scored", "total", "last_day", "form", "birth_day", "reach_cm", "adjusted", "stat_n"]
+    ids = ["bout_id", "fighter_id", "opponent_id", "day"]
+    pairs = sides(metric_arrays(known, tuple(late), [*ids, *columns]), [*columns, "metrics"])
+    plain = sides(metric_arrays(records, tuple(early), ids), ["metrics"])
+    pairs = pairs.join(plain.select("bout_id", F.col("a.metrics").alias("own_a"), F.col("b.metrics").alias("own_b")), "bout_id")
     d = differences(pairs)
-    of = lambda m: (F.col(f"a.{m.name}") - F.col(f"b.{m.name}")) / m.scale
-    seen = lambda m: (F.col(f"a.{m.name}_n") > 0).cast("double") - (F.col(f"b.{m.name}_n") > 0).cast("double")
+
+    def at(m: Ratio, s: str, shift: int = 0) -> Column:
+        group, array = (late, f"{s}.metrics") if m in late else (early, f"own_{s}")
+        return F.get(F.col(array), F.lit(group.index(m) + shift * len(group)))
+
+    of = lambda m: (at(m, "a") - at(m, "b")) / m.scale
+    seen = lambda m: (at(m, "a", 1) > 0).cast("double") - (at(m, "b", 1) > 0).cast("double")
     reduced = [d[n] for n in REDUCED]
     rich = [*reduced, *[of(m) for m in RECENT]]
     whole = [*rich, *[x for m in (*CONTEXT, OPPONENT_ELO) for x in (of(m), seen(m))]]

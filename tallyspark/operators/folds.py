@@ -6,17 +6,21 @@ earlier one left. No task ever gets more than a block, and ratings pass from blo
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import store
 from .evaluate import MOST_DATES
 
 #: Contests that one task may take as a stream.
 BLOCK_ROWS = 1_000_000
-SHOWN = "rating_a double, rating_b double, p_a double"
 
 
 def elo(contests: DataFrame, pool: str | None, k: float = 32.0, start: float = 1500.0, by_date: bool = False, date_snapshot: bool = False) -> DataFrame:
@@ -30,7 +34,7 @@ def elo(contests: DataFrame, pool: str | None, k: float = 32.0, start: float = 1
     if pool is None:
         return one_pool(contests, k, start, by_date, date_snapshot)
     rows = contests.withColumns({"_pool": F.col(pool).cast("string"), "_start_a": F.lit(start), "_start_b": F.lit(start)})
-    return streamed(rows, k, by_date, date_snapshot).drop("_pool", "_start_a", "_start_b", "_change")
+    return streamed(rows, [Rule(k, by_date, date_snapshot)]).drop("_pool", "_start_a", "_start_b", "_change")
 
 
 def runs(values: np.ndarray) -> list[slice]:
@@ -112,29 +116,43 @@ class Pool:
         return ra, rb, change
 
 
-def streamed(rows: DataFrame, k: float, by_date: bool, date_snapshot: bool) -> DataFrame:
-    """Every pool (_pool) as one ordered stream in one task; sides begin with _start_a and _start_b. Adds the ratings, the expected score and `_change`, what the contest
-    gives to a and takes from b. A task holds a number for each participant of the pool at hand."""
-
-    def run(frames):
-        pool = Pool(k, by_date, date_snapshot)
-        for frame in frames:
-            out = [np.empty(len(frame)) for _ in range(4)]
-            for part in runs(frame["_pool"].to_numpy()):
-                if frame["_pool"].iloc[part.start] != pool.name:
-                    pool = Pool(k, by_date, date_snapshot, frame["_pool"].iloc[part.start])
-                rows = frame.iloc[part]
-                a, b = pool.places(rows["a"], rows["b"], rows["_start_a"], rows["_start_b"])
-                score = rows["score"].to_numpy(dtype=float, na_value=np.nan)
-                for at in runs(days := rows["event_date"].to_numpy()):
-                    to = slice(part.start + at.start, part.start + at.stop)
-                    for column, values in zip(out, pool.take(days[at.start], a[at], b[at], score[at]), strict=True):
-                        column[to] = values
-            yield frame.assign(rating_a=out[0], rating_b=out[1], p_a=out[2], _change=out[3])
+@dataclass(frozen=True)
+class Rule:
+    k: float
+    by_date: bool = False
+    date_snapshot: bool = False
+
 
+def streamed(rows: DataFrame, rules: list[Rule], marks: tuple[str, ...] = ("",)) -> DataFrame:
+    """Every pool (_pool) as one ordered stream in one task; sides begin with _start_a and _start_b. Adds the ratings, the expected score and `_change`, what the contest
+    gives to a and takes from b; for each rule under names with its mark. A task holds a few numbers for each participant of the pool at hand."""
+
+    def run(batches):
+        fresh = lambda name=None: [Pool(r.k, r.by_date, r.date_snapshot, name) for r in rules]
+        pools = fresh()
+        for batch in batches:
+            n = batch.num_rows
+            column = lambda name: batch.column(names.index(name))
+            series = {c: pd.Series(column(c).to_numpy(zero_copy_only=False)) for c in ("a", "b", *[f"_start_{s}{m}" for s in "ab" for m in marks])}
+            score = np.asarray(column("score").cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=float)
+            days = column("event_date")
+            days = (days.cast(pa.int32()).fill_null(-(1 << 31)) if pa.types.is_date32(days.type) else days).to_numpy(zero_copy_only=False)
+            named = column("_pool").to_numpy(zero_copy_only=False)
+            out = [np.empty(n) for _ in range(4 * len(rules))]
+            for part in runs(named):
+                if named[part.start] != pools[0].name:
+                    pools = fresh(named[part.start])
+                for r, (pool, mark) in enumerate(zip(pools, marks, strict=True)):
+                    a, b = pool.places(*[series[c].iloc[part] for c in ("a", "b", f"_start_a{mark}", f"_start_b{mark}")])
+                    for at in runs(days[part]):
+                        to = slice(part.start + at.start, part.start + at.stop)
+                        for values, got in zip(out[4 * r : 4 * r + 4], pool.take(days[to.start], a[at], b[at], score[to]), strict=True):
+                            values[to] = got
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x) for x in out]], names=[*names, *added])
+
+    names, added = rows.columns, [f"{c}{m}" for m in marks for c in ("rating_a", "rating_b", "p_a", "_change")]
     ordered = rows.repartition(F.col("_pool")).sortWithinPartitions("_pool", "event_date", "event_id", "bout_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {SHOWN}, _change double"
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]]))
 
 
 def blocks(contests: DataFrame, most: int) -> list[tuple]:
@@ -163,49 +181,70 @@ def by_block(contests: DataFrame, parts: list[tuple]) -> str:
 
 def one_pool(contests: DataFrame, k: float, start: float = 1500.0, by_date: bool = False, date_snapshot: bool = False, most: int | None = None) -> DataFrame:
     """One rating for each participant. Rows without a date are left out (they have no place in the order); of an empty table none come back."""
+    return rated(contests, [Rule(k, by_date, date_snapshot)], ("",), start, most)
+
+
+def pools(contests: DataFrame, rules: list[Rule], start: float = 1500.0, most: int | None = None) -> DataFrame:
+    """`one_pool` by several rules, with rating_a0, rating_b0 and p_a0 by the first, rating_a1 ... by the second: a block is sorted and streamed once for all of them."""
+    return rated(contests, rules, tuple(map(str, range(len(rules)))), start, most)
+
+
+def rated(contests: DataFrame, rules: list[Rule], marks: tuple[str, ...], start: float, most: int | None) -> DataFrame:
     most = BLOCK_ROWS if most is None else most
     contests = contests.where("event_date is not null")
     parts = blocks(contests, most)
+    starts = [f"_start_{s}{m}" for m in marks for s in "ab"]
+    columns = [*contests.columns, *[f"{c}{m}" for m in marks for c in ("rating_a", "rating_b", "p_a")]]
     if len(parts) <= 1 and (not parts or parts[0][2] <= most):
-        rows = contests.withColumns({"_pool": F.lit("block"), "_start_a": F.lit(start), "_start_b": F.lit(start)})
-        return streamed(rows, k, by_date, date_snapshot).drop("_pool", "_start_a", "_start_b", "_change")
+        rows = contests.withColumns({"_pool": F.lit("block"), **dict.fromkeys(starts, F.lit(start))})
+        return streamed(rows, rules, marks).select(*columns)
     spark = contests.sparkSession
     place = store.scratch(spark, "ratings")
     dealt = by_block(contests, parts)
-    kind = contests.schema["a"].dataType
-    now = store.stored(spark.createDataFrame([], f"who {kind.simpleString()}, rating double"), "rating")
+    kind = contests.schema["a"].dataType.simpleString()
+    now = store.stored(spark.createDataFrame([], f"who {kind}, " + ", ".join(f"rating{m} double" for m in marks)), "rating")
     for number, (_, _, n) in enumerate(parts):
         rows = spark.read.schema(contests.schema).parquet(f"{dealt}/_block={number}")
+        path = f"{place}/block={number}"
         if n <= most:
-            known = with_ratings(rows, now, start).withColumn("_pool", F.lit("block"))
-            done = [streamed(known, k, by_date, date_snapshot).drop("_pool", "_start_a", "_start_b")]
+            done = streamed(with_ratings(rows, now, start, marks).withColumn("_pool", F.lit("block")), rules, marks).drop("_pool", *starts)
+            done.write.parquet(path)
+            done = spark.read.schema(done.schema).parquet(path)
         else:
-            done = [at_once(with_ratings(rows, now, start), k)] if by_date else levels(rows, now, k, start, date_snapshot)
-        path = f"{place}/block={number}"
-        for part in done:
-            part.write.mode("append").parquet(path)
-            if not by_date and n > most:
-                store.forget(part)
-        before, now = now, store.stored(moved(now, spark.read.parquet(path), start), "rating")
+            done = large_date(rows, now, rules, marks, start)
+            done.write.parquet(path)
+            done = spark.read.parquet(path)
+        before, now = now, store.stored(moved(now, done, start, marks), "rating")
         store.forget(before)
     store.forget(now)
     store.remove(spark, dealt)
-    columns = [*contests.columns, "rating_a", "rating_b", "p_a"]
     return spark.read.parquet(place).select(*columns)
 
 
-def with_ratings(rows: DataFrame, now: DataFrame, start: float) -> DataFrame:
-    """Rows with both sides' ratings so far as _start_a and _start_b."""
+def large_date(rows: DataFrame, now: DataFrame, rules: list[Rule], marks: tuple[str, ...], start: float) -> DataFrame:
+    """A date beyond what one task takes, rule by rule; the rules meet again by the row's number."""
+    rows = store.stored(rows.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    out = rows
+    for rule, mark in zip(rules, marks, strict=True):
+        own = now.select("who", F.col(f"rating{mark}").alias("rating"))
+        parts = [at_once(with_ratings(rows, own, start), rule.k)] if rule.by_date else levels(rows, own, rule.k, start, rule.date_snapshot)
+        done = reduce(DataFrame.unionByName, parts)
+        out = out.join(done.select("_number", *[F.col(c).alias(f"{c}{mark}") for c in ("rating_a", "rating_b", "p_a", "_change")]), "_number")
+    return out.drop("_number")
+
+
+def with_ratings(rows: DataFrame, now: DataFrame, start: float, marks: tuple[str, ...] = ("",)) -> DataFrame:
+    """Rows with both sides' ratings so far as _start_a and _start_b (for each rule, with its mark)."""
     for s in "ab":
-        rows = rows.join(now.select(F.col("who").alias(s), F.col("rating").alias(f"_start_{s}")), s, "left").withColumn(f"_start_{s}", F.coalesce(f"_start_{s}", F.lit(start)))
+        rows = rows.join(now.select(F.col("who").alias(s), *[F.col(f"rating{m}").alias(f"_start_{s}{m}") for m in marks]), s, "left").withColumns({f"_start_{s}{m}": F.coalesce(f"_start_{s}{m}", F.lit(start)) for m in marks})
     return rows
 
 
-def moved(now: DataFrame, done: DataFrame, start: float) -> DataFrame:
+def moved(now: DataFrame, done: DataFrame, start: float, marks: tuple[str, ...] = ("",)) -> DataFrame:
     """Ratings after contests with a _change."""
-    both = done.select(F.inline(F.array(F.struct(F.col("a").alias("who"), F.col("_change").alias("change")), F.struct(F.col("b").alias("who"), (-F.col("_change")).alias("change")))))
-    change = both.groupBy("who").agg(F.sum("change").alias("change"))
-    return now.join(change, "who", "full").select("who", (F.coalesce("rating", F.lit(start)) + F.coalesce("change", F.lit(0.0))).alias("rating"))
+    both = done.select(F.inline(F.array(F.struct(F.col("a").alias("who"), *[F.col(f"_change{m}") for m in marks]), F.struct(F.col("b").alias("who"), *[(-F.col(f"_change{m}")).alias(f"_change{m}") for m in marks]))))
+    change = both.groupBy("who").agg(*[F.sum(f"_change{m}").alias(f"_change{m}") for m in marks])
+    return now.join(change, "who", "full").select("who", *[(F.coalesce(f"rating{m}", F.lit(start)) + F.coalesce(f"_change{m}", F.lit(0.0))).alias(f"rating{m}") for m in marks])
 
 
 def at_once(known: DataFrame, k: float) -> DataFrame:

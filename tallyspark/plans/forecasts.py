@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, features, forecast
 from ..operators.store import forget, stored
 from .domain import RECORDS, records
-from .models import feature_vectors
+from .models import vectors_of, with_people
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,8 +106,10 @@ KINDS = {"base": 13, "reduced": 11, "rich": 21, "whole": 43}
 def vector_forecasts(spark, sf_dir):
     """Research forecasts of every contest from 2000 on by the vectors of 13, 11, 21 and 43 features; four fits share the passes (against a plain
     numpy fit in the tests)."""
-    y = records(spark, sf_dir).where("fighter_id < opponent_id").select("bout_id", "day", F.when(F.col("points").isin(0.0, 1.0), F.col("points")).alias("y"))
-    rows = stored(feature_vectors(spark, sf_dir).join(y, "bout_id").select("bout_id", "day", "y", F.concat("base", "whole").alias("x")), "vectors")
+    base = stored(with_people(spark, sf_dir), "records")
+    y = base.where("fighter_id < opponent_id").select("bout_id", "day", F.when(F.col("points").isin(0.0, 1.0), F.col("points")).alias("y"))
+    rows = stored(vectors_of(base).join(y, "bout_id").select("bout_id", "day", "y", F.concat("base", "whole").alias("x")), "vectors")
+    forget(base)
     return vector_models(rows, AS_OF)
 
 

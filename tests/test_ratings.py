@@ -91,3 +91,15 @@ def test_stream_over_dates_longer_than_a_batch(spark, by_date, date_snapshot):
     assert got.keys() == want.keys()
     for bout, values in want.items():
         assert got[bout] == pytest.approx(values, abs=1e-9), bout
+
+
+@pytest.mark.parametrize("most", [1000, 7])
+def test_rules_share_a_pass(spark, most):
+    """Several rules over one stream (or block, or large date) give what each gives alone."""
+    rows = made(8, 20, 18, 3)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    got = folds.pools(frame, [folds.Rule(32.0, date_snapshot=True), folds.Rule(64.0, by_date=True)], most=most).collect()
+    assert len(got) == len(rows)
+    for n, want in enumerate((plain(rows, 32.0, False, True), plain(rows, 64.0, True, False))):
+        for r in got:
+            assert (r[f"rating_a{n}"], r[f"rating_b{n}"], r[f"p_a{n}"]) == pytest.approx(want[r.bout_id], abs=1e-9)
