@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import refresh, store
 from ..sources import archive as source
-from .domain import CONTESTS, contests, table
+from .domain import CONTESTS, paired, table
+from .domain import rounds as rounds_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,9 +35,11 @@ def address(kind: str, number: Column) -> Column:
 
 
 def archive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """events, results, rounds and profiles as the CSV files have them: text alone."""
+    """events, results, rounds and profiles as the CSV files have them: text alone. The contests, with the last round of each, are made once and stored."""
     key = F.col("bout_id")
-    c = contests(spark, sf_dir).withColumn("event", F.concat_ws(" ", F.lit("Card"), F.col("event_id").cast("string"), F.col("day").cast("string")))
+    both = paired(spark, sf_dir, rounds_of(spark, sf_dir).select("bout_id", "fighter_id"), [F.count("*").alias("n")]).where("own.fighter_id < other.fighter_id")
+    c = store.stored(both.select("bout_id", "event_date", "outcome", "division", "event_id", "day", F.col("own.fighter_id").alias("a"), F.col("other.fighter_id").alias("b"), F.greatest("own.n", "other.n").alias("finish")), "contests")
+    c = c.withColumn("event", F.concat_ws(" ", F.lit("Card"), F.col("event_id").cast("string"), F.col("day").cast("string")))
     name = lambda x: F.concat(F.lit("Fighter "), x.cast("string"))
     c = c.withColumn("bout", F.concat(name(F.col("a")), F.lit(" vs. "), name(F.col("b")))).withColumn("card", F.col("event_id") * 100_000 + F.col("day"))
     events = c.select("event", F.date_format("event_date", "MMMM d, yyyy").alias("date"), address("event-details", F.col("card")).alias("url")).distinct()
@@ -48,10 +51,9 @@ def archive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     sig = F.when(F.col("l_returnflag") == "R", "unreadable").otherwise(pair)
     control = F.when(F.col("l_partkey") % 7 == 0, "--").otherwise(F.concat(F.floor(F.col("l_partkey") % 300 / 60).cast("string"), F.lit(":"), F.lpad((F.col("l_partkey") % 60).cast("string"), 2, "0")))
     rounds = lines.select("event", "bout", F.concat(F.lit("Round "), F.col("n").cast("string")).alias("round"), name(F.col("fighter_id")).alias("fighter"), F.lit("0").alias("kd"), sig.alias("sig"), pair.alias("total"), F.lit("1 of 2").alias("td"), F.lit("0").alias("sub_attempts"), F.lit("0").alias("reversals"), control.alias("control"), *[F.lit("0 of 0").alias(x) for x in ("head", "body", "leg", "distance", "clinch", "ground")])
-    last = lines.groupBy("bout_id").agg(F.max("n").alias("finish"))
     outcome = F.when(key % 13 == 1, "?").when(F.col("outcome") == "win", "W/L").when(F.col("outcome") == "draw", "D/D").otherwise("NC/NC")
     form = F.when(key % 17 == 2, "Unknown").otherwise("5 Rnd (5-5-5-5-5)")
-    results = c.join(last, "bout_id").select("event", "bout", outcome.alias("outcome"), F.col("division").alias("weightclass"), F.col("finish").cast("string").alias("round"), F.when(key % 19 == 3, "6:00").otherwise("2:30").alias("time"), form.alias("time_format"), address("fight-details", key).alias("url"), key)
+    results = c.select("event", "bout", outcome.alias("outcome"), F.col("division").alias("weightclass"), F.col("finish").cast("string").alias("round"), F.when(key % 19 == 3, "6:00").otherwise("2:30").alias("time"), form.alias("time_format"), address("fight-details", key).alias("url"), key)
     again = results.where(key % 23 == 4).withColumn("time", F.lit("1:11"))  # the same address with another value
     results = results.unionByName(again).drop("bout_id")
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))

@@ -37,11 +37,11 @@ def mismatches(spark: SparkSession, paths: list[str], manifest: DataFrame) -> Da
 
 
 def write_csv(df: DataFrame, path: str, kind: str) -> None:
-    """A folder of CSV files of one kind, each with its header; `read_csv` reads the folder."""
-    df.select(*[F.col(n).alias(c) for c, n in HEADERS[kind].items()]).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """A folder of compressed CSV files of one kind, each with its header; `read_csv` reads the folder."""
+    df.select(*[F.col(n).alias(c) for c, n in HEADERS[kind].items()]).write.option("header", True).option("escape", '"').option("emptyValue", "").option("compression", "gzip").csv(path)
 
 
 def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
     """name and sha256 of each file under the paths: a manifest. A file is read whole by one task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(paths)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,csv.gz}").load(paths)
     return files.select(F.concat_ws("/", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1)).alias("name"), F.sha2("content", 256).alias("sha256"))

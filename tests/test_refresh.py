@@ -108,3 +108,10 @@ def test_many_copies_and_a_second_event(spark):
     assert got(("E", "Ann vs. böb", "Round 2", "Ann", {}), ("E", "Ann vs. böb", "Round 2", "Böb", {}))[1] == "missing_or_conflicting_rounds"
     assert got(("F", "Ann vs. böb", "Round 1", "Cy", {}), ("F", "Ann vs. böb", "Round 1", "Ann", {}))[1] == "missing_or_conflicting_rounds"
     assert got(("E", "Ann vs. böb", None, "Ann", {}))[1] == "missing_or_conflicting_rounds"
+
+
+def test_the_archive_makes_its_contests_once(spark):
+    """Events and results read the stored contests; only rounds read the lines again."""
+    raw = plan.archive(spark, AT)
+    reads = {kind: df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet") for kind, df in raw.items()}
+    assert reads["events"] == reads["results"] == 0 and reads["rounds"] == 1
