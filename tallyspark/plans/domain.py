@@ -45,17 +45,18 @@ LINE_BYTES = 8 << 20
 
 
 def dealt(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    """Lines shuffled by contest: as adaptive execution has it while that gives each core at most LINE_BYTES, else into as many partitions as keep to them."""
-    parts = math.ceil(store.size(spark, f"{sf_dir}/lineitem.parquet") / LINE_BYTES)
-    if parts <= spark.sparkContext.defaultParallelism:
+    """Lines (or fewer rows) shuffled by contest: as adaptive execution has it while that gives each core and each partition at most LINE_BYTES, else into
+    as many partitions as keep to them."""
+    parts, shuffled = math.ceil(store.size(spark, f"{sf_dir}/lineitem.parquet") / LINE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts <= min(spark.sparkContext.defaultParallelism, shuffled):
         return lines.repartition("bout_id")
-    return lines.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bout_id")
+    return lines.repartition(max(parts, shuffled), "bout_id")
 
 
 def paired(spark: SparkSession, sf_dir: str, lines: DataFrame, totals: list) -> DataFrame:
     """One row for each side of a contest with its totals as `own` and the opponent's as `other`. Lines are shuffled once, by contest: totals by side,
-    both sides of a contest and the join with the orders all follow that partitioning."""
-    sides = dealt(spark, sf_dir, lines).groupBy("bout_id", "fighter_id").agg(*totals)
+    both sides of a contest and the join with the orders all follow that partitioning. A line without a participant is on no side."""
+    sides = dealt(spark, sf_dir, lines.where("fighter_id is not null")).groupBy("bout_id", "fighter_id").agg(*totals)
     side = F.struct("fighter_id", *[c for c in sides.columns if c not in ("bout_id", "fighter_id")])
     both = sides.groupBy("bout_id").agg(F.min(side).alias("a"), F.max(side).alias("b")).where("a.fighter_id <> b.fighter_id")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bout_id"), F.to_date("o_orderdate").alias("event_date"), outcome(F.col("o_orderstatus")).alias("outcome"), F.col("o_orderpriority").alias("division"), F.col("o_custkey").alias("event_id"))

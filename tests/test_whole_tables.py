@@ -71,3 +71,41 @@ def test_lines_are_dealt_by_their_size(spark, monkeypatch):
     dealt = domain.dealt(spark, at, lines)
     assert dealt.rdd.getNumPartitions() >= 30 and dealt.count() == lines.count()
     assert sorted(map(repr, domain.facts(spark, at).collect())) == whole
+
+
+def tables(at, lines):
+    """Orders 0 to 7, and lines (order, supplier, number) of them."""
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT k AS o_orderkey, k AS o_custkey, 'F' AS o_orderstatus, 1.0::DOUBLE AS o_totalprice, TIMESTAMP '1997-01-01' AS o_orderdate, '5-LOW' AS o_orderpriority FROM range(8) t(k)) TO '{at}/orders.parquet'")
+    rows = ", ".join(f"({k}, {s}, {n}, {i + 1})" for i, (k, s, n) in enumerate(lines)).replace("None", "NULL")
+    duck.execute(f"COPY (SELECT k::BIGINT AS l_orderkey, 1::BIGINT AS l_partkey, s::BIGINT AS l_suppkey, n::INT AS l_linenumber, q::DOUBLE AS l_quantity, 0.5::DOUBLE AS l_discount, 'N' AS l_returnflag, 'F' AS l_linestatus FROM (VALUES {rows}) t(k, s, n, q)) TO '{at}/lineitem.parquet'")
+    for t in ("orders", "lineitem"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    return duck
+
+
+ODD = [(0, 3, 1), (0, 5, 1), (0, None, 2), (1, 4, 1), (1, None, 1), (2, 7, 1), (2, 7, 2), (3, 1, 1), (3, 2, 1), (3, 2, 1), (3, 9, 1), (4, 1, 2), (4, 2, 3), (None, 1, 1), (None, 2, 1), (5, 3, 1), (5, 4, 1), (5, 3, 4), (9, 1, 1), (9, 2, 1)]
+
+
+def as_sql(spark, duck, at, name):
+    got, want = registry.QUERIES[name](spark, str(at)), duck.execute(registry.ORACLES[name]).fetchall()
+    assert want and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_lines_without_a_participant_hide_no_contest(spark, tmp_path):
+    duck = tables(tmp_path, ODD)
+    for name in ("opponent_history", "record_pivot"):
+        as_sql(spark, duck, tmp_path, name)
+
+
+def test_lines_are_dealt_by_their_size_on_many_cores(spark, monkeypatch):
+    """More cores than shuffle partitions do not lift the bound."""
+    at = "/root/testdata/sf0.01"
+    lines = domain.rounds(spark, at)
+    monkeypatch.setattr(domain, "LINE_BYTES", 1 << 19)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert domain.dealt(spark, at, lines).rdd.getNumPartitions() >= 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
