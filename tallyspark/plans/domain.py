@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import store
@@ -65,6 +65,18 @@ def paired(spark: SparkSession, sf_dir: str, lines: DataFrame, totals: list) ->
     return rows.select("bout_id", "event_date", "outcome", "division", "event_id", "day", F.inline(pairs))
 
 
+def round_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds of both sides of a contest (bout_id, fighter_id, round, mine) with the opponent's same round as `theirs`; a round without a number has none.
+    Lines are shuffled once, by contest, and sorted once: sums, sides and pairs follow that partitioning and order."""
+    lines = rounds(spark, sf_dir).where("fighter_id is not null").select("bout_id", "fighter_id", "round", "attempted")
+    contest = Window.partitionBy("bout_id").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sides = dealt(spark, sf_dir, lines).groupBy("bout_id", "fighter_id", "round").agg(F.sum("attempted").alias("mine"))
+    sides = sides.withColumns({"a": F.min("fighter_id").over(contest), "b": F.max("fighter_id").over(contest)}).where("a <> b and fighter_id in (a, b)")
+    of = lambda side: F.max(F.when(F.col("fighter_id") == F.col(side), F.col("mine"))).over(Window.partitionBy("bout_id", "round"))
+    theirs = F.when(F.col("fighter_id") == F.col("a"), of("b")).otherwise(of("a"))
+    return sides.select("bout_id", "fighter_id", "round", "mine", F.when(F.col("round").isNotNull(), theirs).alias("theirs"))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each side of a contest; totals are null where any round's value is."""
     from ..operators.metrics import all_or_null

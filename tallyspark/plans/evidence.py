@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import evaluate, store
-from .domain import CONTESTS, FACTS, FORECASTS, QUOTES, ROUNDS, contests, facts, forecasts, quotes, rounds, table
+from .domain import CONTESTS, FACTS, FORECASTS, QUOTES, ROUNDS, contests, facts, forecasts, quotes, round_pairs, rounds, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -211,10 +211,8 @@ PAIRED = f"""WITH {FACTS}, r AS (SELECT bout_id, fighter_id, round, sum(attempte
 @query(PAIRED)
 def paired_rounds(spark, sf_dir):
     """Q14: each round of every participant beside the opponent's same round."""
-    r = rounds(spark, sf_dir).groupBy("bout_id", "fighter_id", "round").agg(F.sum("attempted").alias("attempted"))
-    f = facts(spark, sf_dir).select("bout_id", "fighter_id", "opponent_id")
-    other = r.select("bout_id", F.col("fighter_id").alias("opponent_id"), "round", F.col("attempted").alias("theirs"))
-    return f.join(r, ["bout_id", "fighter_id"]).join(other, ["bout_id", "opponent_id", "round"], "left").select("bout_id", "fighter_id", "round", F.col("attempted").alias("mine"), "theirs")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bout_id"))
+    return round_pairs(spark, sf_dir).join(orders, "bout_id").select("bout_id", "fighter_id", "round", "mine", "theirs")
 
 
 @query(PAIRED)

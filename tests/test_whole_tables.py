@@ -109,3 +109,19 @@ def test_lines_are_dealt_by_their_size_on_many_cores(spark, monkeypatch):
         assert domain.dealt(spark, at, lines).rdd.getNumPartitions() >= 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_paired_rounds_of_odd_lines(spark, tmp_path):
+    """Null suppliers and numbers, repeated numbers, a third supplier between the sides, orders without lines and lines without orders."""
+    odd = [*ODD, (6, 1, None), (6, 2, None), (6, 1, 1), (7, 1, 1), (7, 5, 1), (7, 9, 1), (7, 1, 1), (7, 9, 2)]
+    as_sql(spark, tables(tmp_path, odd), tmp_path, "paired_rounds")
+
+
+def test_paired_rounds_are_dealt_by_their_size(spark, monkeypatch):
+    """No step of the query, from the lines to the result, has a share that grows with the table."""
+    at = "/root/testdata/sf0.01"
+    whole = sorted(map(repr, registry.QUERIES["paired_rounds"](spark, at).collect()))
+    monkeypatch.setattr(domain, "LINE_BYTES", 1 << 15)
+    frame = registry.QUERIES["paired_rounds"](spark, at)
+    assert sorted(map(repr, frame.collect())) == whole
+    assert frame.rdd.getNumPartitions() >= 30
