@@ -125,3 +125,14 @@ def test_paired_rounds_are_dealt_by_their_size(spark, monkeypatch):
     frame = registry.QUERIES["paired_rounds"](spark, at)
     assert sorted(map(repr, frame.collect())) == whole
     assert frame.rdd.getNumPartitions() >= 30
+
+
+def test_last_rounds_share_the_step_of_paired_rounds(spark, tmp_path, monkeypatch):
+    """Odd lines as in the SQL; its rounds are dealt by their size as well."""
+    odd = [*ODD, (6, 1, None), (6, 2, None), (6, 1, 1), (7, 1, 1), (7, 5, 1), (7, 9, 1), (7, 1, 1), (7, 9, 2)]
+    duck = tables(tmp_path, odd)
+    for name in ("last_rounds", "paired_rounds_all"):
+        as_sql(spark, duck, tmp_path, name)
+    monkeypatch.setattr(domain, "LINE_BYTES", 1 << 15)
+    for name in ("last_rounds", "paired_rounds_all"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 30
