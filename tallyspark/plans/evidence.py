@@ -198,10 +198,13 @@ def baselines(spark, sf_dir):
 @query(f"""WITH {FACTS}, m AS (SELECT fighter_id, count(*) AS bouts, avg(attempted) AS attempts, count(landed) AS contributing FROM facts GROUP BY 1)
     SELECT a.fighter_id AS a, b.fighter_id AS b, round(a.attempts, 6) AS attempts_a, round(b.attempts, 6) AS attempts_b, a.bouts - a.contributing AS excluded_a FROM m a JOIN m b ON b.fighter_id = a.fighter_id + 1""")
 def card_report(spark, sf_dir):
-    """Two participants side by side, with what was left out."""
+    """Two participants side by side, with what was left out. The lines are aggregated once: each participant is the `a` of its own id and the `b` of the id before."""
     m = facts(spark, sf_dir).groupBy("fighter_id").agg(F.count("*").alias("bouts"), F.avg("attempted").alias("attempts"), F.count("landed").alias("contributing"))
-    a, b = m.select(F.col("fighter_id").alias("a"), F.round("attempts", 6).alias("attempts_a"), (F.col("bouts") - F.col("contributing")).alias("excluded_a")), m.select(F.col("fighter_id").alias("b"), F.round("attempts", 6).alias("attempts_b"))
-    return a.join(b, F.col("b") == F.col("a") + 1)
+    key, own, of = F.col("fighter_id"), F.col("own"), lambda side, value: F.max(F.when(side, value))
+    places = F.array(F.struct(key.alias("a"), F.lit(True).alias("own")), F.struct((key - 1).alias("a"), F.lit(False).alias("own")))
+    m = m.select("fighter_id", F.round("attempts", 6).alias("attempts"), (F.col("bouts") - F.col("contributing")).alias("excluded"), F.inline(places))
+    pairs = m.groupBy("a").agg(F.count("*").alias("n"), of(~own, key).alias("b"), of(own, F.col("attempts")).alias("attempts_a"), of(~own, F.col("attempts")).alias("attempts_b"), of(own, F.col("excluded")).alias("excluded_a"))
+    return pairs.where("n = 2").drop("n")
 
 
 PAIRED = f"""WITH {FACTS}, r AS (SELECT bout_id, fighter_id, round, sum(attempted) AS attempted FROM rounds GROUP BY ALL) SELECT x.bout_id, x.fighter_id, x.round, x.attempted AS mine, o.attempted AS theirs FROM facts f

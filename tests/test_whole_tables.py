@@ -145,3 +145,16 @@ def test_card_report_counts_contests_with_a_null_supplier(spark, tmp_path):
     duck = tables(tmp_path, [(0, 1, 1), (0, 2, 1), (1, 1, 1), (1, 2, 2), (1, None, 3), (2, 2, 1), (2, 3, 1), (2, None, 1), (3, 3, 1), (3, None, 1)])
     as_sql(spark, duck, tmp_path, "card_report")
     assert {r.a: (r.attempts_a, r.attempts_b) for r in registry.QUERIES["card_report"](spark, str(tmp_path)).collect()} == {1: (2.0, 4.0), 2: (4.0, 7.0)}
+
+
+def test_card_report_aggregates_the_lines_once(spark, tmp_path):
+    """Both participants of a pair come from one pass over the lines, with the rows of the SQL; gaps between ids and missing attempts as well."""
+    duck = tables(tmp_path, [(0, -1, 1), (0, 0, 1), (1, 0, 1), (1, 1, 1), (2, 3, 1), (2, 5, 1), (3, 5, 1), (3, 6, 1), (4, 8, 1), (4, 8, 2), (5, 6, 1), (5, 7, 1)])
+    duck.execute(f"COPY (SELECT * REPLACE (CASE WHEN l_suppkey <> 6 THEN l_quantity END AS l_quantity) FROM lineitem) TO '{tmp_path}/missing.parquet'")
+    (tmp_path / "missing.parquet").replace(tmp_path / "lineitem.parquet")
+    report = registry.QUERIES["card_report"](spark, str(tmp_path))
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 1
+    as_sql(spark, duck, tmp_path, "card_report")
+    columns = ("a", "b", "attempts_a", "attempts_b", "excluded_a")
+    assert {tuple(r[c] for c in columns) for r in report.collect()} == {(-1, 0, 1.0, 2.5, 0), (0, 1, 2.5, 4.0, 0), (5, 6, 6.5, None, 0), (6, 7, None, 12.0, 2)}
+    assert same(spark, "card_report")
