@@ -62,3 +62,13 @@ def test_candidates_of_a_frequent_key_meet_it_in_chunks(spark, monkeypatch):
     assert sorted((r.row, r.id, r.n, r.position) for r in out.collect()) == [(r, i, 10, i + 1) for r in (1, 2) for i in range(10)] + [(3, i, 3, i + 1) for i in range(3)]
     out.write.format("noop").mode("overwrite").save()
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one before
+
+
+def test_candidates_are_joined_a_chunk_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "CHUNK", 2)
+    wanted = spark.createDataFrame([(1, "a"), (2, "b")], "row int, key string")
+    known = spark.createDataFrame([("a", None), ("a", 5), ("a", 3), ("b", 4)], "key string, id long")
+    out = evidence.candidates(wanted, known, "key", "id")
+    assert sorted(((r.row, r.id, r.n, r.position) for r in out.collect()), key=repr) == [(1, 3, 3, 2), (1, 5, 3, 3), (1, None, 3, 1), (2, 4, 1, 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan.split("Join Inner")[0]  # the join made every row of the result before
