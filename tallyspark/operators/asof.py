@@ -40,15 +40,16 @@ def last_with_ties(df: DataFrame, key: str, day: str, order: str, measures: list
     return out.select(*df.columns, "n_last", *[F.get("_last", F.lit(i)).alias(f"last_{m}") for i, m in enumerate(measures)])
 
 
-def sums_before(df: DataFrame, key: str, day: str, order: str, measures: list[Column], n: int, gap: int, keep: list[str] | None = None, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def sums_before(df: DataFrame, key: str, day: str, order: str, measures: list[Column], n: int, gap: int, keep: list[str] | None = None, finish: Callable[[np.ndarray], np.ndarray] | None = None, shuffled: bool = False) -> DataFrame:
     """The columns `keep` (all) of each row, with n_last and the array _last: count and sums of the measures over the last n rows of its key at least `gap` whole days earlier, with
     every row of the boundary date. One shuffle by the key, no join: a task's rows pass as one sorted stream, in numpy. Of a key only the totals of its last
-    n + gap dates are held, whatever its number of rows: n dates are enough (a date has a row at least), and at most `gap` dates are too near. finish: what becomes of the sums (a row of them for each row)."""
+    n + gap dates are held, whatever its number of rows: n dates are enough (a date has a row at least), and at most `gap` dates are too near. finish: what becomes of the sums (a row of them for each row). shuffled: df comes from a window by
+    the key, whose partitions serve here too."""
     if gap < 1 or n < 1:
         raise ValueError("at least one row, and one day earlier")
     keep = df.columns if keep is None else keep
     values = F.array(*[F.coalesce(m.cast("double"), F.lit(0.0)) for m in measures]).alias("_values")
-    ordered = df.repartition(key).sortWithinPartitions(key, day, order)
+    ordered = (df if shuffled else df.repartition(key)).sortWithinPartitions(key, day, order)
     rows = ordered.select(*keep, F.col(key).alias("_key"), F.col(day).cast("long").alias("_day"), values)
     width, start = len(measures), np.iinfo(np.int64).min // 2  # rows without a date come first, as one date that counts for none
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import asof
+from . import asof, store
 
 
 @dataclass(frozen=True)
@@ -108,14 +108,16 @@ def metrics_before(records: DataFrame, metrics: tuple[Ratio, ...], n: int = 5, g
     return found.select(*keep, "n_last", *[F.get("metrics", F.lit(i)).alias(m.name) for i, m in enumerate(metrics)], *[F.get("metrics", F.lit(len(metrics) + i)).cast("long").alias(f"{m.name}_n") for i, m in enumerate(metrics)])
 
 
-def metric_arrays(records: DataFrame, metrics: tuple[Ratio, ...], keep: list[str], n: int = 5, gap: int = 3) -> DataFrame:
-    """`metrics_before` as one array, `metrics`: all values, then all numbers of observations. A wide row of columns costs more in every later step."""
+def metric_arrays(records: DataFrame, metrics: tuple[Ratio, ...], keep: list[str], n: int = 5, gap: int = 3, numbers: tuple[Ratio, ...] | None = None, shuffled: bool = False) -> DataFrame:
+    """`metrics_before` as one array, `metrics`: all values, then the numbers of observations of all metrics (or of those in `numbers`). A wide row of columns costs more in every later
+    step. shuffled: rows are by participant already (see `sums_before`)."""
+    counted = [3 * i + 2 for i, m in enumerate(metrics) if numbers is None or m in numbers]
 
     def finish(sums: np.ndarray) -> np.ndarray:
         values = [m.value(sums[:, 3 * i], sums[:, 3 * i + 1]) for i, m in enumerate(metrics)]
-        return np.column_stack([*values, sums[:, 2::3]])
+        return np.column_stack([*values, sums[:, counted]])
 
-    out = asof.sums_before(records, "fighter_id", "day", "bout_id", [c for m in metrics for c in m.measures()], n, gap, keep, finish)
+    out = asof.sums_before(records, "fighter_id", "day", "bout_id", [c for m in metrics for c in m.measures()], n, gap, keep, finish, shuffled)
     return out.withColumnRenamed("_last", "metrics")
 
 
@@ -134,23 +136,36 @@ def style(records: DataFrame) -> DataFrame:
     return rows.select("fighter_id", "metric", F.when(F.col("complement"), 1 - value).otherwise(value).alias("value"), "numerator", "denominator", "n", "no_count", "no_exposure", "above_exposure")
 
 
-def state(records: DataFrame) -> DataFrame:
-    """records with what is known of each side before the date: contests scored, points, day of the last one, recent form, and the
-    strike accuracy beyond what earlier opponents of the opponent had (which counts only what both sides' statistics show)."""
+def so_far(records: DataFrame) -> DataFrame:
+    """records, shuffled by participant, with contests scored, points, day of the last one and recent form of each side before the date."""
     before = asof.earlier(["fighter_id"], "day")
     scored = F.col("points").isNotNull()
-    rows = asof.last_rows(records, "fighter_id", "day", ["event_id", "bout_id"], "points", 5, scored)
+    rows = asof.last_rows(records.repartition("fighter_id"), "fighter_id", "day", ["event_id", "bout_id"], "points", 5, scored)
     rows = rows.withColumn("scored", F.count("points").over(before)).withColumn("total", F.coalesce(F.sum("points").over(before), F.lit(0.0)))
     rows = rows.withColumn("last_day", F.max(F.when(scored, F.col("day"))).over(before))
-    rows = rows.withColumn("form", (F.aggregate("last", F.lit(0.0), lambda s, x: s + x) + 1) / (F.size("last") + 2)).drop("last")
-    shown = scored & F.col("sig_landed").isNotNull() & F.col("o_sig_landed").isNotNull() & (F.col("sig_attempted") > 0) & (F.col("o_sig_attempted") > 0)
-    against = asof.earlier(["opponent_id"], "day")
-    given = [F.coalesce(F.sum(F.when(shown, F.col(c))).over(against), F.lit(0.0)) for c in ("sig_landed", "sig_attempted")]
-    rows = rows.withColumn("residual", F.when(shown, F.col("sig_landed") / F.col("sig_attempted") - (given[0] + 1) / (given[1] + 2)))
+    return rows.withColumn("form", (F.aggregate("last", F.lit(0.0), lambda s, x: s + x) + 1) / (F.size("last") + 2)).drop("last")
+
+
+#: Whether a contest counts for strike accuracies: it was scored and both sides' statistics show. The same for both sides.
+SHOWN = "points is not null and sig_landed is not null and o_sig_landed is not null and sig_attempted > 0 and o_sig_attempted > 0"
+
+
+def adjusted(rows: DataFrame) -> DataFrame:
+    """rows with stat_n and adjusted instead of residual: the number and the shrunken mean of the side's earlier ones."""
+    before = asof.earlier(["fighter_id"], "day")
     rows = rows.withColumn("stat_n", F.count("residual").over(before))
     return rows.withColumn("adjusted", F.coalesce(F.sum("residual").over(before), F.lit(0.0)) / (F.col("stat_n") + 2)).drop("residual")
 
 
+def state(records: DataFrame) -> DataFrame:
+    """records with what is known of each side before the date: contests scored, points, day of the last one, recent form, and the
+    strike accuracy beyond what earlier opponents of the opponent had (which counts only what both sides' statistics show)."""
+    rows, shown = so_far(records), F.expr(SHOWN)
+    against = asof.earlier(["opponent_id"], "day")
+    given = [F.coalesce(F.sum(F.when(shown, F.col(c))).over(against), F.lit(0.0)) for c in ("sig_landed", "sig_attempted")]
+    return adjusted(rows.withColumn("residual", F.when(shown, F.col("sig_landed") / F.col("sig_attempted") - (given[0] + 1) / (given[1] + 2))))
+
+
 def sides(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each contest: bout_id, day, and the columns of the side with the lesser id as `a`, of the other as `b`."""
     one = F.struct("fighter_id", *columns)
@@ -186,36 +201,53 @@ def differences(pairs: DataFrame) -> dict[str, Column]:
 
 def vectors(records: DataFrame, ratings: DataFrame, strengths: DataFrame | None = None) -> DataFrame:
     """bout_id with the vectors `base` (13), `reduced` (11), `rich` (reduced and 10 recent metrics) and `whole` (rich and 11 context metrics, each with
-    the difference of its being observed: 43). ratings (bout_id, elo_a, elo_b): ratings before the date; strengths (bout_id, strong_a, strong_b): those
-    by whole dates, which describe past opponents (None: ratings has them too). Records also have birth_day and reach_cm. Records are read twice: a stored table is best."""
-    known = state(records.select("bout_id", "fighter_id", "opponent_id", "day", "event_id", "points", "sig_landed", "sig_attempted", "o_sig_landed", "o_sig_attempted", "birth_day", "reach_cm"))
-    known = known.drop("event_id", "points", "sig_landed", "sig_attempted", "o_sig_landed", "o_sig_attempted")
+    the difference of its being observed: 43). See `vector_parts`."""
+    parts = vector_parts(records, ratings, strengths)
+    return parts.select("bout_id", "base", "reduced", F.concat("reduced", "recent").alias("rich"), F.concat("reduced", "recent", "context").alias("whole"))
+
+
+def vector_parts(records: DataFrame, ratings: DataFrame, strengths: DataFrame | None = None) -> DataFrame:
+    """bout_id with what the vectors are made of: base (13), reduced (11), recent (10) and context (22). ratings (bout_id, elo_a, elo_b): ratings before the date; strengths (bout_id, strong_a,
+    strong_b): those by whole dates, which describe past opponents (None: ratings has them too). Records also have birth_day and reach_cm. Records are read twice: a stored table is best.
+    What is known of each side, then what follows from it for a contest, is stored on the way: the shuffles of a step end with it."""
+    ids = ["bout_id", "fighter_id", "opponent_id", "day"]
+    known = so_far(records.select(*ids, "event_id", "points", "sig_landed", "sig_attempted", "o_sig_landed", "o_sig_attempted", "birth_day", "reach_cm"))
+    # what earlier opponents of the opponent had is what the opponent's own row lets through: it comes from there with the other figures of the opponent, and the rows are not shuffled by opponent
+    before, shown = asof.earlier(["fighter_id"], "day"), F.expr(SHOWN)
+    let = {f"let_{c}": F.coalesce(F.sum(F.when(shown, F.col(f"o_sig_{c}"))).over(before), F.lit(0.0)) for c in ("landed", "attempted")}
+    known = known.select(*ids, "scored", "total", "last_day", "form", "birth_day", "reach_cm", F.when(shown, F.col("sig_landed") / F.col("sig_attempted")).alias("accuracy"), *[c.alias(n) for n, c in let.items()])
     mine = F.col("fighter_id") < F.col("opponent_id")
     rates = ratings if strengths is None else ratings.join(strengths, "bout_id")
     known = known.join(rates, "bout_id")
     known = known.withColumn("elo", F.when(mine, F.col("elo_a")).otherwise(F.col("elo_b"))).withColumn("o_elo", F.when(mine, F.col("strong_b")).otherwise(F.col("strong_a")))
-    own = F.struct("fighter_id", "scored", "total")
+    own = F.struct("fighter_id", "scored", "total", *let)
     two = Window.partitionBy("bout_id")
     other = F.when(mine, F.max(F.when(~mine, own)).over(two)).otherwise(F.max(F.when(mine, own)).over(two))
     known = known.withColumn("_other", other).withColumn("o_rate", F.when(F.col("_other.scored") > 0, F.col("_other.total") / F.col("_other.scored")))
+    known = known.withColumn("residual", F.col("accuracy") - (F.col("_other.let_landed") + 1) / (F.col("_other.let_attempted") + 2))
+    columns = ["elo", "scored", "total", "last_day", "form", "birth_day", "reach_cm"]
+    kept = store.stored(known.select(*ids, *columns, "residual", "o_rate", "o_elo"), "known")
     # the metrics of the records' own statistics need no state: the wide rows meet none of the steps above
     every = (*RECENT, *CONTEXT, OPPONENT_ELO)
     late = [m for m in every if m.name in ("opponent_win_rate", "opponent_elo")]
     early = [m for m in every if m not in late]
-    columns = ["elo", "scored", "total", "last_day", "form", "birth_day", "reach_cm", "adjusted", "stat_n"]
-    ids = ["bout_id", "fighter_id", "opponent_id", "day"]
-    pairs = sides(metric_arrays(known, tuple(late), [*ids, *columns]), [*columns, "metrics"])
-    plain = sides(metric_arrays(records, tuple(early), ids), ["metrics"])
-    pairs = pairs.join(plain.select("bout_id", F.col("a.metrics").alias("own_a"), F.col("b.metrics").alias("own_b")), "bout_id")
-    d = differences(pairs)
+    flagged = [m for m in early if m in CONTEXT]  # whether they were observed is a feature
+    columns += ["adjusted", "stat_n"]
+    pairs = sides(metric_arrays(adjusted(kept), tuple(late), [*ids, *columns], shuffled=True), [*columns, "metrics"])
+    plain = sides(metric_arrays(records, tuple(early), ids, numbers=tuple(flagged)), ["metrics"])
+
+    def of(m: Ratio) -> Column:
+        at = (late if m in late else early).index(m)
+        return (F.get("a.metrics", F.lit(at)) - F.get("b.metrics", F.lit(at))) / m.scale
 
-    def at(m: Ratio, s: str, shift: int = 0) -> Column:
-        group, array = (late, f"{s}.metrics") if m in late else (early, f"own_{s}")
-        return F.get(F.col(array), F.lit(group.index(m) + shift * len(group)))
+    def seen(m: Ratio) -> Column:
+        at = len(late) + late.index(m) if m in late else len(early) + flagged.index(m)
+        observed = lambda s: (F.get(f"{s}.metrics", F.lit(at)) > 0).cast("double")
+        return observed("a") - observed("b")
 
-    of = lambda m: (at(m, "a") - at(m, "b")) / m.scale
-    seen = lambda m: (at(m, "a", 1) > 0).cast("double") - (at(m, "b", 1) > 0).cast("double")
-    reduced = [d[n] for n in REDUCED]
-    rich = [*reduced, *[of(m) for m in RECENT]]
-    whole = [*rich, *[x for m in (*CONTEXT, OPPONENT_ELO) for x in (of(m), seen(m))]]
-    return pairs.select("bout_id", F.array(*[d[n] for n in BASE]).alias("base"), F.array(*reduced).alias("reduced"), F.array(*rich).alias("rich"), F.array(*whole).alias("whole"))
+    d = differences(pairs)
+    found = store.stored(pairs.select("bout_id", *[c.alias(n) for n, c in d.items()], *[x for i, m in enumerate(late) for x in (of(m).alias(f"_of_{i}"), seen(m).alias(f"_seen_{i}"))]), "differences")
+    store.forget(kept)
+    out = plain.select("bout_id", F.array(*map(of, RECENT)).alias("recent"), F.array(*[x for m in flagged for x in (of(m), seen(m))]).alias("_context")).join(found, "bout_id")
+    context = F.concat("_context", F.array(*[f"_{c}_{i}" for i in range(len(late)) for c in ("of", "seen")]))  # the late ones are the last of the context metrics
+    return out.select("bout_id", F.array(*BASE).alias("base"), F.array(*REDUCED).alias("reduced"), "recent", context.alias("context"))

@@ -208,11 +208,11 @@ def rated(contests: DataFrame, rules: list[Rule], marks: tuple[str, ...], start:
         path = f"{place}/block={number}"
         if n <= most:
             done = streamed(with_ratings(rows, now, start, marks).withColumn("_pool", F.lit("block")), rules, marks).drop("_pool", *starts)
-            done.write.parquet(path)
+            store.write(done, path)
             done = spark.read.schema(done.schema).parquet(path)
         else:
             done = large_date(rows, now, rules, marks, start)
-            done.write.parquet(path)
+            store.write(done, path)
             done = spark.read.parquet(path)
         before, now = now, store.stored(moved(now, done, start, marks), "rating")
         store.forget(before)

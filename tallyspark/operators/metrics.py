@@ -12,9 +12,9 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def all_or_null(x: str | Column) -> Column:
-    """The sum, or null if any component is null."""
-    return F.when(F.count(col(x)) == F.count(F.lit(1)), F.sum(col(x)))
+def all_or_null(x: str | Column, given: str | Column | None = None) -> Column:
+    """The sum, or null if any component is null. given: what is null where x is, so that sums of one source share a count."""
+    return F.when(F.count(col(x if given is None else given)) == F.count(F.lit(1)), F.sum(col(x)))
 
 
 def paired_sums(num: Column, den: Column, valid: Column | None = None) -> tuple[Column, Column, Column]:

@@ -90,14 +90,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides of every contest with a full set of statistics from its lines, and the opponent's as o_...: what operators.features reads."""
     from ..operators.metrics import all_or_null
 
-    q, p = F.col("l_quantity"), F.col("l_partkey")
+    landed = F.when(F.col("l_returnflag") != "R", F.floor(F.col("l_quantity") * (1 - F.col("l_discount"))))
+    # the lines go as they are; the statistics are made where they are added up, as a row of them is more than twice as wide
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bout_id"), F.col("l_suppkey").alias("fighter_id"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"), landed.alias("landed"), (F.col("l_linestatus") == "F").alias("final"))
+    q, p, control = F.col("q"), F.col("p"), F.when(F.col("final"), F.col("p") % 90)
     part = lambda k: F.floor(q / k)
-    line = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("bout_id"), F.col("l_suppkey").alias("fighter_id"), q.alias("sig_attempted"), F.when(F.col("l_returnflag") != "R", F.floor(q * (1 - F.col("l_discount")))).cast("double").alias("sig_landed"), F.when(F.col("l_linestatus") == "F", (p % 90).cast("double")).alias("control_seconds"),
-        *[x.cast("double").alias(n) for n, x in {"kd": (p % 11 == 0).cast("int"), "td_attempted": p % 7, "td_landed": F.least(p % 7, p % 5), "sub_attempts": p % 3, "clinch_attempted": part(5), "ground_attempted": part(4), "body_attempted": part(3), "leg_attempted": part(6), "distance_attempted": q - part(5) - part(4), "head_attempted": q - part(3) - part(6)}.items()],
-    )
-    stats = [c for c in line.columns if c not in ("bout_id", "fighter_id")]
-    rows = paired(spark, sf_dir, line, [all_or_null(c).alias(c) for c in stats])
+    made = {"sig_attempted": (q, q), "sig_landed": (F.col("landed"), F.col("landed")), "control_seconds": (control, control)}
+    made |= {n: (x, p) for n, x in {"kd": (p % 11 == 0).cast("int"), "td_attempted": p % 7, "td_landed": F.least(p % 7, p % 5), "sub_attempts": p % 3}.items()}
+    made |= {n: (x, q) for n, x in {"clinch_attempted": part(5), "ground_attempted": part(4), "body_attempted": part(3), "leg_attempted": part(6), "distance_attempted": q - part(5) - part(4), "head_attempted": q - part(3) - part(6)}.items()}
+    stats = list(made)
+    rows = paired(spark, sf_dir, line, [all_or_null(x.cast("double"), given).alias(n) for n, (x, given) in made.items()])
     key, first = F.col("bout_id"), F.col("own.fighter_id") < F.col("other.fighter_id")
     points = F.when(F.col("outcome") == "draw", 0.5).when(F.col("outcome") == "win", ((key % 2 == 0) == first).cast("double"))
     method = F.element_at(F.array(*map(F.lit, ("ko_tko", "submission", "decision_unanimous", "decision_split", "other"))), (key % 5 + 1).cast("int"))

@@ -155,11 +155,11 @@ def with_people(spark, sf_dir) -> DataFrame:
     return records(spark, sf_dir).join(people(spark, sf_dir), "fighter_id", "left")
 
 
-def vectors_of(base: DataFrame) -> DataFrame:
-    """Vectors of stored records (with birth_day and reach_cm)."""
+def vectors_of(base: DataFrame, vectors=features.vectors) -> DataFrame:
+    """Vectors (or their parts) of stored records (with birth_day and reach_cm)."""
     contests = base.where("fighter_id < opponent_id").select("event_date", "event_id", "bout_id", F.col("fighter_id").alias("a"), F.col("opponent_id").alias("b"), F.col("points").alias("score"))
     both = folds.pools(contests, [folds.Rule(32.0, date_snapshot=True), folds.Rule(64.0, by_date=True)])
-    return features.vectors(base, both.select("bout_id", *[F.col(f"rating_{s}{n}").alias(f"{name}_{s}") for n, name in enumerate(("elo", "strong")) for s in "ab"]))
+    return vectors(base, both.select("bout_id", *[F.col(f"rating_{s}{n}").alias(f"{name}_{s}") for n, name in enumerate(("elo", "strong")) for s in "ab"]))
 
 
 @query()

@@ -207,3 +207,48 @@ def test_images_are_judged_by_their_bytes_and_declared_type():
     frame = b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 50, 40, 1) + b"\x01\x11\x00"
     assert images.inspect(b"\xff\xd8\xff\xe0\x00\x04ab" + b"\xff\xff\xc2" + frame[2:] + b"\xff\xd9")[:3] == ("image/jpeg", 40, 50)
     assert images.inspect(b"\xff\xd8\xff\xda\x00\x02" + frame + b"\xff\xd9")[-1] == "no_frame" and images.inspect(b"\xff\xd8\xff\xe0\x00\xff\xff\xd9")[-1] == "truncated"
+
+
+def test_the_shuffles_of_a_step_end_with_it(spark):
+    """What was shuffled for a stored table is gone once the table is there."""
+    import glob
+    import time
+
+    from tallyspark.operators import store
+
+    places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for place in places for f in glob.glob(f"{place}/**/shuffle_*.data", recursive=True)}
+    before = shuffled()
+    rows = spark.range(1000).repartition(3, "id")
+    kept = store.stored(rows, "rows")
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 1000 and spark.conf.get(store.CLEANUP, "false") == "false"
+    assert sum(rows.groupBy((F.col("id") % 2).alias("k")).count().toPandas()["count"]) == 1000  # the session's other queries are as before
+
+
+def test_lines_are_shuffled_as_they_are(spark):
+    """The statistics of a line are made after the shuffle: fewer columns go through it than come out."""
+    from tallyspark.plans import domain
+
+    def nodes(plan):
+        yield plan
+        children = plan.children()
+        for i in range(children.size()):
+            yield from nodes(children.apply(i))
+
+    records = domain.records(spark, "/root/testdata/sf0.001")
+    dealt = [n.output().size() for n in nodes(records._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "RepartitionByExpression"]
+    assert dealt and max(dealt) <= 6  # 15 before
+
+
+def test_vectors_leave_few_shuffles_to_their_reader(spark):
+    """State, ratings and what follows from them are stored steps; the last plan shuffles the records by participant, and two sides by contest."""
+    people = {f: (None, None) for f in range(4)}
+    stats = {x: 1.0 for x in STATS}
+    frame = spark.createDataFrame([x for bout in range(6) for x in two_sides(bout, bout, bout % 3, 3, 1.0, 300.0, "ko_tko", stats, stats, people)], SCHEMA)
+    ratings = spark.createDataFrame([(bout, 1500.0, 1500.0, 1500.0, 1500.0) for bout in range(6)], "bout_id long, elo_a double, elo_b double, strong_a double, strong_b double")
+    plan = features.vectors(frame, ratings)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 3  # 11 before
