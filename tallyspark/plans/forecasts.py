@@ -108,14 +108,23 @@ def vector_forecasts(spark, sf_dir):
     numpy fit in the tests)."""
     base = stored(with_people(spark, sf_dir), "records")
     y = base.where("fighter_id < opponent_id").select("bout_id", "day", F.when(F.col("points").isin(0.0, 1.0), F.col("points")).alias("y"))
-    rows = stored(vectors_of(base).join(y, "bout_id").select("bout_id", "day", "y", F.concat("base", "whole").alias("x")), "vectors")
+    places = [("base", i) for i in range(13)] + [("reduced", 10)] + [("recent", i) for i in range(10)] + [("context", i) for i in range(22)]
+    # each feature once, as a column of its own: those with few values take next to no place
+    once = vectors_of(base, features.vector_parts).join(y, "bout_id").select("bout_id", "day", "y", *[F.get(c, F.lit(i)).alias(f"x{k}") for k, (c, i) in enumerate(places)])
+    rows = stored(once, "vectors")
     forget(base)
-    return vector_models(rows, AS_OF)
+    return vector_models(rows.select("bout_id", "day", "y", F.array(*[f"x{k}" for k in range(len(places))]).alias("x")), AS_OF, ONCE)
 
 
-def vector_models(rows: DataFrame, as_of: int) -> DataFrame:
-    """rows: x is the 13, then the 43 (which begin with the 11 and the 21)."""
-    places = {"base": range(13), "reduced": range(13, 24), "rich": range(13, 34), "whole": range(13, 56)}
+#: Places of the vectors in the 13, then the 43 (which begin with the 11 and the 21).
+PLACES = {"base": range(13), "reduced": range(13, 24), "rich": range(13, 34), "whole": range(13, 56)}
+#: Places where each feature is there once: the 13, the age hinge, 10 recent and 22 context differences.
+SHARED = [features.BASE.index(n) for n in features.REDUCED[:-1]] + [13]
+ONCE = {"base": range(13), "reduced": SHARED, "rich": [*SHARED, *range(14, 24)], "whole": [*SHARED, *range(14, 46)]}
+
+
+def vector_models(rows: DataFrame, as_of: int, places: dict = PLACES) -> DataFrame:
+    """rows: x, of which a vector takes its places."""
     known = rows.where((F.col("day") < as_of) & F.col("y").isNotNull())
     days = forecast.per_day(known)
     border = forecast.border_of([d for d, _ in days], 0.15)

@@ -187,3 +187,15 @@ def test_vector_models_equal_plain_fits(spark):
         tail = (day >= border) & (day < 80)
         s = min(4.0, max(0.25, plain((own[tail] @ w)[:, None], y[tail], 0.004, 1.0)[0]))
         assert np.abs(got[f"p_{name}"] - 1 / (1 + np.exp(-s * own[day >= 80] @ w))).max() < 1e-6
+
+
+def test_a_feature_that_vectors_share_is_stored_once():
+    from tallyspark.operators import features
+    from tallyspark.plans import forecasts
+
+    base, hinge, recent, context = [f"b_{n}" for n in features.BASE], ["b_age_decline"], [f"r{i}" for i in range(10)], [f"c{i}" for i in range(22)]
+    reduced = [f"b_{n}" for n in features.REDUCED]
+    twice, once = [*base, *reduced, *recent, *context], [*base, *hinge, *recent, *context]
+    assert len(once) == len(set(once)) == 46
+    for kind, places in forecasts.PLACES.items():
+        assert [once[i] for i in forecasts.ONCE[kind]] == [twice[i] for i in places] and len(places) == forecasts.KINDS[kind]
