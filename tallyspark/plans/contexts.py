@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import context, replay
+from ..operators.store import stored
 from .domain import CONTESTS, RECORDS, contests, records, table
 
 QUERIES: dict = {}
@@ -118,18 +119,29 @@ def matchup_sql() -> str:
     SELECT x.bout_id, {sides}, {differences} FROM s x JOIN s y ON y.bout_id = x.bout_id AND x.fighter_id < y.fighter_id"""
 
 
+RESULTS = ("win", "loss", "draw", "no_contest", "unknown")
+
+
+def eligible_records(spark, sf_dir) -> DataFrame:
+    """The records, made once and stored; some are held."""
+    return stored(records(spark, sf_dir).withColumn("eligible", F.col("bout_id") % 11 != 0), "records")
+
+
 @query(matchup_sql())
 def matchup_context(spark, sf_dir):
     """Q15, M17 inputs: for every contest the last five earlier ones of both sides (nested), how many there were, how many were left out for the embargo, the
     opponents' records then, and the differences of the seventeen measured metrics. Held contests are shown and not measured."""
-    side = context.contexts(records(spark, sf_dir).withColumn("eligible", F.col("bout_id") % 11 != 0))
-    fights = F.col("fights")
+    side = context.contexts(eligible_records(spark, sf_dir), brief=True)
+    fights, names = F.col("fights"), F.array(*map(F.lit, RESULTS))
     strength = F.transform(fights, lambda f: F.concat_ws("-", *[f["strength"][c].cast("string") for c in ("wins", "losses", "draws")]))
-    # only what is shown goes to the contest
-    side = side.select("bout_id", "fighter_id", "opponent_id", "day", "available", "left_out", fights["bout_id"].alias("ids"), fights["result"].alias("results"), strength.alias("strengths"), "eligible", "opponent_win_rate", F.array(*[F.col("style")[i]["value"] for i in range(len(STYLE))]).alias("values"))
+    code = F.transform(fights, lambda f: F.array_position(names, f["result"]).cast("tinyint"))
+    # only what is shown goes to the contest, results as their places
+    side = side.select("bout_id", "fighter_id", "opponent_id", "day", "available", "left_out", fights["bout_id"].alias("ids"), code.alias("results"), strength.alias("strengths"), "eligible", "opponent_win_rate", F.array(*[F.col("style")[i]["value"] for i in range(len(STYLE))]).alias("values"))
     columns = []
     for s in "ab":
-        columns += [F.col(f"{s}.{c}").alias(f"{n}_{s}") for c, n in (("available", "available"), ("left_out", "left_out"), ("ids", "fights"), ("results", "results"), ("strengths", "strengths"))]
+        results = F.transform(F.col(f"{s}.results"), lambda c: F.element_at(names, c.cast("int")))
+        columns += [F.col(f"{s}.{c}").alias(f"{n}_{s}") for c, n in (("available", "available"), ("left_out", "left_out"), ("ids", "fights"))]
+        columns += [results.alias(f"results_{s}"), F.col(f"{s}.strengths").alias(f"strengths_{s}")]
         columns += [F.col(f"{s}.eligible").cast("long").alias(f"eligible_{s}"), F.round(f"{s}.opponent_win_rate", 6).alias(f"opponents_{s}")]
     columns += [(F.round(F.col("a.values")[i] - F.col("b.values")[i], 9) + 0.0).alias(f"d_{name}") for i, (name, *_) in enumerate(STYLE)]
     return context.paired(side).select("bout_id", *columns)

@@ -136,3 +136,23 @@ def test_only_what_is_shown_goes_to_the_contest(spark):
 
     plan = contexts.matchup_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "values" in plan and "measured" not in plan
+
+
+def test_wide_records_are_shuffled_once(spark):
+    """The opponents' records are stored before; the reader shuffles the rows by participant, the contexts by contest."""
+    from tallyspark.plans import contexts
+
+    plan = contexts.matchup_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 2 and "lineitem" not in plan  # 5, and the lines, before
+
+
+def test_brief_contexts_say_the_same(spark):
+    bouts = [(k, k * 4, 1 + k % 2, 10 + k % 3, "win", 1.0, k % 3 != 0, 5.0) for k in range(1, 12)] + [(5, 20, 2, 12, "win", 1.0, True, 5.0), (30, 70, 1, 40, "draw", 0.5, True, None)]
+    whole = {repr((r.bout_id, r.fighter_id, r.day)): r for r in context.contexts(records(spark, bouts)).collect()}
+    brief = context.contexts(records(spark, bouts), brief=True).collect()
+    assert len(brief) == 2 * len(bouts)
+    for r in brief:
+        other = whole[repr((r.bout_id, r.fighter_id, r.day))]
+        assert [(f.bout_id, f.result, f.eligible, f.strength) for f in r.fights] == [(f.bout_id, f.result, f.eligible, f.strength) for f in other.fights]
+        assert [(m.name, m.value) for m in r.style] == [(m.name, m.value) for m in other.style]
+        assert (r.available, r.left_out, r.eligible, r.opponent_win_rate) == (other.available, other.left_out, other.eligible, other.opponent_win_rate)
